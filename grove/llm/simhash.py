@@ -1,11 +1,12 @@
 """SimHash near-duplicate detection by anchor-point covering.
 
 Anchors are the words of a covering code: the direct sum of two binary Golay codes [23,12], over bits 0-22 and 23-45 of a
-fingerprint; the other 18 bits are free. Both codes are perfect with radius 3, so every fingerprint has an anchor within
-RADIUS = 6. Let x and y differ in at most 3 bits. On a path from x to y lies a point m with d(x, m) <= 1 and d(m, y) <= 2,
-and the anchor of m is within 7 of x and within 8 of y. So each fingerprint is replicated to every anchor within the
-covering radius plus its share of the threshold (as home within 7, as visitor within 8), and each anchor compares its homes
-with its visitors on all 64 bits. No pair is lost, however the fingerprints lie.
+fingerprint, and of the Hamming code [15,11] over bits 46-60; the other 3 bits are free. The codes are perfect with radius
+3, 3 and 1, so every fingerprint has an anchor within RADIUS = 7. Let x and y differ in at most 3 bits. On a path from x to
+y lies a point m with d(x, m) <= 1 and d(m, y) <= 2, and the anchor of m is within 8 of x and within 9 of y. So each
+fingerprint is replicated to every anchor within the covering radius plus its share of the threshold (as home within 8, as
+visitor within 9), and each anchor compares its homes with its visitors on all 64 bits. No pair is lost, however the
+fingerprints lie. There are 2^35 anchors, so that few unrelated fingerprints meet even among billions.
 
 Equal fingerprints are merged before that. An anchor never emits all its pairs: it emits a spanning forest of the links in
 it, which has the same components. Components come from alternating star contractions over those links.
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from grove.llm.common import id_text, saved, shuffle_partitions
 
 WORDS, BITS, SEED = 3, 3, 42
-RADIUS, HOME, VISITOR = 6, 1, 2
+RADIUS, HOME, VISITOR = 7, 1, 2
 BLOCK = 2048
-GOLAY = 0b101011100011  # generator polynomial of the Golay code, degree 11
+#: Generator polynomials of the Golay code (degree 11) and of the Hamming code (degree 4).
+GOLAY, HAMMING = 0b101011100011, 0b10011
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -63,29 +65,32 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return id_text(docs).mapInArrow(fingerprint_map(words), "doc_id long, fp long")
 
 
-@lru_cache(maxsize=1)
-def code() -> tuple[np.ndarray, list[list[np.ndarray]]]:
-    """The syndrome of each 12 high bits and, for each syndrome, the error patterns by weight up to 5."""
-    values = np.arange(1 << 23, dtype=np.uint32)
+@lru_cache(maxsize=2)
+def code(bits: int, generator: int, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of a cyclic code: each word's syndrome and, for each syndrome, the error patterns up to weight most, and their weights."""
+    degree = generator.bit_length() - 1
+    values = np.arange(1 << bits, dtype=np.uint32)
     syndrome = values.copy()
-    for bit in range(22, 10, -1):
-        on = (syndrome >> np.uint32(bit)) & np.uint32(1)
-        syndrome ^= on * np.uint32(GOLAY << (bit - 11))
-    weight = np.bitwise_count(values)
-    few = np.flatnonzero(weight <= 5).astype(np.uint32)
-    few = few[np.lexsort((weight[few], syndrome[few]))]
-    bounds = np.searchsorted(syndrome[few], np.arange((1 << 11) + 1))
-    return syndrome.astype(np.uint16), [few[bounds[s] : bounds[s + 1]] for s in range(1 << 11)]
-
-
-def anchors(fp: int, extra: int) -> np.ndarray:
-    """Keys of all anchors within RADIUS + extra of the fingerprint on its 46 covered bits."""
-    syndrome, errors = code()
-    u, v = fp & 0x7FFFFF, fp >> 23 & 0x7FFFFF
-    a, b = errors[syndrome[u]], errors[syndrome[v]]
-    w = np.bitwise_count(a)[:, None] + np.bitwise_count(b)[None, :]
-    i, j = np.nonzero(w <= RADIUS + extra)
-    return (np.uint32(u) ^ a[i]).astype(np.int64) << 23 | (np.uint32(v) ^ b[j]).astype(np.int64)
+    for bit in range(bits - 1, degree - 1, -1):
+        syndrome ^= ((syndrome >> np.uint32(bit)) & np.uint32(1)) * np.uint32(generator << (bit - degree))
+    few = np.flatnonzero(np.bitwise_count(values) <= most).astype(np.int64)
+    few = few[np.argsort(syndrome[few], kind="stable")]
+    bounds = np.searchsorted(syndrome[few], np.arange((1 << degree) + 1))
+    return syndrome.astype(np.uint16), [(e := few[a:b], np.bitwise_count(e)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def anchors(fp: int, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all anchors within RADIUS + extra of the fingerprint on its 61 covered bits, and their distances."""
+    golay, patterns = code(23, GOLAY, 3 + extra)
+    hamming, small = code(15, HAMMING, 1 + extra)
+    u, v, w = fp & 0x7FFFFF, fp >> 23 & 0x7FFFFF, fp >> 46 & 0x7FFF
+    (a, wa), (b, wb), (c, wc) = patterns[golay[u]], patterns[golay[v]], small[hamming[w]]
+    ab = wa[:, None] + wb[None, :]
+    i, j = np.nonzero(ab <= RADIUS + extra - wc.min())
+    d = ab[i, j][:, None] + wc[None, :]
+    k, m = np.nonzero(d <= RADIUS + extra)
+    two = (u ^ a[i]) | (v ^ b[j]) << 23
+    return two[k] | (w ^ c[m]) << 46, d[k, m]
 
 
 def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +101,9 @@ def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, who, home = [], [], []
             for fp in fps[at : at + 4096]:
                 bits = int(fp) & (1 << 64) - 1
-                near, far = anchors(bits, HOME), anchors(bits, VISITOR)
+                far, distance = anchors(bits, VISITOR)
                 keys.append(far)
-                home.append(np.isin(far, near))
+                home.append(distance <= RADIUS + HOME)
                 who.append(np.full(len(far), fp, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who)), pa.array(np.concatenate(home))], names=["anchor", "fp", "home"])
 
@@ -126,66 +131,108 @@ def forest(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_ho
     return out
 
 
+def links_of(cols: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links within each run of equal (anchor, left, right); runs of one and two members cost no Python loop.
+
+    cols: anchor, fp, home and, for anchors dealt in blocks, left, right and the member's own block, side.
+    """
+    anchor, fp, home, *blocks = cols
+    if not len(anchor):
+        return []
+    change = anchor[1:] != anchor[:-1]
+    for x in blocks[:2]:
+        change |= x[1:] != x[:-1]
+    new = np.flatnonzero(np.concatenate(([True], change)))
+    ends = np.append(new[1:], len(anchor))
+    pair = new[ends - new == 2]
+    ok = (np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= BITS) & (home[pair] | home[pair + 1])
+    if blocks:
+        ok &= (blocks[0][pair] == blocks[1][pair]) | (blocks[2][pair] != blocks[2][pair + 1])
+    pair = pair[ok]
+    out = list(zip(fp[pair].tolist(), fp[pair + 1].tolist(), strict=True))
+    for a, b in zip(new[ends - new > 2], ends[ends - new > 2], strict=True):
+        f, h = fp[a:b], home[a:b]
+        if not blocks or blocks[0][a] == blocks[1][a]:
+            out += forest(f, h, None, None)
+        else:
+            s = blocks[2][a:b] == blocks[0][a]
+            out += forest(f[s], h[s], f[~s], h[~s])
+    return out
+
+
+def columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+    cols[1] = cols[1].view(np.uint64)
+    return cols
+
+
+def as_links(found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    e = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    e = np.unique(np.stack((e.max(axis=1), e.min(axis=1))), axis=1)
+    return e[0], e[1]
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each run of (anchor, left, right); rows come sorted by that key. Single rows cost no Python loop."""
-    key_names = ("anchor", "left", "right")
-    held: list[np.ndarray] | None = None
-
-    def links(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        anchor, left, right, side, fp, home = cols
-        new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))) if len(anchor) else np.array([], int)
-        ends = np.append(new[1:], len(anchor))
-        out: list[tuple[int, int]] = []
-        pair = new[ends - new == 2]
-        ok = (np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= BITS) & (home[pair] | home[pair + 1])
-        ok &= (left[pair] == right[pair]) | (side[pair] != side[pair + 1])
-        pair = pair[ok]
-        out += zip(fp[pair].view(np.int64).tolist(), fp[pair + 1].view(np.int64).tolist(), strict=True)
-        for a, b in zip(new[ends - new > 2], ends[ends - new > 2], strict=True):
-            f, h = fp[a:b], home[a:b]
-            if left[a] == right[a]:
-                found = forest(f, h, None, None)
-            else:
-                s = side[a:b] == left[a]
-                found = forest(f[s], h[s], f[~s], h[~s])
-            out += [tuple(x - (1 << 64) if x >> 63 else x for x in p) for p in found]
-        if not out:
-            return None
-        u, v = np.array(out, np.int64).T
-        e = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["u", "v"])
+    """Rows sorted by anchor to links (u, v, anchor null), and the members of anchors of more than BLOCK as they are (home, fp, anchor)."""
+    held, crowded = None, None
+
+    def batch_of(found: list[tuple[int, int]], crowd: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = as_links(found)
+        anchor, fp, home = crowd
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, home.astype(np.int64)))), pa.array(np.concatenate((v, fp.view(np.int64)))), pa.array([None] * len(u) + anchor.tolist(), pa.int64())], names=["u", "v", "anchor"])
 
     for batch in batches:
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in (*key_names, "side", "fp", "home")]
-        cols[4] = cols[4].astype(np.int64).view(np.uint64)
+        cols = columns(batch, ("anchor", "fp", "home"))
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        anchor = cols[0]
+        last = int(np.searchsorted(anchor, anchor[-1]))
+        starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        sizes = np.diff(np.append(starts, len(anchor)))
+        big = np.repeat((sizes > BLOCK) | (anchor[starts] == crowded if crowded is not None else False), sizes)
+        if big[-1]:
+            crowded, last = int(anchor[-1]), len(anchor)  # its other members come in later batches and are passed on too
+        held = [c[last:] for c in cols]
+        done = [c[:last] for c in cols]
+        yield batch_of(links_of([c[~big[:last]] for c in done]), [c[big[:last]] for c in done])
+    if held is not None and len(held[0]):
+        yield batch_of(links_of(held), [c[:0] for c in held])
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of a crowded anchor; rows come sorted by (anchor, left, right)."""
+    held = None
+    for batch in batches:
+        cols = columns(batch, ("anchor", "fp", "home", "left", "right", "side"))
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        last = len(cols[0]) - 1
-        same = (cols[0] == cols[0][last]) & (cols[1] == cols[1][last]) & (cols[2] == cols[2][last])
-        cut = int(np.argmax(same))  # the last run may go on in the next batch
+        same = (cols[0] == cols[0][-1]) & (cols[3] == cols[3][-1]) & (cols[4] == cols[4][-1])
+        cut = int(np.argmax(same))
         held = [c[cut:] for c in cols]
-        if (b := links([c[:cut] for c in cols])) is not None:
-            yield b
-    if held is not None and (b := links(held)) is not None:
-        yield b
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in as_links(links_of([c[:cut] for c in cols]))], names=["u", "v"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in as_links(links_of(held))], names=["u", "v"])
 
 
 def link_forest(fps: DataFrame) -> DataFrame:
     """(u, v), u > v: links that have the components of all links between the distinct fps.
 
-    Members of an anchor are dealt into blocks of about BLOCK; blocks meet in pairs, each pair in a task of its own, so that no
-    task gets a whole anchor, however many members it has. An anchor of one block, as nearly all are, is compared as it is.
+    One shuffle brings an anchor's members together. An anchor of up to BLOCK members, as nearly all are, is compared there.
+    The members of a larger one only pass through: they are dealt into blocks, and blocks meet in pairs, each pair in a task
+    of its own, so that no task compares a whole anchor, however many members it has.
     """
-    spark = fps.sparkSession
-    members = saved(fps.mapInArrow(replicate, "anchor long, fp long, home boolean"), "anchors")
-    counts = members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sized = members.join(counts, "anchor")
+    parts = shuffle_partitions(fps.sparkSession)
+    members = fps.mapInArrow(replicate, "anchor long, fp long, home boolean")
+    found = saved(members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long, anchor long"), "compared")
+    links = found.where("anchor IS NULL").select("u", "v")
+    crowd = found.where("anchor IS NOT NULL").select("anchor", F.col("v").alias("fp"), (F.col("u") == 1).alias("home"))
+    sized = crowd.join(crowd.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     spread = sized.select("anchor", "fp", "home", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = spread.select("anchor", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp", "home")
-    dealt = rows.repartition(shuffle_partitions(spark), "anchor", "left", "right").sortWithinPartitions("anchor", "left", "right")
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    rows = spread.select("anchor", "fp", "home", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side")
+    dealt = rows.repartition(parts, "anchor", "left", "right").sortWithinPartitions("anchor", "left", "right")
+    return links.union(dealt.mapInArrow(compare_blocks, "u long, v long")).distinct()
 
 
 def contract(links: DataFrame) -> DataFrame:
