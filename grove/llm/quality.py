@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression with follow-the-regularised-leader updates.
 
 Words are runs of letters and digits, and runs of other visible characters; case is kept. A feature is a hashed word or pair
-of neighbours, its value its share of the text's features. A score is the mean weight of the features, times SCALE, plus bias.
+of neighbours (a pair of equal words is one feature, whatever the word), its value its share of the text's features. A score is the mean weight of the features, times SCALE, plus bias.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ BITS, SCALE, EPOCHS, THRESHOLD = 18, 40.0, 3, 0.3
 #: At most so many labelled documents train the model: those of smallest id hash that are not held out.
 SAMPLE = 6000
 MOD, REST = 5, 0
+TWICE = np.uint64(0x94D049BB133111EB)
 _WORDS = re.compile(r"\w+|[^\w\s]+").findall
 _memo: dict[str, int] = {}
 
@@ -29,7 +30,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     global _memo
     if len(_memo) > 400_000:
         _memo = {}
-    for w in set(words) - _memo.keys():
+    for w in [w for w in set(words) if w not in _memo]:
         _memo[w] = xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
@@ -38,6 +39,7 @@ def features(text: str) -> np.ndarray:
     """Places of all words and pairs, repeats included; none for a text without words."""
     h = word_hashes(_WORDS(text))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
+    pairs[h[:-1] == h[1:]] = TWICE
     return (np.concatenate((h, pairs)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 

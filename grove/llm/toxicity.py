@@ -220,9 +220,9 @@ class Model:
         for w in raw_words(text):
             if (found := get(w)) is None:
                 found = self.telling(w)
+                get = self.memo.get  # the memo may have started afresh
             if found:
                 hits.update(found)
-                get = self.memo.get
         return logistic(self.bias + sum(self.weights[h] for h in sorted(hits)))
 
     def scores(self, texts: list[str]) -> list[float]:

@@ -31,10 +31,14 @@ class WordMemo:
         """Afterwards all pieces are in known, which may pass the limit by the pieces of one call."""
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        pieces = pieces - self.known.keys()
-        again = pieces & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new = list(pieces - again)
+        new = []
+        for p in pieces:
+            if p in self.known:
+                continue
+            if p in self.older:
+                self.known[p] = self.older[p]
+            else:
+                new.append(p)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.known.update(zip(part, self.encode([self.lead + p for p in part]), strict=True))
