@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -80,9 +81,7 @@ class ByteBPE:
         self.ids = [int(r) for _, r in pairs]
         self.whole = PerfectHash(words)
         self.bytes_of = {r: w for w, r in self.ranks.items()}
-        self.split = regex.compile(pattern).findall
-        self.memo = WordMemo(self.pieces)
-        self.parts: dict[str, bytes] = {}
+        self.memo = WordMemo(regex.compile(pattern).findall, self.pre_token)
 
     def merged(self, word: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals: a heap of pairs over a linked list of parts."""
@@ -109,18 +108,10 @@ class ByteBPE:
         return out
 
     def pre_token(self, token: str) -> bytes:
-        if (found := self.parts.get(token)) is not None:
-            return found
+        """The ids of one pre-token: the whole of it from the perfect hash, else its merged parts."""
         word = token.encode("utf-8", "surrogatepass")
         at = self.whole.get(word)
-        ids = [self.ids[at]] if at >= 0 else self.merged(word)
-        if len(self.parts) >= 200_000:
-            self.parts = {}
-        self.parts[token] = out = np.array(ids, "<u4").tobytes()
-        return out
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        return [b"".join(map(self.pre_token, self.split(p))) for p in pieces]
+        return array("I", [self.ids[at]] if at >= 0 else self.merged(word)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.memo.texts(texts)

@@ -1,28 +1,59 @@
-"""The tokenizers library behind a memo of pieces; one of each in a Python worker."""
+"""The tokenizers library behind memos of pieces and pre-tokens; one of each in a Python worker.
+
+The library's normalizer and model make the ids. Its pre-tokenizer's pattern is applied here, so that each distinct pre-token
+goes through the library once; tests hold the ids against the library's own encoding of whole texts.
+"""
 
 from __future__ import annotations
 
-import os
+import json
+from array import array
 from functools import lru_cache
-
-import numpy as np
+from unicodedata import is_normalized
 
 from grove.llm.words import WordMemo
 
+#: The pattern of a byte-level pre-tokenizer that names none (a fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(other)) for b in range(256)}
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces: bool) -> WordMemo:
-    """spaces: whether a space belongs to the pre-token after it. Strings of special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """For a vocabulary with a byte-level pre-tokenizer, alone or after one that splits by a pattern and drops the rest.
+
+    Strings of special tokens in a text are ordinary text.
+    """
+    import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return WordMemo(encode, spaces=spaces)
+    model, normalizer, letters = t.model, t.normalizer, byte_letters()
+    with open(path, encoding="utf-8") as f:
+        pre = json.load(f)["pre_tokenizer"]
+    steps = pre.get("pretokenizers", [pre])
+    find = regex.compile(next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)).findall
+
+    def encode(token: str) -> bytes:
+        shown = token if token.isascii() and token.isalpha() else token.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+        return array("I", [x.id for x in model.tokenize(shown)]).tobytes()
+
+    if normalizer is None:
+        return WordMemo(find, encode, spaces)
+    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, fold=True)
+
+
+def plain_word(piece: str) -> bool:
+    """Whether lower-casing is all that the normalizer (NFC, then letter by letter lower case) does to a word of letters."""
+    if not piece.isalpha():
+        return False
+    return piece.isascii() or ("Σ" not in piece and is_normalized("NFC", piece) and piece.lower().isalpha())
 
 
 def tokenizer_path(name: str) -> str:

@@ -1,4 +1,4 @@
-"""Token ids of whole texts from a bounded memo of the pieces between spaces.
+"""Token ids of whole texts from bounded memos: of the pieces between spaces, and of their pre-tokens.
 
 A pre-token never spans a space but at its own start. So a text may be cut before every space, and each piece (with that
 space) be encoded alone, unless the space stands between two white-space characters: a run of those is one pre-token. Such
@@ -13,45 +13,76 @@ from itertools import islice
 
 _BETWEEN = re.compile(r"\s \s").search
 _VISIBLE = re.compile(r" (?=\S)").split
+#: Signs that end words and never join what follows in the same piece.
+SIGNS = frozenset(",.;:!?")
+
+
+class Memo(dict):
+    """make(key) of every key asked for, kept in two generations of limit keys each.
+
+    A full generation becomes the older one; keys that are met again move up from it, and the others go with the next turn.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class WordMemo:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers.
 
-    encode maps new pieces to such bytes. The memo holds two generations of at most limit pieces each: pieces of the older one
-    move up when they are met again, and the others go when the younger one is full.
+    split gives the pre-tokens of a piece and encode the ids of a pre-token. spaces: whether a space belongs to the pre-token
+    after it; if not, white space only separates. plain tells whether letters alone are one pre-token as they stand, and fold
+    whether the case of ASCII letters makes no difference.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000, spaces: bool = True) -> None:
-        self.encode, self.limit, self.lead = encode, limit, " " if spaces else ""
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes], spaces: bool = True, plain: Callable[[str], bool] = str.isalpha, fold: bool = False, limit: int = 350_000) -> None:
+        self.split, self.encode, self.plain, self.spaces, self.fold = split, encode, plain, spaces, fold
+        self.parts = Memo(encode, limit // 4)
+        self.pieces = Memo(self.spaced if spaces else self.bare, limit)
+        self.heads = Memo(self.bare, limit // 4) if spaces else self.pieces
+
+    def any(self, piece: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.split(piece)))
+
+    def bare(self, piece: str) -> bytes:
+        """A piece as it stands. Letters, with one sign after them at most, need no pattern."""
+        if self.plain(piece):
+            return self.encode(piece)
+        if piece[-1:] in SIGNS and self.plain(piece[:-1]):
+            return self.heads[piece[:-1]] + self.parts[piece[-1]]
+        return self.any(piece)
+
+    def spaced(self, piece: str) -> bytes:
+        """A piece with the space before it. A newline between two visible characters is a pre-token of its own."""
+        if self.plain(piece):
+            return self.encode(" " + piece)
+        if piece[-1:] in SIGNS and self.plain(piece[:-1]):
+            return self.pieces[piece[:-1]] + self.parts[piece[-1]]
+        if piece.count("\n") == 1 and len(two := piece.split()) == 2 and len(two[0]) + len(two[1]) + 1 == len(piece):
+            return self.pieces[two[0]] + self.parts["\n"] + self.heads[two[1]]
+        return self.any(" " + piece)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Afterwards all pieces are in known, which may pass the limit by the pieces of one call."""
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        new = []
-        for p in pieces:
-            if p in self.known:
-                continue
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self.encode([self.lead + p for p in part]), strict=True))
+    def text(self, text: str) -> bytes:
+        if not self.spaces:
+            text = text.replace("\n", " ")
+            return b"".join(map(self.pieces.__getitem__, (text.lower() if self.fold and text.isascii() else text).split(" ")))
+        cut = _VISIBLE(text) if _BETWEEN(text) else text.split(" ")
+        return self.any(cut[0]) + b"".join(map(self.pieces.__getitem__, islice(cut, 1, None)))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. The first piece of a text has no space before it and is encoded as it is."""
-        cut = [_VISIBLE(t) if self.lead and _BETWEEN(t) else t.split(" ") for t in texts]
-        start = 0 if not self.lead else 1
-        self.learn({p for c in cut for p in islice(c, start, None)})
-        get = self.known.__getitem__
-        if not start:
-            return [b"".join(map(get, c)) for c in cut]
-        return [f + b"".join(map(get, islice(c, 1, None))) for f, c in zip(self.encode([c[0] for c in cut]), cut, strict=True)]
+        return [self.text(t) for t in texts]
 
 
 def in_groups(texts: list[str], chars: int = 4_000_000) -> list[tuple[int, int]]:
