@@ -19,6 +19,7 @@ class FTRL:
 
     def update(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
         """at: distinct features of one example; x: their values."""
+        at, x = at.astype(np.int64), x.astype(np.float64)
         w = self.weights(at)
         bias = -self.z[-1] / ((self.beta + np.sqrt(self.n[-1])) / self.alpha)
         p = 1 / (1 + np.exp(-np.clip(bias + w @ x, -35, 35)))

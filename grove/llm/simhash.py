@@ -2,7 +2,7 @@
 
 Anchors are the words of a covering code: the direct sum of two binary Golay codes [23,12], over bits 0-22 and 23-45 of a
 fingerprint, and of the Hamming code [15,11] over bits 46-60; the other 3 bits are free. The codes are perfect with radius
-3, 3 and 1, so every fingerprint has an anchor within RADIUS = 7. Let x and y differ in at most 3 bits. On a path from x to
+3, 3 and 1, so every fingerprint has an anchor within 7, the covering radius. Let x and y differ in at most 3 bits. On a path from x to
 y lies a point m with d(x, m) <= 1 and d(m, y) <= 2, and the anchor of m is within 8 of x and within 9 of y. So each
 fingerprint is replicated to every anchor within the covering radius plus its share of the threshold (as home within 8, as
 visitor within 9), and each anchor compares its homes with its visitors on all 64 bits. No pair is lost, however the
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from grove.llm.common import id_text, saved, shuffle_partitions
 
 WORDS, BITS, SEED = 3, 3, 42
-RADIUS, HOME, VISITOR = 7, 1, 2
 BLOCK = 2048
 #: Generator polynomials of the Golay code (degree 11) and of the Hamming code (degree 4).
 GOLAY, HAMMING = 0b101011100011, 0b10011
@@ -79,37 +78,53 @@ def code(bits: int, generator: int, most: int) -> tuple[np.ndarray, list[tuple[n
     return syndrome.astype(np.uint16), [(e := few[a:b], np.bitwise_count(e)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def anchors(fp: int, extra: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all anchors within RADIUS + extra of the fingerprint on its 61 covered bits, and their distances."""
-    golay, patterns = code(23, GOLAY, 3 + extra)
-    hamming, small = code(15, HAMMING, 1 + extra)
-    u, v, w = fp & 0x7FFFFF, fp >> 23 & 0x7FFFFF, fp >> 46 & 0x7FFF
-    (a, wa), (b, wb), (c, wc) = patterns[golay[u]], patterns[golay[v]], small[hamming[w]]
-    ab = wa[:, None] + wb[None, :]
-    i, j = np.nonzero(ab <= RADIUS + extra - wc.min())
-    d = ab[i, j][:, None] + wc[None, :]
-    k, m = np.nonzero(d <= RADIUS + extra)
-    two = (u ^ a[i]) | (v ^ b[j]) << 23
-    return two[k] | (w ^ c[m]) << 46, d[k, m]
+class Cover:
+    """Anchors: the direct sum of perfect cyclic codes (bits, generator, radius), laid side by side from bit 0.
 
+    Bits of a fingerprint above them are free, or, if tagged, part of the anchor as they are.
+    """
 
-def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (anchor, fp, home) for each anchor of each fingerprint; a home is a visitor too."""
-    for batch in batches:
-        fps = batch.column("fp").to_numpy()
-        for at in range(0, len(fps), 4096):
-            keys, who, home = [], [], []
-            for fp in fps[at : at + 4096]:
-                bits = int(fp) & (1 << 64) - 1
-                far, distance = anchors(bits, VISITOR)
-                keys.append(far)
-                home.append(distance <= RADIUS + HOME)
-                who.append(np.full(len(far), fp, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who)), pa.array(np.concatenate(home))], names=["anchor", "fp", "home"])
-
-
-def forest(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_home: np.ndarray | None) -> list[tuple[int, int]]:
-    """Spanning links among fps, or between fps and other, of pairs of a home and a visitor within BITS."""
+    def __init__(self, codes: tuple[tuple[int, int, int], ...], home: int, visitor: int, tagged: bool = False) -> None:
+        self.codes, self.home, self.visitor, self.tagged = codes, home, visitor, tagged
+        self.radius = sum(r for _, _, r in codes)
+
+    def anchors(self, fp: int, extra: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all anchors within the covering radius plus extra, and their distances."""
+        keys, distance, at, least = np.zeros(1, np.int64), np.zeros(1, np.int64), 0, []
+        parts = []
+        for bits, generator, radius in self.codes:
+            syndrome, patterns = code(bits, generator, radius + extra)
+            word = fp >> at & (1 << bits) - 1
+            errors, weight = patterns[syndrome[word]]
+            parts.append(((word ^ errors) << at, weight))
+            least.append(int(weight.min()))
+            at += bits
+        for i, (words, weight) in enumerate(parts):
+            d = distance[:, None] + weight[None, :]
+            x, y = np.nonzero(d <= self.radius + extra - sum(least[i + 1 :]))
+            keys, distance = keys[x] | words[y], d[x, y]
+        return (keys | (fp >> at << at) if self.tagged else keys), distance
+
+    def replicate(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row (anchor, fp, home) for each anchor of each fingerprint; a home is a visitor too."""
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            for a in range(0, len(fps), 4096):
+                keys, who, home = [], [], []
+                for fp in fps[a : a + 4096]:
+                    far, distance = self.anchors(int(fp) & (1 << 64) - 1, self.visitor)
+                    keys.append(far)
+                    home.append(distance <= self.radius + self.home)
+                    who.append(np.full(len(far), fp, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who)), pa.array(np.concatenate(home))], names=["anchor", "fp", "home"])
+
+
+#: Golay, Golay, Hamming over 61 bits; pairs within 3 bits meet as d(x, m) <= 1 and d(m, y) <= 2.
+COVER = Cover(((23, GOLAY, 3), (23, GOLAY, 3), (15, HAMMING, 1)), home=1, visitor=2)
+
+
+def forest(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_home: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
+    """Spanning links among fps, or between fps and other, of pairs of a home and a visitor within bits."""
     both = fps if other is None else np.concatenate((fps, other))
     root = list(range(len(both)))
 
@@ -122,7 +137,7 @@ def forest(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_ho
     out, q, h, base = [], (fps if other is None else other), (home if other is None else other_home), 0 if other is None else len(fps)
     for i in range(len(fps)):
         lo = i + 1 if other is None else 0
-        near = np.flatnonzero((np.bitwise_count(q[lo:] ^ fps[i]) <= BITS) & (home[i] | h[lo:])) + lo + base
+        near = np.flatnonzero((np.bitwise_count(q[lo:] ^ fps[i]) <= bits) & (home[i] | h[lo:])) + lo + base
         for j in near:
             a, b = find(i), find(int(j))
             if a != b:
@@ -131,10 +146,22 @@ def forest(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_ho
     return out
 
 
-def links_of(cols: list[np.ndarray]) -> list[tuple[int, int]]:
+def stars(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_home: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
+    """For each fingerprint a link to the smallest one within bits: one a member, for links that are checked afterwards."""
+    f = np.sort(fps if other is None else np.concatenate((fps, other)))
+    out = []
+    for i in range(1, len(f)):
+        near = np.bitwise_count(f[:i] ^ f[i]) <= bits
+        if near.any():
+            out.append((int(f[i]), int(f[int(near.argmax())])))
+    return out
+
+
+def links_of(cols: list[np.ndarray], bits: int, many) -> list[tuple[int, int]]:
     """Links within each run of equal (anchor, left, right); runs of one and two members cost no Python loop.
 
-    cols: anchor, fp, home and, for anchors dealt in blocks, left, right and the member's own block, side.
+    cols: anchor, fp, home and, for anchors dealt in blocks, left, right and the member's own block, side. many: the links of
+    larger runs.
     """
     anchor, fp, home, *blocks = cols
     if not len(anchor):
@@ -145,7 +172,7 @@ def links_of(cols: list[np.ndarray]) -> list[tuple[int, int]]:
     new = np.flatnonzero(np.concatenate(([True], change)))
     ends = np.append(new[1:], len(anchor))
     pair = new[ends - new == 2]
-    ok = (np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= BITS) & (home[pair] | home[pair + 1])
+    ok = (np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= bits) & (home[pair] | home[pair + 1])
     if blocks:
         ok &= (blocks[0][pair] == blocks[1][pair]) | (blocks[2][pair] != blocks[2][pair + 1])
     pair = pair[ok]
@@ -153,10 +180,10 @@ def links_of(cols: list[np.ndarray]) -> list[tuple[int, int]]:
     for a, b in zip(new[ends - new > 2], ends[ends - new > 2], strict=True):
         f, h = fp[a:b], home[a:b]
         if not blocks or blocks[0][a] == blocks[1][a]:
-            out += forest(f, h, None, None)
+            out += many(f, h, None, None, bits)
         else:
             s = blocks[2][a:b] == blocks[0][a]
-            out += forest(f[s], h[s], f[~s], h[~s])
+            out += many(f[s], h[s], f[~s], h[~s], bits)
     return out
 
 
@@ -172,7 +199,7 @@ def as_links(found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return e[0], e[1]
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], bits: int = BITS, many=forest) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor to links (u, v, anchor null), and the members of anchors of more than BLOCK as they are (home, fp, anchor)."""
     held, crowded = None, None
 
@@ -194,12 +221,12 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crowded, last = int(anchor[-1]), len(anchor)  # its other members come in later batches and are passed on too
         held = [c[last:] for c in cols]
         done = [c[:last] for c in cols]
-        yield batch_of(links_of([c[~big[:last]] for c in done]), [c[big[:last]] for c in done])
+        yield batch_of(links_of([c[~big[:last]] for c in done], bits, many), [c[big[:last]] for c in done])
     if held is not None and len(held[0]):
-        yield batch_of(links_of(held), [c[:0] for c in held])
+        yield batch_of(links_of(held, bits, many), [c[:0] for c in held])
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_blocks(batches: Iterator[pa.RecordBatch], bits: int = BITS, many=forest) -> Iterator[pa.RecordBatch]:
     """Links between two blocks of a crowded anchor; rows come sorted by (anchor, left, right)."""
     held = None
     for batch in batches:
@@ -209,21 +236,22 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         same = (cols[0] == cols[0][-1]) & (cols[3] == cols[3][-1]) & (cols[4] == cols[4][-1])
         cut = int(np.argmax(same))
         held = [c[cut:] for c in cols]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in as_links(links_of([c[:cut] for c in cols]))], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in as_links(links_of([c[:cut] for c in cols], bits, many))], names=["u", "v"])
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in as_links(links_of(held))], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in as_links(links_of(held, bits, many))], names=["u", "v"])
 
 
-def link_forest(fps: DataFrame) -> DataFrame:
-    """(u, v), u > v: links that have the components of all links between the distinct fps.
+def link_forest(fps: DataFrame, cover: Cover = COVER, bits: int = BITS, many=forest) -> DataFrame:
+    """(u, v), u > v: links that have the components of all links between the distinct fps (with stars: some of those links).
 
     One shuffle brings an anchor's members together. An anchor of up to BLOCK members, as nearly all are, is compared there.
     The members of a larger one only pass through: they are dealt into blocks, and blocks meet in pairs, each pair in a task
     of its own, so that no task compares a whole anchor, however many members it has.
     """
     parts = shuffle_partitions(fps.sparkSession)
-    members = fps.mapInArrow(replicate, "anchor long, fp long, home boolean")
-    found = saved(members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long, anchor long"), "compared")
+    members = fps.select("fp").repartition(parts, "fp").mapInArrow(cover.replicate, "anchor long, fp long, home boolean")
+    near = members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: compare(b, bits, many), "u long, v long, anchor long")
+    found = saved(near, "compared")
     links = found.where("anchor IS NULL").select("u", "v")
     crowd = found.where("anchor IS NOT NULL").select("anchor", F.col("v").alias("fp"), (F.col("u") == 1).alias("home"))
     sized = crowd.join(crowd.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
@@ -232,7 +260,7 @@ def link_forest(fps: DataFrame) -> DataFrame:
     spread = sized.select("anchor", "fp", "home", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = spread.select("anchor", "fp", "home", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side")
     dealt = rows.repartition(parts, "anchor", "left", "right").sortWithinPartitions("anchor", "left", "right")
-    return links.union(dealt.mapInArrow(compare_blocks, "u long, v long")).distinct()
+    return links.union(dealt.mapInArrow(lambda b: compare_blocks(b, bits, many), "u long, v long")).distinct()
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -276,10 +304,85 @@ def components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int) -> DataFrame:
-    """The documents of which each component keeps one, the smallest doc_id; rows that repeat an id are one document."""
-    found = near_duplicates(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep_id"), "copies"), F.col("doc_id").eqNullSafe(F.col("_keep_id")))
-    once, more = kept.where("copies = 1"), kept.where("copies > 1").dropDuplicates(["doc_id"])
+# Near duplicates by word shingles: several fingerprints find candidates, shingles decide.
+
+#: Fingerprints of a text's set of words, of PRINT_BITS bits each, tagged with their number above them. Two texts that share 80 %
+#: of their five-word shingles differ in about 2 % of their words, and so in about 8 % of the bits. PRINTS fingerprints miss few.
+PRINTS, PRINT_BITS, NEAR = 12, 46, 2
+PRINT_COVER = Cover(((23, GOLAY, 3), (23, GOLAY, 3)), home=1, visitor=1, tagged=True)
+LAST_ID = 2**63 - 1
+
+
+def word_prints(text: str) -> np.ndarray:
+    h = np.unique(shingle_hashes(text, 1))
+    seeds = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros((PRINTS, 64), np.int64)
+    for a in range(0, len(h), 4096):
+        x = (h[a : a + 4096] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(PRINTS, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<u8")[:, 0] & np.uint64((1 << PRINT_BITS) - 1)
+    return (bits | np.arange(PRINTS, dtype=np.uint64) << np.uint64(PRINT_BITS)).view(np.int64)
+
+
+def print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from hashlib import blake2b
+
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        same = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array([word_prints(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "same", "prints"])
+
+
+def alike(words: int, similarity: float):
+    """Rows (a, b, text_a, text_b), sorted by a, to the pairs (u, v) whose sets of shingles are as similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, None
+        for batch in batches:
+            u, v = [], []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                if held != (a, x):
+                    held, own = (a, x), np.unique(shingle_hashes(x, words))
+                other = np.unique(shingle_hashes(y, words))
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= similarity * (len(own) + len(other) - both):
+                    u.append(max(a, b))
+                    v.append(min(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, first_id) for each row (null as the largest id): the smallest id of its group of exact and near copies.
+
+    Copies are merged first. Of the others, texts with a fingerprint in common, or two within NEAR bits, are candidates: each
+    is paired with the first such text, never all with all. Candidates whose sets of word shingles reach the similarity are
+    linked, and groups are the components of the links. Texts move only to where their candidates are checked.
+    """
+    texts = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
+    prints = saved(texts.mapInArrow(print_rows, "doc_id long, same binary, prints array<bigint>"), "prints")
+    once = saved(prints.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.first("prints").alias("prints")), "once")
+    tagged = once.select("first_id", F.explode("prints").alias("fp"))
+    firsts = saved(tagged.groupBy("fp").agg(F.min("first_id").alias("a")), "firsts")
+    shared = tagged.join(firsts, "fp").select("a", F.col("first_id").alias("b"))
+    links = link_forest(firsts, PRINT_COVER, NEAR, stars)
+    near = links.join(firsts.select(F.col("fp").alias("u"), "a"), "u").join(firsts.select(F.col("fp").alias("v"), F.col("a").alias("b")), "v").select("a", "b")
+    pairs = saved(shared.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    some = texts.join(needed, "doc_id", "left_semi")
+    checked = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    roots = contract(checked.mapInArrow(alike(words, similarity), "u long, v long"))
+    of = once.join(roots.select(F.col("fp").alias("first_id"), "root"), "first_id", "left").select("same", F.coalesce("root", "first_id").alias("first_id"))
+    return prints.join(of, "same").select("doc_id", "first_id")
+
+
+def representatives(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The documents of which each group keeps one, the smallest doc_id (null last); rows that repeat an id are one document."""
+    found = duplicate_ids(docs, words, similarity).where("doc_id = first_id")
+    keep = found.groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count("*").alias("_copies"))
+    kept = docs.join(keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_keep_id"))
+    once, more = kept.where("_copies = 1"), kept.where("_copies > 1").dropDuplicates(["doc_id"])
     return once.unionByName(more).select(*docs.columns)

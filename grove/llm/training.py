@@ -33,7 +33,7 @@ def examples(rows: DataFrame, features: Callable[[list[str]], list[tuple[np.ndar
 
     got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at binary, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["at"])))
-    return [(np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64), r["y"]) for r in got]
+    return [(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["x"], "<f4"), r["y"]) for r in got]
 
 
 def scored(docs: DataFrame, scores: Callable[[list[str]], list[float]], mod: int, rest: int, threshold: float) -> DataFrame:
