@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from grove.functions.names import second_last_part, split_camel, split_snake
 
@@ -157,7 +158,7 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """porter of each term; the index stems distinct terms only."""
     for s in batches:

@@ -132,11 +132,11 @@ _STRINGS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
 _CHARS = r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])\''
 _NOT_CALLS = frozenset(
     "if for while switch catch return function else do try with new typeof sizeof await yield throw case in of not and or elseif elif unless until when match fn func def sub let var const val assert defined super lock using foreach "
-    "constructor init guard where loop unsafe impl select from values insert into create table check primary references unique foreign key varchar decimal numeric char".split()
+    "constructor init guard where loop unsafe impl".split()
 )
 
 
-_NOT_NAMES = _NOT_CALLS - {"constructor", "init", "check", "match", "select", "values", "create", "insert", "guard"}
+_NOT_NAMES = _NOT_CALLS - {"constructor", "init", "match", "guard"}
 
 
 @dataclass
@@ -376,7 +376,7 @@ RULES: dict[str, Rules] = {
     ),
     "sql": Rules(
         heads=[("class", r"^[ \t]*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.]+)"), ("function", r"^[ \t]*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+(?P<name>[\w.]+)"), ("property", r"^[ \t]+(?!primary\b|foreign\b|unique\b|check\b|constraint\b|select\b|from\b|join\b|where\b|group\b|order\b|return|begin|end)(?P<name>\w+)\s+(?:serial|bigserial|smallint|integer|int|bigint|decimal|numeric|real|double|float|text|varchar|char|boolean|bool|date|time|timestamp|timestamptz|uuid|json|jsonb|bytea|blob)\b")],
-        comments=r"--[^\n]*|/\*.*?\*/", strings=r"'(?:''|[^'])*'", flags=re.M | re.I, new=None, joins="", builtins=frozenset("sum count avg min max coalesce now current_timestamp table returns".split()),
+        comments=r"--[^\n]*|/\*.*?\*/", strings=r"'(?:''|[^'])*'", flags=re.M | re.I, new=None, joins="", builtins=frozenset("sum count avg min max coalesce now current_timestamp table returns select from values insert into create check primary key unique references foreign varchar decimal numeric char".split()),
         edges=[("references_type", r"\breferences\s+([\w.]+)"), ("references_type", r"\bfrom\s+(?!\()([\w.]+)"), ("references_type", r"\bjoin\s+([\w.]+)")],
     ),
 }

