@@ -76,6 +76,9 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The projected graph, kept in executors' memory and disk for the session."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _cached:
+        for old in _cached.values():
+            old.symbols.unpersist()
+            old.edges.unpersist()
         _cached.clear()
         _cached[key] = CodeGraph(symbols(spark, sf_dir).persist(), edges(spark, sf_dir).persist())
     return _cached[key]
