@@ -28,7 +28,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     global _memo
-    if len(_memo) > 400_000:
+    if len(_memo) > 100_000:
         _memo = {}
     for w in [w for w in set(words) if w not in _memo]:
         _memo[w] = xxh64_intdigest(w.encode("utf-8", "surrogatepass"))

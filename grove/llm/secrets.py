@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import id_text
+from grove.llm.common import fresh, id_text
 
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
@@ -90,9 +90,10 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
     """docs with a column of sorted spans (start, kind as a place in KINDS, end) of each whole text; null: none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    raw = docs.withColumns({"_assign": matches(text, ASSIGN, 2), "_access": matches(text, ACCESS), "_hex": matches(text, HEX), "_cand": matches(text, CANDIDATE)})
+    assigned, access, hexes, cand = fresh(docs, "assign", "access", "hex", "cand")
+    raw = docs.withColumns({assigned: matches(text, ASSIGN, 2), access: matches(text, ACCESS), hexes: matches(text, HEX), cand: matches(text, CANDIDATE)})
     no_secret = lambda x: x.rlike("|".join(f"(?:{a})" for a in ALLOW))
-    wanted = raw.withColumn("_cand", F.filter("_cand", lambda c: c["hit"].rlike("[0-9]") & c["hit"].rlike("[A-Za-z]") & ~no_secret(c["hit"])))
+    wanted = raw.withColumn(cand, F.filter(cand, lambda c: c["hit"].rlike("[0-9]") & c["hit"].rlike("[A-Za-z]") & ~no_secret(c["hit"])))
 
     once = lambda c, f: F.get(F.transform(F.array(c), f), 0)
     one = "struct<start:bigint,kind:int,end:bigint>"
@@ -108,12 +109,12 @@ def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
 
     as_span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))
     found = F.concat(
-        F.transform(F.filter("_assign", lambda x: F.char_length(x["part"]) >= 8), as_span(0)).cast(_SPAN),
-        F.transform("_access", as_span(1)).cast(_SPAN),
-        F.transform("_hex", as_span(2)).cast(_SPAN),
-        F.when(F.size("_cand") == 0, F.array().cast(_SPAN)).otherwise(F.filter(F.transform("_cand", entropy), lambda x: x["end"] > 0)),
+        F.transform(F.filter(assigned, lambda x: F.char_length(x["part"]) >= 8), as_span(0)).cast(_SPAN),
+        F.transform(access, as_span(1)).cast(_SPAN),
+        F.transform(hexes, as_span(2)).cast(_SPAN),
+        F.when(F.size(cand) == 0, F.array().cast(_SPAN)).otherwise(F.filter(F.transform(cand, entropy), lambda x: x["end"] > 0)),
     )
-    return wanted.withColumn(to, F.sort_array(found)).drop("_assign", "_access", "_hex", "_cand")
+    return wanted.withColumn(to, F.sort_array(found)).drop(assigned, access, hexes, cand)
 
 
 def listed(spans: Column) -> Column:
@@ -134,17 +135,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced in text, spans that overlap by one mark, and n_chars counted anew where one was."""
-    rows = with_spans(docs, "text", "_found")
+    (found,) = fresh(docs, "found")
+    rows = with_spans(docs, "text", found)
 
     def cut(s: Column, x: Column) -> Column:
         piece = F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], piece).otherwise(s["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("_found", zero, cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    rows = rows.withColumn("text", F.when(F.size("_found") > 0, new).otherwise(F.col("text")))
+    new = F.aggregate(found, zero, cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    rows = rows.withColumn("text", F.when(F.size(found) > 0, new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_found") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(found) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

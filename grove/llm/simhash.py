@@ -16,13 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import id_text, saved, shuffle_partitions
+from grove.llm.common import fresh, id_text, saved, shuffle_partitions, small_batches
 
 WORDS, BITS, SEED = 3, 3, 42
 BLOCK = 2048
@@ -64,18 +66,30 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return id_text(docs).mapInArrow(fingerprint_map(words), "doc_id long, fp long")
 
 
-@lru_cache(maxsize=2)
-def code(bits: int, generator: int, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Of a cyclic code: each word's syndrome and, for each syndrome, the error patterns up to weight most, and their weights."""
+@lru_cache(maxsize=8)
+def code(bits: int, generator: int, most: int) -> tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of a cyclic code: its degree, the syndromes of the bits from there on, and the error patterns of each syndrome.
+
+    A word's syndrome is that of its high bits xor its low bits. Patterns go up to weight most, with their weights.
+    """
     degree = generator.bit_length() - 1
-    values = np.arange(1 << bits, dtype=np.uint32)
-    syndrome = values.copy()
-    for bit in range(bits - 1, degree - 1, -1):
-        syndrome ^= ((syndrome >> np.uint32(bit)) & np.uint32(1)) * np.uint32(generator << (bit - degree))
-    few = np.flatnonzero(np.bitwise_count(values) <= most).astype(np.int64)
-    few = few[np.argsort(syndrome[few], kind="stable")]
-    bounds = np.searchsorted(syndrome[few], np.arange((1 << degree) + 1))
-    return syndrome.astype(np.uint16), [(e := few[a:b], np.bitwise_count(e)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    units = []
+    for b in range(bits):
+        x = 1 << b
+        for high in range(b, degree - 1, -1):
+            if x >> high & 1:
+                x ^= generator << (high - degree)
+        units.append(x)
+    high = np.zeros(1 << (bits - degree), np.int64)
+    for b in range(degree, bits):
+        high[1 << (b - degree) : 2 << (b - degree)] = high[: 1 << (b - degree)] ^ units[b]
+    unit, value = np.array(units), np.left_shift(1, np.arange(bits))
+    some = [np.array(list(combinations(range(bits), w)), np.int64).reshape(comb(bits, w), w) for w in range(most + 1)]
+    words = np.concatenate([np.bitwise_or.reduce(value[c], axis=1) if c.shape[1] else np.zeros(1, np.int64) for c in some])
+    syndromes = np.concatenate([np.bitwise_xor.reduce(unit[c], axis=1) if c.shape[1] else np.zeros(1, np.int64) for c in some])
+    order = np.argsort(syndromes, kind="stable")
+    bounds = np.searchsorted(syndromes[order], np.arange((1 << degree) + 1))
+    return degree, high, [(e := words[order[a:b]], np.bitwise_count(e)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class Cover:
@@ -93,9 +107,9 @@ class Cover:
         keys, distance, at, least = np.zeros(1, np.int64), np.zeros(1, np.int64), 0, []
         parts = []
         for bits, generator, radius in self.codes:
-            syndrome, patterns = code(bits, generator, radius + extra)
+            degree, high, patterns = code(bits, generator, radius + extra)
             word = fp >> at & (1 << bits) - 1
-            errors, weight = patterns[syndrome[word]]
+            errors, weight = patterns[high[word >> degree] ^ word & (1 << degree) - 1]
             parts.append(((word ^ errors) << at, weight))
             least.append(int(weight.min()))
             at += bits
@@ -308,7 +322,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 #: Fingerprints of a text's set of words, of PRINT_BITS bits each, tagged with their number above them. Two texts that share 80 %
 #: of their five-word shingles differ in about 2 % of their words, and so in about 8 % of the bits. PRINTS fingerprints miss few.
-PRINTS, PRINT_BITS, NEAR = 12, 46, 2
+PRINTS, PRINT_BITS, NEAR = 20, 46, 2
 PRINT_COVER = Cover(((23, GOLAY, 3), (23, GOLAY, 3)), home=1, visitor=1, tagged=True)
 LAST_ID = 2**63 - 1
 
@@ -321,7 +335,8 @@ def word_prints(text: str) -> np.ndarray:
         x = (h[a : a + 4096] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(32)
-        counts += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(PRINTS, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+        low = x.astype("<u8").view(np.uint8).reshape(PRINTS, -1, 8)[:, :, :6]
+        counts[:, :48] += np.add.reduce(np.unpackbits(low, axis=2, bitorder="little"), axis=1, dtype=np.uint16)
     bits = np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<u8")[:, 0] & np.uint64((1 << PRINT_BITS) - 1)
     return (bits | np.arange(PRINTS, dtype=np.uint64) << np.uint64(PRINT_BITS)).view(np.int64)
 
@@ -373,16 +388,17 @@ def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     pairs = saved(shared.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     some = texts.join(needed, "doc_id", "left_semi")
-    checked = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    checked = small_batches(pairs).join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     roots = contract(checked.mapInArrow(alike(words, similarity), "u long, v long"))
     of = once.join(roots.select(F.col("fp").alias("first_id"), "root"), "first_id", "left").select("same", F.coalesce("root", "first_id").alias("first_id"))
-    return prints.join(of, "same").select("doc_id", "first_id")
+    return prints.select("doc_id", "same").join(of, "same").select("doc_id", "first_id")
 
 
 def representatives(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The documents of which each group keeps one, the smallest doc_id (null last); rows that repeat an id are one document."""
     found = duplicate_ids(docs, words, similarity).where("doc_id = first_id")
-    keep = found.groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count("*").alias("_copies"))
-    kept = docs.join(keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_keep_id"))
-    once, more = kept.where("_copies = 1"), kept.where("_copies > 1").dropDuplicates(["doc_id"])
+    keep_id, copies = fresh(docs, "keep_id", "copies")
+    keep = found.groupBy(F.col("doc_id").alias(keep_id)).agg(F.count("*").alias(copies))
+    kept = docs.join(keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col(keep_id))
+    once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates(["doc_id"])
     return once.unionByName(more).select(*docs.columns)

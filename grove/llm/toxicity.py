@@ -89,7 +89,7 @@ def options(word: str) -> list[list[tuple[str, float]]]:
             out.append([("", DROP), (" ", BREAK)])
         elif ch in LEET:
             own = [(x, SIGN) for x in LEET[ch]]
-            out.append(own + ([("", DROP)] if i and word[i - 1] == ch else []))
+            out.append(own + ([("", DROP)] if ch == "!" or (i and word[i - 1] == ch) else []))
         elif i and word[i - 1] == ch and ch.isalpha():
             out.append([(ch, 0.0), ("", DROP)])
         else:
@@ -126,7 +126,7 @@ def stripped(word: str) -> str:
     """The word without runs of a symbol and without symbols at its ends, unless one there can be a letter."""
     word = _RUN.sub(" ", word).strip()
     a, z = 0, len(word)
-    while a < z and not word[a].isalnum() and not (word[a] in "@$" and a + 1 < z and word[a + 1].isalnum()):
+    while a < z and not word[a].isalnum() and not (word[a] in "@$!" and a + 1 < z and word[a + 1].isalnum()):
         a += 1
     while z > a and not word[z - 1].isalnum() and word[z - 1] not in "@$":
         z -= 1
@@ -138,7 +138,7 @@ class Restorer:
     """Words to their clean forms, with a bounded memo in each worker."""
 
     cost: np.ndarray
-    limit: int = 200_000
+    limit: int = 50_000
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -199,7 +199,7 @@ class Model:
     restorer: Restorer
     weights: dict[int, float] | None
     bias: float
-    limit: int = 400_000
+    limit: int = 150_000
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import held_out, id_text
+from grove.llm.common import held_out, id_text, small_batches
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, limit: int) -> DataFrame:
@@ -56,4 +56,4 @@ def kept(docs: DataFrame, scores: Callable[[list[str]], list[float]], keep: Call
             texts = ["" if t is None else t for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([keep(s) for s in scores(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
