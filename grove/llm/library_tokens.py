@@ -46,7 +46,12 @@ def encoder(path: str, spaces: bool) -> WordMemo:
 
     if normalizer is None:
         return WordMemo(find, encode, spaces)
-    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, fold=True)
+    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, folded)
+
+
+def folded(text: str) -> str:
+    """The text in lower case, where that is what the normalizer makes of each letter."""
+    return text.lower() if text.isascii() or ("Σ" not in text and "İ" not in text and is_normalized("NFC", text)) else text
 
 
 def plain_word(piece: str) -> bool:

@@ -13,8 +13,8 @@ from itertools import islice
 
 _BETWEEN = re.compile(r"\s \s").search
 _VISIBLE = re.compile(r" (?=\S)").split
-#: Signs that end words and never join what follows in the same piece.
-SIGNS = frozenset(",.;:!?")
+#: Signs that, in a row after a word, are one pre-token (an apostrophe may begin another).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Memo(dict):
@@ -44,10 +44,10 @@ class WordMemo:
 
     split gives the pre-tokens of a piece and encode the ids of a pre-token. spaces: whether a space belongs to the pre-token
     after it; if not, white space only separates. plain tells whether letters alone are one pre-token as they stand, and fold
-    whether the case of ASCII letters makes no difference.
+    gives a form of a text that has the same ids and more pieces in common with others.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes], spaces: bool = True, plain: Callable[[str], bool] = str.isalpha, fold: bool = False, limit: int = 350_000) -> None:
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes], spaces: bool = True, plain: Callable[[str], bool] = str.isalpha, fold: Callable[[str], str] | None = None, limit: int = 350_000) -> None:
         self.split, self.encode, self.plain, self.spaces, self.fold = split, encode, plain, spaces, fold
         self.parts = Memo(encode, limit // 4)
         self.pieces = Memo(self.spaced if spaces else self.bare, limit)
@@ -57,19 +57,21 @@ class WordMemo:
         return b"".join(map(self.parts.__getitem__, self.split(piece)))
 
     def bare(self, piece: str) -> bytes:
-        """A piece as it stands. Letters, with one sign after them at most, need no pattern."""
+        """A piece as it stands. Letters, and signs in a row after them, need no pattern."""
         if self.plain(piece):
             return self.encode(piece)
-        if piece[-1:] in SIGNS and self.plain(piece[:-1]):
-            return self.heads[piece[:-1]] + self.parts[piece[-1]]
+        word = piece.rstrip(SIGNS)
+        if len(word) < len(piece) and self.plain(word):
+            return self.heads[word] + self.parts[piece[len(word) :]]
         return self.any(piece)
 
     def spaced(self, piece: str) -> bytes:
         """A piece with the space before it. A newline between two visible characters is a pre-token of its own."""
         if self.plain(piece):
             return self.encode(" " + piece)
-        if piece[-1:] in SIGNS and self.plain(piece[:-1]):
-            return self.pieces[piece[:-1]] + self.parts[piece[-1]]
+        word = piece.rstrip(SIGNS)
+        if len(word) < len(piece) and self.plain(word):
+            return self.pieces[word] + self.parts[piece[len(word) :]]
         if piece.count("\n") == 1 and len(two := piece.split()) == 2 and len(two[0]) + len(two[1]) + 1 == len(piece):
             return self.pieces[two[0]] + self.parts["\n"] + self.heads[two[1]]
         return self.any(" " + piece)
@@ -77,7 +79,7 @@ class WordMemo:
     def text(self, text: str) -> bytes:
         if not self.spaces:
             text = text.replace("\n", " ")
-            return b"".join(map(self.pieces.__getitem__, (text.lower() if self.fold and text.isascii() else text).split(" ")))
+            return b"".join(map(self.pieces.__getitem__, (self.fold(text) if self.fold else text).split(" ")))
         cut = _VISIBLE(text) if _BETWEEN(text) else text.split(" ")
         return self.any(cut[0]) + b"".join(map(self.pieces.__getitem__, islice(cut, 1, None)))
 
