@@ -6,16 +6,16 @@ import numpy as np
 
 
 class FTRL:
-    """Per-coordinate FTRL-proximal. The bias is not regularised."""
+    """Per-coordinate FTRL-proximal. The bias is not regularised. rising: no weight below zero."""
 
-    def __init__(self, bits: int, alpha: float, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1) -> None:
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    def __init__(self, bits: int, alpha: float, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, rising: bool = False) -> None:
+        self.alpha, self.beta, self.l1, self.l2, self.rising = alpha, beta, l1, l2, rising
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
-        return np.where(np.abs(z) > self.l1, w, 0.0)
+        return np.where((z < -self.l1) if self.rising else (np.abs(z) > self.l1), w, 0.0)
 
     def update(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
         """at: distinct features of one example; x: their values."""
