@@ -280,16 +280,17 @@ def link_forest(fps: DataFrame, cover: Cover = COVER, bits: int = BITS, many=for
 def contract(links: DataFrame) -> DataFrame:
     """(fp, root): the smallest signed fp of each component, for every fp that has a link.
 
-    Alternating large-star and small-star steps until nothing changes. Minima are combined before the shuffle, and the join
-    that follows can be split where one star has most of the leaves. Each step is written to the shared folder.
+    Alternating large-star and small-star steps until nothing changes. Minima are combined before the shuffle and written, so
+    that the join with them shuffles both sides anew and can be split where one star has most of the leaves. Each step is
+    written to the shared folder.
     """
     edges = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = saved(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         small = saved(small, "small")
         same = small.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
