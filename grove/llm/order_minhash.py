@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import Deal, id_text, shuffle_partitions, slices
+from grove.llm.common import Deal, id_text, longs, shuffle_partitions, slices
 
 K, TUPLE, SKETCHES = 6, 2, 64
 BLOCK = 1 << 13
@@ -117,8 +117,6 @@ def in_order(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, Deal
     to = lambda p, b: F.struct(p.cast("int").alias("p"), F.lit(b).alias("b"))
     places = F.when(key == F.lit(deal.first), F.array(to(part, False), to(F.lit(deal.parts - 1), True)))
     if deal.cuts:
-        from grove.llm.common import longs
-
         places = places.when(F.array_contains(longs(deal.cuts), key), F.array(to(part, False), to(part - 1, True)))
     dealt = docs.select("doc_id", "text", F.explode(places.otherwise(F.array(to(part, False)))).alias("to"))
     dealt = dealt.select("doc_id", "text", F.col("to.p").alias("part"), F.col("to.b").alias("borrowed")).repartitionById(deal.parts, F.col("part"))

@@ -61,7 +61,6 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total = np.zeros(1 << 15, np.int64)
     for b in batches:
         for t in b.column("text").to_pylist():
-            c = np.zeros(2 * len(t) + 3, np.uint8)
             raw = np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16)
             c = np.zeros(len(raw) + 3, np.int64)
             c[2:-1] = classes()[raw]
