@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.llm.common import fresh, id_text, saved, shuffle_partitions, small_batches
@@ -160,17 +160,6 @@ def forest(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_ho
     return out
 
 
-def stars(fps: np.ndarray, home: np.ndarray, other: np.ndarray | None, other_home: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
-    """For each fingerprint a link to the smallest one within bits: one a member, for links that are checked afterwards."""
-    f = np.sort(fps if other is None else np.concatenate((fps, other)))
-    out = []
-    for i in range(1, len(f)):
-        near = np.bitwise_count(f[:i] ^ f[i]) <= bits
-        if near.any():
-            out.append((int(f[i]), int(f[int(near.argmax())])))
-    return out
-
-
 def links_of(cols: list[np.ndarray], bits: int, many) -> list[tuple[int, int]]:
     """Links within each run of equal (anchor, left, right); runs of one and two members cost no Python loop.
 
@@ -256,7 +245,7 @@ def compare_blocks(batches: Iterator[pa.RecordBatch], bits: int = BITS, many=for
 
 
 def link_forest(fps: DataFrame, cover: Cover = COVER, bits: int = BITS, many=forest) -> DataFrame:
-    """(u, v), u > v: links that have the components of all links between the distinct fps (with stars: some of those links).
+    """(u, v), u > v: links that have the components of all links between the distinct fps.
 
     One shuffle brings an anchor's members together. An anchor of up to BLOCK members, as nearly all are, is compared there.
     The members of a larger one only pass through: they are dealt into blocks, and blocks meet in pairs, each pair in a task
@@ -319,36 +308,58 @@ def components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by word shingles: several fingerprints find candidates, shingles decide.
+# Near duplicates by word shingles: an exact join over the prefixes of the texts' sets of shingles.
 
-#: Fingerprints of a text's set of words, of PRINT_BITS bits each, tagged with their number above them. Two texts that share 80 %
-#: of their five-word shingles differ in about 2 % of their words, and so in about 8 % of the bits. PRINTS fingerprints miss few.
-PRINTS, PRINT_BITS, NEAR = 20, 46, 2
-PRINT_COVER = Cover(((23, GOLAY, 3), (23, GOLAY, 3)), home=1, visitor=1, tagged=True)
 LAST_ID = 2**63 - 1
+#: Shingles of LEAST or more of about SAMPLE texts, COMMON of them at most, come last in the order of shingles. The order decides
+#: how many candidates there are, never which pairs are found.
+SAMPLE, LEAST, COMMON = 10_000, 4, 50_000
+SLACK = 1e-6
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, common ones last: so many that sets as similar have one of them in common.
+
+    Of n shingles, at least similarity * n are in the other set, and so the first common one is among the first n - that + 1.
+    """
+    n = len(shingles)
+    if n and len(common):
+        last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        shingles = np.concatenate((shingles[~last], shingles[last]))
+    return shingles[: n - int(np.ceil(similarity * n - SLACK)) + 1]
+
+
+def shingle_counts(words: int):
+    """Rows (shingle, n): in how many texts of a batch a shingle is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    return run
+
 
+def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    found = some.select("text").mapInArrow(shingle_counts(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
-def word_prints(text: str) -> np.ndarray:
-    h = np.unique(shingle_hashes(text, 1))
-    seeds = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros((PRINTS, 64), np.int64)
-    for a in range(0, len(h), 4096):
-        x = (h[a : a + 4096] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-        low = x.astype("<u8").view(np.uint8).reshape(PRINTS, -1, 8)[:, :, :6]
-        counts[:, :48] += np.add.reduce(np.unpackbits(low, axis=2, bitorder="little"), axis=1, dtype=np.uint16)
-    bits = np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<u8")[:, 0] & np.uint64((1 << PRINT_BITS) - 1)
-    return (bits | np.arange(PRINTS, dtype=np.uint64) << np.uint64(PRINT_BITS)).view(np.int64)
 
+def prefix_rows(words: int, similarity: float, common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
 
-def print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from hashlib import blake2b
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            same = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            first = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), same, pa.array([len(s) for s in sets], pa.int64()), first], names=["doc_id", "digest", "same", "n", "prefix"])
 
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        same = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array([word_prints(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "same", "prints"])
+    return run
 
 
 def alike(words: int, similarity: float):
@@ -371,28 +382,72 @@ def alike(words: int, similarity: float):
     return run
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest): a null id as the largest."""
+    return id_text(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text", F.sha2("text", 256).alias("digest"))
+
+
+def enough(shared: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b, m, n), one a shingle that both prefixes hold, to the pairs (a, b) that can be as similar. m, n: sizes of the sets.
+
+    Sets as similar share s / (1 + s) * (m + n) shingles. Those that aren't in both prefixes lie behind the prefix that ends first.
+    """
+    behind = lambda c: F.ceil(similarity * F.col(c) - SLACK) - 1
+    need = similarity / (1 + similarity) * (F.col("m") + F.col("n")) - F.greatest(behind("m"), behind("n")) - SLACK
+    sized = shared.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - SLACK)
+    pairs = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b")
+
+
+def checked(pairs: DataFrame, once: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): those of the pairs whose sets of shingles are as similar. Texts move only to where their pairs are."""
+    pairs = saved(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    some = saved(texts.join(once.join(needed, "v").select("v", "first.*"), ["doc_id", "digest"]).select("v", "text"), "texts")
+    both = small_batches(pairs).join(some.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
+    return saved(both.mapInArrow(alike(words, similarity), "u long, v long"), "alike")
+
+
+def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, same) for each row, and (same, first) for each set of shingles: the first (doc_id, digest) of its group.
+
+    Texts of equal sets are merged first. Of the others, all that have a shingle of their prefixes in common are candidates, but
+    for those that share too few of them; so no pair is lost. First each shingle's texts are paired with one of them, which
+    links most copies. Then all pairs that those links leave in different groups are taken: of a shingle's texts, those outside
+    its largest group are paired with all others.
+    """
+    texts = keyed_texts(docs)
+    common = common_shingles(texts, words)
+    prints = saved(texts.mapInArrow(prefix_rows(words, similarity, common), "doc_id long, digest string, same binary, n long, prefix array<bigint>"), "prints")
+    sets = prints.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    once = saved(sets.withColumn("v", F.monotonically_increasing_id()), "once")
+    each = Window.partitionBy("shingle")
+    tokens = once.select("v", "n", F.explode("prefix").alias("shingle"))
+    shared = saved(tokens.select("*", F.count("*").over(each).alias("texts"), F.min(F.struct("v", "n")).over(each).alias("one")).where("texts > 1").drop("texts"), "shared")
+    star = shared.where("v <> one.v").select(F.col("one.v").alias("a"), F.col("v").alias("b"), F.col("one.n").alias("m"), "n")
+    links = checked(enough(star, similarity), once, texts, words, similarity)
+    roots = saved(contract(links), "roots")
+    member = shared.join(roots.withColumnRenamed("fp", "v"), "v", "left").select("shingle", "v", "n", F.coalesce("root", "v").alias("root"))
+    parts = shuffle_partitions(docs.sparkSession)
+    sized = member.repartition(parts, "shingle").withColumn("size", F.count("*").over(Window.partitionBy("shingle", "root")))
+    mixed = saved(sized.withColumn("main", F.max(F.struct("size", "root")).over(each)["root"]).withColumn("roots", F.min("root").over(each) != F.max("root").over(each)).where("roots"), "mixed")
+    left = mixed.where("root <> main").select("shingle", F.col("v").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"))
+    right = mixed.select("shingle", F.col("v").alias("b"), "n", F.col("root").alias("root_b"), "main")
+    rest = left.join(right, "shingle").where("root_a <> root_b AND (root_b = main OR a < b)")
+    more = checked(enough(rest, similarity), once, texts, words, similarity)
+    roots = contract(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).union(more))
+    of = once.join(roots.select(F.col("fp").alias("v"), "root"), "v", "left").select("same", F.coalesce("root", "v").alias("root"), "first")
+    least = of.groupBy("root").agg(F.min("first").alias("first"))
+    return prints.select("doc_id", "digest", "same"), of.select("same", "root").join(least, "root").select("same", "first")
+
+
 def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, first_id) for each row (null as the largest id): the smallest id of its group of exact and near copies.
 
-    Copies are merged first. Of the others, texts with a fingerprint in common, or two within NEAR bits, are candidates: each
-    is paired with the first such text, never all with all. Candidates whose sets of word shingles reach the similarity are
-    linked, and groups are the components of the links. Texts move only to where their candidates are checked.
+    Groups are the components of the pairs of texts whose sets of word shingles reach the similarity.
     """
-    texts = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    prints = saved(texts.mapInArrow(print_rows, "doc_id long, same binary, prints array<bigint>"), "prints")
-    once = saved(prints.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.first("prints").alias("prints")), "once")
-    tagged = once.select("first_id", F.explode("prints").alias("fp"))
-    firsts = saved(tagged.groupBy("fp").agg(F.min("first_id").alias("a")), "firsts")
-    shared = tagged.join(firsts, "fp").select("a", F.col("first_id").alias("b"))
-    links = link_forest(firsts, PRINT_COVER, NEAR, stars)
-    near = links.join(firsts.select(F.col("fp").alias("u"), "a"), "u").join(firsts.select(F.col("fp").alias("v"), F.col("a").alias("b")), "v").select("a", "b")
-    pairs = saved(shared.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    some = texts.join(needed, "doc_id", "left_semi")
-    checked = small_batches(pairs).join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = contract(checked.mapInArrow(alike(words, similarity), "u long, v long"))
-    of = once.join(roots.select(F.col("fp").alias("first_id"), "root"), "first_id", "left").select("same", F.coalesce("root", "first_id").alias("first_id"))
-    return prints.select("doc_id", "same").join(of, "same").select("doc_id", "first_id")
+    rows, groups = grouped(docs, words, similarity)
+    return rows.join(groups, "same").select("doc_id", F.col("first.doc_id").alias("first_id"))
 
 
 def representatives(docs: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -192,3 +192,26 @@ def test_representatives_keep_columns(odd):
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 7 in ids and 8 not in ids and 9 not in ids and None in ids
+
+
+def groups_by_brute_force(docs):
+    """The smallest id of each id's component of pairs that share 80 % of their five-word shingles."""
+    sets = [(d, set(sh.shingle_hashes(t, 5).tolist())) for d, t in docs]
+    group = {d: d for d, _ in sets}
+    pairs = [(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) >= 0.8 * len(x | y)]
+    for _ in sets:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    return group
+
+
+def groups(spark, docs):
+    return {r["doc_id"]: r["first_id"] for r in sh.duplicate_ids(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8).collect()}
+
+
+def test_groups_of_equal_words(spark):
+    """The first text with the same words isn't similar to the others, which are to each other."""
+    words = [f"w{i}" for i in range(200)]
+    docs = [(1, "red blue"), (2, "blue red"), (3, "Blue red"), (10, " ".join(words[::-1])), (11, " ".join(words)), (12, " ".join([*words[5:], *words[:5]])), (13, " ".join([*words[10:], *words[:10]]))]
+    got = groups(spark, docs)
+    assert got == groups_by_brute_force(docs) == {1: 1, 2: 2, 3: 2, 10: 10, 11: 11, 12: 11, 13: 11}
