@@ -215,3 +215,20 @@ def test_groups_of_equal_words(spark):
     docs = [(1, "red blue"), (2, "blue red"), (3, "Blue red"), (10, " ".join(words[::-1])), (11, " ".join(words)), (12, " ".join([*words[5:], *words[:5]])), (13, " ".join([*words[10:], *words[:10]]))]
     got = groups(spark, docs)
     assert got == groups_by_brute_force(docs) == {1: 1, 2: 2, 3: 2, 10: 10, 11: 11, 12: 11, 13: 11}
+
+
+def test_groups_of_block_edits(spark):
+    """Each text with a copy that lost its tail, or got a header or a passage: similarity 0.8 and little more."""
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    docs = []
+    for i in range(90):
+        base = [word() for _ in range(r.choice([60, 150, 400, 1500]))]
+        new = [word() for _ in range(len(base) // 5 - 4 - r.randrange(3))]
+        cut = r.randrange(len(base))
+        copy = [base[: len(base) - len(new)], new + base, base[:cut] + new + base[cut:]][i % 3]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    want = groups_by_brute_force(docs)
+    assert sum(d != g for d, g in want.items()) >= 80 and groups(spark, docs) == want
