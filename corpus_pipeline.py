@@ -1,8 +1,8 @@
 """A corpus from raw documents to packed sequences, in stages that are each written and read again.
 
 In every stage a null text counts as empty, nulls in other columns pass through, and an empty table gives an empty table.
-Rows that repeat an id are judged each by itself, but for near_dedup, which keeps one row an id; a null id counts as the
-largest. Further columns, whatever their names, pass through all stages but the last, which returns pieces.
+Rows that repeat an id are judged each by itself, but for near_dedup, which keeps one row an id, and each text without an id
+that has no copy; a null id counts as the largest. Further columns, whatever their names, pass through all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations

@@ -411,6 +411,8 @@ def checked(pairs: DataFrame, once: DataFrame, texts: DataFrame, words: int, sim
 def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, same) for each row, and (same, first) for each set of shingles: the first (doc_id, digest) of its group.
 
+    An id that repeats with other texts stands for the first of them by digest; each text without an id stands for itself.
+
     Texts of equal sets are merged first. Of the others, all that have a shingle of their prefixes in common are candidates, but
     for those that share too few of them; so no pair is lost. First each shingle's texts are paired with one of them, which
     links most copies. Then all pairs that those links leave in different groups are taken: of a shingle's texts, those outside
@@ -419,6 +421,8 @@ def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     texts = keyed_texts(docs)
     common = common_shingles(texts, words)
     prints = saved(texts.mapInArrow(prefix_rows(words, similarity, common), "doc_id long, digest string, same binary, n long, prefix array<bigint>"), "prints")
+    repeated = prints.where(F.col("doc_id") < LAST_ID).groupBy("doc_id").agg(F.min("digest").alias("own"), F.max("digest").alias("last")).where("own <> last").select("doc_id", "own")
+    prints = prints.join(repeated, "doc_id", "left").where("own IS NULL OR own = digest").drop("own")
     sets = prints.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     once = saved(sets.withColumn("v", F.monotonically_increasing_id()), "once")
     each = Window.partitionBy("shingle")
@@ -451,10 +455,15 @@ def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The documents of which each group keeps one, the smallest doc_id (null last); rows that repeat an id are one document."""
-    found = duplicate_ids(docs, words, similarity).where("doc_id = first_id")
-    keep_id, copies = fresh(docs, "keep_id", "copies")
-    keep = found.groupBy(F.col("doc_id").alias(keep_id)).agg(F.count("*").alias(copies))
-    kept = docs.join(keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col(keep_id))
-    once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates(["doc_id"])
+    """The documents of which each group keeps one: that of the smallest doc_id (null last), and of its texts the first by digest.
+
+    Groups are of texts, so that rows without an id and with other texts stay. Rows that repeat an id are one document.
+    """
+    rows, groups = grouped(docs, words, similarity)
+    keep_id, keep_digest, copies = fresh(docs, "keep_id", "keep_digest", "copies")
+    firsts = groups.select("first.*").distinct()
+    keep = rows.join(firsts, ["doc_id", "digest"]).groupBy(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest)).agg(F.count("*").alias(copies))
+    doc_id, digest = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    kept = docs.join(keep, (doc_id == F.col(keep_id)) & (digest == F.col(keep_digest)))
+    once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates([keep_id, keep_digest])
     return once.unionByName(more).select(*docs.columns)

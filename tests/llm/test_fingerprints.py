@@ -232,3 +232,20 @@ def test_groups_of_block_edits(spark):
         docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
     want = groups_by_brute_force(docs)
     assert sum(d != g for d, g in want.items()) >= 80 and groups(spark, docs) == want
+
+
+def kept_rows(spark, rows):
+    return [tuple(r) for r in sh.representatives(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()]
+
+
+def test_texts_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    kept = kept_rows(spark, [(3, text), (None, text + " more"), (None, "unrelated"), (None, "Another one"), (None, "unrelated")])
+    assert sorted(kept, key=repr) == [(3, text), (None, "Another one"), (None, "unrelated")]
+
+
+def test_copies_of_texts_with_repeated_ids(spark):
+    """One row an id stays; a text whose row goes for that is no reason to drop its copies."""
+    one, two = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    kept = kept_rows(spark, [(3, one), (3, two), (5, two + " end"), (6, one + " end")])
+    assert len(kept) == 2 and kept.count((3, one)) + kept.count((3, two)) == 1 and {t[0] for _, t in kept} == {"a", "b"}
