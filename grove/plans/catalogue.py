@@ -490,8 +490,17 @@ DIFF = "--- a/lib/x.ts\n+++ b/lib/x.ts\n@@ -{0},3 +{0},4 @@\n a\n-b\n+c\n+d\n e\
 
 @query("SELECT l_orderkey AS diff_id, 'lib/x.ts' AS file_path, (l_linenumber * 10 + o)::INT AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0), unnest([1, 2]) u(o)")
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff_lines(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("SELECT l_orderkey AS diff_id, 'lib/x.ts' AS file_path, (l_linenumber * 10 + o)::INT AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), unnest([1, 2]) u(o)")
+def diff_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff_lines(table(spark, sf_dir, "lineitem"))
+
+
+def _diff_lines(items: DataFrame) -> DataFrame:
     hunk = F.format_string(DIFF.replace("{0}", "%1$d"), F.col("l_linenumber") * 10)
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber").distinct()
+    rows = items.select("l_orderkey", "l_linenumber").distinct()
     texts = rows.groupBy(F.col("l_orderkey").alias("diff_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", hunk.alias("h")))), lambda x: x["h"]), "").alias("text"))
     return change.diff_lines(texts)
 
@@ -646,8 +655,18 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS file_path, (l_orderkey % 2000)::INT AS line FROM lineitem WHERE l_partkey % 3 = 0), m AS (SELECT DISTINCT 'f' || (user_id % 50) AS file_path, (event_id % 2000)::INT AS line FROM events)
 SELECT count(*) FILTER (h) AS covered, count(*) AS total, round(count(*) FILTER (h) / count(*)::DOUBLE, 4) AS coverage FROM (SELECT EXISTS (SELECT 1 FROM m WHERE m.file_path = c.file_path AND abs(m.line - c.line) <= 5) AS h FROM c)""")
 def caller_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _caller_coverage(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0"))
+
+
+@query("""WITH c AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS file_path, (l_orderkey % 2000)::INT AS line FROM lineitem), m AS (SELECT DISTINCT 'f' || (user_id % 50) AS file_path, (event_id % 2000)::INT AS line FROM events)
+SELECT count(*) FILTER (h) AS covered, count(*) AS total, round(count(*) FILTER (h) / count(*)::DOUBLE, 4) AS coverage FROM (SELECT EXISTS (SELECT 1 FROM m WHERE m.file_path = c.file_path AND abs(m.line - c.line) <= 5) AS h FROM c)""")
+def caller_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _caller_coverage(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _caller_coverage(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     name = lambda c: F.concat(F.lit("f"), (F.col(c) % 50).cast("string")).alias("file_path")
-    calls = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").select(name("l_suppkey"), (F.col("l_orderkey") % 2000).cast("int").alias("line"))
+    calls = items.select(name("l_suppkey"), (F.col("l_orderkey") % 2000).cast("int").alias("line"))
     return change.caller_coverage(calls, table(spark, sf_dir, "events").select(name("user_id"), (F.col("event_id") % 2000).cast("int").alias("line")))
 
 
