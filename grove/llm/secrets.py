@@ -25,6 +25,11 @@ HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABETS = {"entropy_hex": "0123456789abcdef", "entropy_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
 LEAST = {"entropy_hex": 2.83, "entropy_base64": 3.61}
+#: Runs inside a candidate that redact scores by themselves, each in lower case: hex, and letters of one case with digits. The
+#: thresholds of all classes are such that about one window of random characters in 200 stays below.
+RUNS = {"[0-9a-f]{20,}": "entropy_hex", "[0-9A-F]{20,}": "entropy_hex", "[0-9a-z]{20,}": "entropy_single", "[0-9A-Z]{20,}": "entropy_single"}
+ALPHABETS["entropy_single"] = "0123456789abcdefghijklmnopqrstuvwxyz"
+LEAST["entropy_single"] = 3.35
 #: Candidates that are no secrets: UUIDs, digests named as such, runs of the alphabet, and samples in manuals.
 ALLOW = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -87,8 +92,11 @@ def hot_windows(come: Column, kind: str) -> Column:
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
-    """docs with a column of sorted spans (start, kind as a place in KINDS, end) of each whole text; null: none."""
+def with_spans(docs: DataFrame, text_col: str, to: str, runs: bool = False) -> DataFrame:
+    """docs with a column of sorted spans (start, kind as a place in KINDS, end) of each whole text; null: none.
+
+    runs: also those of the RUNS in candidates, as of kind len(KINDS).
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assigned, access, hexes, cand = fresh(docs, "assign", "access", "hex", "cand")
     raw = docs.withColumns({assigned: matches(text, ASSIGN, 2), access: matches(text, ACCESS), hexes: matches(text, HEX), cand: matches(text, CANDIDATE)})
@@ -99,7 +107,8 @@ def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
     one = "struct<start:bigint,kind:int,end:bigint>"
 
     def heat(kind: str, c: Column) -> Column:
-        span = lambda hot: F.struct(c["start"] + hot["first"] - WINDOW, F.lit(KINDS.index(kind)), F.when(hot["last"] > 0, c["start"] + hot["last"]).otherwise(0)).cast(one)
+        place = KINDS.index(kind) if kind in KINDS else len(KINDS)
+        span = lambda hot: F.struct(c["start"] + hot["first"] - WINDOW, F.lit(place), F.when(hot["last"] > 0, c["start"] + hot["last"]).otherwise(0)).cast(one)
         return once(codes(c["hit"], kind), lambda come: once(hot_windows(come, kind), span))
 
     def entropy(c: Column) -> Column:
@@ -107,6 +116,13 @@ def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
         mixed = c["hit"].rlike("[A-Z]") & c["hit"].rlike("[a-z]")
         return F.when(is_hex, heat("entropy_hex", c)).when(mixed, heat("entropy_base64", c)).otherwise(F.struct(F.lit(0), F.lit(0), F.lit(0)).cast(one))
 
+    def inner(c: Column) -> Column:
+        def of(pattern: str, kind: str) -> Column:
+            both = F.filter(matches(c["hit"], pattern), lambda r: r["hit"].rlike("[0-9]") & r["hit"].rlike("[A-Za-z]"))
+            return F.transform(both, lambda r: heat(kind, F.struct((c["start"] + r["start"]).alias("start"), F.lower(r["hit"]).alias("hit")))).cast(_SPAN)
+
+        return F.concat(*(of(p, k) for p, k in RUNS.items()))
+
     as_span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))
     found = F.concat(
         F.transform(F.filter(assigned, lambda x: F.char_length(x["part"]) >= 8), as_span(0)).cast(_SPAN),
@@ -114,6 +130,8 @@ def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
         F.transform(hexes, as_span(2)).cast(_SPAN),
         F.when(F.size(cand) == 0, F.array().cast(_SPAN)).otherwise(F.filter(F.transform(cand, entropy), lambda x: x["end"] > 0)),
     )
+    if runs:
+        found = F.concat(found, F.when(F.size(cand) == 0, F.array().cast(_SPAN)).otherwise(F.filter(F.flatten(F.transform(cand, inner)), lambda x: x["end"] > 0)))
     return wanted.withColumn(to, F.sort_array(found)).drop(assigned, access, hexes, cand)
 
 
@@ -134,9 +152,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced in text, spans that overlap by one mark, and n_chars counted anew where one was."""
+    """docs with every span replaced in text, those of RUNS too, spans that overlap by one mark, and n_chars counted anew where one was."""
     (found,) = fresh(docs, "found")
-    rows = with_spans(docs, "text", found)
+    rows = with_spans(docs, "text", found, runs=True)
 
     def cut(s: Column, x: Column) -> Column:
         piece = F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))

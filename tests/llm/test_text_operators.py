@@ -182,3 +182,15 @@ def test_large_components():
     x = np.floor(1024 * np.array([[1e10, 1.0], [1e10, -1.0], [3.0, 4.0]]))
     got = vector_file.search(np.array([0]), x[:1], np.array([0, 1, 2]), x, 5)
     assert got == [(0, 1, 2**63 - 1), (0, 2, int(x[0, 0]) * 3072 + 1024 * 4096)]
+
+
+def test_redact_runs_of_one_case(spark):
+    """Hex and letters of one case with digits, by themselves or inside a longer candidate; words and paths stay."""
+    secret = ["JBSWY3DPEHPK3PXPMZ2XG4TF", "9F86D081884C7D659A2FEAA0C55AD015", "7c4a8d09ca3762af61e5", "k3j9x0q7v2m8z5w1p6t4r", "739562840175936284015ABC9DE7F0"]
+    shown = ["{}", "commit_{}", "id/{}", "key={}", "Key-{}/x"]
+    plain = ["internationalization2024 of things", "docs/2024/lower-case-words-of-a-path-1", "1" * 30 + "a", "sha256-" + secret[2], "01234567890123456789"]
+    texts = [w.format(x) for x in secret for w in shown]
+    frame = spark.createDataFrame(list(enumerate([*texts, *plain])), "doc_id long, text string")
+    got = [r["text"] for r in secrets.redact(frame).orderBy("doc_id").collect()]
+    assert got[len(texts) :] == plain
+    assert not [t for t in got[: len(texts)] if "[SECRET]" not in t or any(x[4:-4] in t for x in secret)]
