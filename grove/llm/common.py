@@ -25,7 +25,17 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: later jobs start from files that outlive any executor."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of saved tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of a batch between Spark and Python; a task holds a batch several times over.
@@ -78,6 +88,16 @@ def longs(values: Iterable[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>") if values else F.array().cast("array<bigint>")
 
 
+def trim() -> None:
+    """Gives the memory that a Python worker has freed back to the system; the worker lives on and serves other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

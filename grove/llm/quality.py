@@ -35,6 +35,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
+def release() -> None:
+    global _memo
+    _memo = {}
+
+
 def features(text: str) -> np.ndarray:
     """Places of all words and pairs, repeats included; none for a text without words."""
     h = word_hashes(_WORDS(text))
@@ -78,11 +83,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each row of docs. A null text is empty and has the bias's score; repeated ids have a row each."""
+    """A row for each row of docs. A null text is empty and has the bias's score; repeated ids have a row each; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, lambda texts: shared.value.scores(texts), MOD, REST, THRESHOLD)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text's score reaches the threshold; a null text is empty; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept(docs, lambda texts: shared.value.scores(texts), lambda s: s >= threshold)
+    return kept(docs, lambda texts: shared.value.scores(texts), lambda s: s >= threshold, release)

@@ -21,13 +21,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grove.llm.common import fresh, id_text, saved, shuffle_partitions, small_batches
+from grove.llm.common import forget, fresh, id_text, saved, shuffle_partitions, slices, small_batches
 
 WORDS, BITS, SEED = 3, 3, 42
 BLOCK = 2048
+#: Fingerprints that are replicated to their anchors at a time.
+SLICE = 512
 #: Generator polynomials of the Golay code (degree 11) and of the Hamming code (degree 4).
 GOLAY, HAMMING = 0b101011100011, 0b10011
 
@@ -123,9 +125,9 @@ class Cover:
         """One row (anchor, fp, home) for each anchor of each fingerprint; a home is a visitor too."""
         for batch in batches:
             fps = batch.column("fp").to_numpy()
-            for a in range(0, len(fps), 4096):
+            for a in range(0, len(fps), SLICE):
                 keys, who, home = [], [], []
-                for fp in fps[a : a + 4096]:
+                for fp in fps[a : a + SLICE]:
                     far, distance = self.anchors(int(fp) & (1 << 64) - 1, self.visitor)
                     keys.append(far)
                     home.append(distance <= self.radius + self.home)
@@ -276,17 +278,20 @@ def contract(links: DataFrame) -> DataFrame:
     edges = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        lows = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = saved(large, "large")
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         small = saved(small, "small")
         same = small.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         before = edges.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        forget(edges, lows, large, low)
         edges = small
         if same == before:
-            return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+            roots = edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+            roots.scratch = edges.scratch
+            return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -308,13 +313,21 @@ def components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by word shingles: an exact join over the prefixes of the texts' sets of shingles.
+# Near duplicates by word shingles: fingerprints find most links, and an exact join over prefixes of the sets finds the rest.
 
 LAST_ID = 2**63 - 1
 #: Shingles of LEAST or more of about SAMPLE texts, COMMON of them at most, come last in the order of shingles. The order decides
 #: how many candidates there are, never which pairs are found.
 SAMPLE, LEAST, COMMON = 10_000, 4, 50_000
 SLACK = 1e-6
+#: Fingerprints of shingles within 2 bits meet as d(x, m) <= 1 and d(m, y) <= 1.
+NEAR_BITS, NEAR_COVER = 2, Cover(COVER.codes, home=1, visitor=1)
+#: The parity of a set's shingles in each of 64 * 8 buckets. Two sets differ in as many shingles as their bitmaps in bits, or more.
+BITMAP = tuple(f"b{i}" for i in range(8))
+#: Up to so many ids are sent to all executors, to pick their texts without moving the others; beyond that, both sides move.
+FEW = 200_000
+#: So many times each set is paired with one other, before all pairs that are left in different groups.
+TURNS = 3
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -329,6 +342,11 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
     return shingles[: n - int(np.ceil(similarity * n - SLACK)) + 1]
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & 64 * len(BITMAP) - 1, minlength=64 * len(BITMAP)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_counts(words: int):
     """Rows (shingle, n): in how many texts of a batch a shingle is."""
 
@@ -349,35 +367,43 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def prefix_rows(words: int, similarity: float, common: np.ndarray):
+PRINTS = "doc_id long, digest string, same binary, n long, fp long, prefix array<bigint>, " + ", ".join(f"{b} long" for b in BITMAP)
+
+
+def print_rows(words: int, similarity: float, common: np.ndarray):
+    """Of each text: a digest of its set of shingles, the set's size, prefix and bitmap, and the fingerprint of all its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
-            same = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            first = pa.array([prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), same, pa.array([len(s) for s in sets], pa.int64()), first], names=["doc_id", "digest", "same", "n", "prefix"])
+        for batch in batches:
+            for b in slices(batch, 1024):
+                same, n, fp, first, bits = [], [], [], [], []
+                for t in b.column("text").to_pylist():
+                    h = shingle_hashes(t, words)
+                    s = np.unique(h)
+                    same.append(blake2b(s.tobytes(), digest_size=16).digest())
+                    n.append(len(s))
+                    fp.append(simhash(h))
+                    first.append(prefix(s, common, similarity).view(np.int64))
+                    bits.append(bitmap(s))
+                ends = np.cumsum([0, *map(len, first)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+                words_of = np.array(bits, np.int64).reshape(-1, len(BITMAP))
+                cols = [b.column("doc_id"), b.column("digest"), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists, *(pa.array(words_of[:, i].copy()) for i in range(len(BITMAP)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "same", "n", "fp", "prefix", *BITMAP])
 
     return run
 
 
-def alike(words: int, similarity: float):
-    """Rows (a, b, text_a, text_b), sorted by a, to the pairs (u, v) whose sets of shingles are as similar."""
+def text_sets(words: int):
+    """Rows (v, text) to (v, shingles): the sorted set of the whole text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
         for batch in batches:
-            u, v = [], []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if held != (a, x):
-                    held, own = (a, x), np.unique(shingle_hashes(x, words))
-                other = np.unique(shingle_hashes(y, words))
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both >= similarity * (len(own) + len(other) - both):
-                    u.append(max(a, b))
-                    v.append(min(a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            for b in slices(batch, 256):
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(sets, pa.list_(pa.int64()))], names=["v", "shingles"])
 
     return run
 
@@ -387,25 +413,104 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return id_text(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text", F.sha2("text", 256).alias("digest"))
 
 
-def enough(shared: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b, m, n), one a shingle that both prefixes hold, to the pairs (a, b) that can be as similar. m, n: sizes of the sets.
+def may_be_alike(similarity: float) -> Column:
+    """Of two sets side by side (sizes m and n, bitmaps with x and y after their names): whether they can be as similar.
 
-    Sets as similar share s / (1 + s) * (m + n) shingles. Those that aren't in both prefixes lie behind the prefix that ends first.
+    Sets as similar differ in (1 - s) / (1 + s) * (m + n) shingles at most.
     """
-    behind = lambda c: F.ceil(similarity * F.col(c) - SLACK) - 1
-    need = similarity / (1 + similarity) * (F.col("m") + F.col("n")) - F.greatest(behind("m"), behind("n")) - SLACK
-    sized = shared.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - SLACK)
-    pairs = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b")
+    apart = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in BITMAP), F.lit(0))
+    return (F.least("m", "n") >= similarity * F.greatest("m", "n") - SLACK) & (apart <= most_apart(similarity))
+
+
+def most_apart(similarity: float) -> Column:
+    return (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + SLACK
+
+
+def side(once: DataFrame, v: str, n: str, mark: str) -> DataFrame:
+    return once.select(F.col("v").alias(v), F.col("n").alias(n), *(F.col(b).alias(b + mark) for b in BITMAP))
 
 
 def checked(pairs: DataFrame, once: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v): those of the pairs whose sets of shingles are as similar. Texts move only to where their pairs are."""
+    """(u, v): those of the pairs (a, b) whose sets of shingles are as similar, by the whole texts. Only texts of pairs move."""
     pairs = saved(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    some = saved(texts.join(once.join(needed, "v").select("v", "first.*"), ["doc_id", "digest"]).select("v", "text"), "texts")
-    both = small_batches(pairs).join(some.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-    return saved(both.mapInArrow(alike(words, similarity), "u long, v long"), "alike")
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    needed = saved(once.join(wanted, "v").select("v", "first.*"), "needed")
+    picked = texts.join(F.broadcast(needed) if needed.count() <= FEW else needed, ["doc_id", "digest"])
+    sets = saved(picked.select("v", "text").dropDuplicates(["v"]).mapInArrow(text_sets(words), "v long, shingles array<bigint>"), "sets")
+    x, y = (sets.select(F.col("v").alias(v), F.col("shingles").alias(to)) for v, to in (("a", "x"), ("b", "y")))
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both))
+    found = saved(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "alike")
+    forget(pairs, needed, sets)
+    return found
+
+
+def fingerprint_pairs(once: DataFrame) -> DataFrame:
+    """(a, b): sets of equal fingerprints, and of linked ones, each with the first set of its fingerprint."""
+    firsts = saved(once.groupBy("fp").agg(F.min("v").alias("one")), "firsts")
+    near = link_forest(firsts.select("fp"), NEAR_COVER, NEAR_BITS)
+    u, v = (firsts.select(F.col("fp").alias(c), F.col("one").alias(to)) for c, to in (("u", "a"), ("v", "b")))
+    return once.join(firsts, "fp").where("v <> one").select(F.col("one").alias("a"), F.col("v").alias("b")).union(near.join(u, "u").join(v, "v").select("a", "b"))
+
+
+def shared_shingles(once: DataFrame) -> DataFrame:
+    """(shingle, v, n, pos, prev, w): of the shingles in several prefixes, one row for each set, with the shingle before it there.
+
+    w shingles with the same sets are one, at their first place.
+    They are told by a hash of their sets. Those that a chance makes one give more candidates, never fewer.
+    """
+    each = Window.partitionBy("shingle")
+    tokens = once.select("v", "n", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select("v", "n", "shingle", F.struct("pos", F.get("prefix", F.col("pos") - 1).alias("prev")).alias("at"))
+    several = tokens.withColumn("texts", F.count("*").over(each)).where("texts > 1").withColumn("all", F.xxhash64("texts", F.bit_xor(F.xxhash64("v")).over(each)))
+    ones = several.groupBy(F.col("all").alias("shingle"), "v").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("w"))
+    return saved(ones.select("shingle", "v", "n", "at.*", "w"), "shared")
+
+
+def mixed_shingles(shared: DataFrame, roots: DataFrame | None, similarity: float, turn: int) -> DataFrame:
+    """Of shared, the shingles whose sets are in several groups, with root, the shingle's main (largest) group, and center, a set of it.
+
+    The first shingle that two similar sets have in common has at most (1 - s) / (1 + s) * (m + n) others before it in both
+    together. Rows too far behind to be that of any pair go. Each turn takes other centers.
+    """
+    parts = shuffle_partitions(shared.sparkSession)
+    each = Window.partitionBy("shingle")
+    member = shared.select("shingle", "v", "n", "pos", "prev", "w")
+    member = member.withColumn("root", F.col("v")) if roots is None else member.join(roots.withColumnRenamed("fp", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    sized = member.repartition(parts, "shingle").withColumn("size", F.count("*").over(Window.partitionBy("shingle", "root")))
+    several = F.min("root").over(each) != F.max("root").over(each)
+    found = sized.select("*", F.max(F.struct("size", "root")).over(each)["root"].alias("main"), F.min("pos").over(each).alias("least"), several.alias("several")).where("several").drop("several", "size")
+    near = found.where(F.col("pos") + F.col("least") <= (1 - similarity) / similarity * F.col("n") + SLACK).drop("least")
+    center = F.min(F.when(F.col("root") == F.col("main"), F.struct(F.xxhash64("v", F.lit(turn)), "v"))).over(each)["v"]
+    return saved(near.withColumn("center", center), "mixed")
+
+
+def star_pairs(mixed: DataFrame, once: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each set outside a shingle's main group with one set of such a group, that with which it shares most of its shingles."""
+    many = mixed.where("root <> main AND center IS NOT NULL").groupBy("center", "v").agg(F.sum("w").alias("both"))
+    best = many.groupBy("v").agg(F.max(F.struct("both", "center")).alias("best")).select(F.col("best.center").alias("a"), F.col("v").alias("b"))
+    return best.join(side(once, "a", "m", "x"), "a").join(side(once, "b", "n", "y"), "b").where(may_be_alike(similarity)).select("a", "b")
+
+
+def other_pairs(mixed: DataFrame, once: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different groups that can be as similar. Of a shingle's sets, those outside its main group meet all others.
+
+    A pair is wanted at the first shingle that it has in common: not where the shingles before are too many, or the same one.
+    """
+    rows = saved(mixed.join(once.select("v", *BITMAP), "v"), "rows")
+    left = rows.where("root <> main").select("shingle", F.col("v").alias("a"), F.col("n").alias("m"), F.col("pos").alias("p"), F.col("prev").alias("prev_a"), F.col("root").alias("root_a"), *(F.col(b).alias(b + "x") for b in BITMAP))
+    right = rows.select("shingle", F.col("v").alias("b"), "n", F.col("pos").alias("q"), F.col("prev").alias("prev_b"), F.col("root").alias("root_b"), "main", *(F.col(b).alias(b + "y") for b in BITMAP))
+    first = (F.col("p") + F.col("q") <= most_apart(similarity)) & F.expr("root_a <> root_b AND (root_b = main OR a < b) AND NOT coalesce(prev_a = prev_b, false)")
+    met = left.join(right, (left["shingle"] == right["shingle"]) & first & may_be_alike(similarity))
+    pairs = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "others")
+    forget(rows)
+    return pairs
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The groups (fp, root) that those before and the links give; links goes."""
+    new = contract(links if roots is None else links.union(roots.select(F.col("fp").alias("u"), F.col("root").alias("v"))))
+    forget(*(df for df in (links, roots) if df is not None))
+    return new
 
 
 def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -413,36 +518,35 @@ def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
 
     An id that repeats with other texts stands for the first of them by digest; each text without an id stands for itself.
 
-    Texts of equal sets are merged first. Of the others, all that have a shingle of their prefixes in common are candidates, but
-    for those that share too few of them; so no pair is lost. First each shingle's texts are paired with one of them, which
-    links most copies. Then all pairs that those links leave in different groups are taken: of a shingle's texts, those outside
-    its largest group are paired with all others.
+    Texts of equal sets are merged first. Candidates are the pairs whose SimHash fingerprints meet at an anchor, and each set with
+    one that shares most of its rare shingles with it; whole texts decide. Further turns pair what is left with other sets of the
+    groups that came of it. Then all pairs are taken that those links leave in different groups, that have a shingle of their prefixes in
+    common, and whose sizes, places of that shingle and bitmaps allow the similarity: so no pair is lost.
     """
     texts = keyed_texts(docs)
     common = common_shingles(texts, words)
-    prints = saved(texts.mapInArrow(prefix_rows(words, similarity, common), "doc_id long, digest string, same binary, n long, prefix array<bigint>"), "prints")
+    prints = saved(texts.mapInArrow(print_rows(words, similarity, common), PRINTS), "prints")
     repeated = prints.where(F.col("doc_id") < LAST_ID).groupBy("doc_id").agg(F.min("digest").alias("own"), F.max("digest").alias("last")).where("own <> last").select("doc_id", "own")
-    prints = prints.join(repeated, "doc_id", "left").where("own IS NULL OR own = digest").drop("own")
-    sets = prints.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = prints.join(repeated, "doc_id", "left").where("own IS NULL OR own = digest")
+    sets = own.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", *BITMAP)))
     once = saved(sets.withColumn("v", F.monotonically_increasing_id()), "once")
-    each = Window.partitionBy("shingle")
-    tokens = once.select("v", "n", F.explode("prefix").alias("shingle"))
-    shared = saved(tokens.select("*", F.count("*").over(each).alias("texts"), F.min(F.struct("v", "n")).over(each).alias("one")).where("texts > 1").drop("texts"), "shared")
-    star = shared.where("v <> one.v").select(F.col("one.v").alias("a"), F.col("v").alias("b"), F.col("one.n").alias("m"), "n")
-    links = checked(enough(star, similarity), once, texts, words, similarity)
-    roots = saved(contract(links), "roots")
-    member = shared.join(roots.withColumnRenamed("fp", "v"), "v", "left").select("shingle", "v", "n", F.coalesce("root", "v").alias("root"))
-    parts = shuffle_partitions(docs.sparkSession)
-    sized = member.repartition(parts, "shingle").withColumn("size", F.count("*").over(Window.partitionBy("shingle", "root")))
-    mixed = saved(sized.withColumn("main", F.max(F.struct("size", "root")).over(each)["root"]).withColumn("roots", F.min("root").over(each) != F.max("root").over(each)).where("roots"), "mixed")
-    left = mixed.where("root <> main").select("shingle", F.col("v").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"))
-    right = mixed.select("shingle", F.col("v").alias("b"), "n", F.col("root").alias("root_b"), "main")
-    rest = left.join(right, "shingle").where("root_a <> root_b AND (root_b = main OR a < b)")
-    more = checked(enough(rest, similarity), once, texts, words, similarity)
-    roots = contract(roots.select(F.col("fp").alias("u"), F.col("root").alias("v")).union(more))
+    mixed = shared_shingles(once)
+    links, roots = fingerprint_pairs(once), None
+    for turn in range(TURNS):
+        shared, mixed = mixed, mixed_shingles(mixed, roots, similarity, turn)
+        forget(shared)
+        stars = star_pairs(mixed, once, similarity)
+        found = checked(links.union(stars).distinct() if roots is None else stars, once, texts, words, similarity)
+        roots = joined(roots, found)
+    last = mixed_shingles(mixed, roots, similarity, TURNS)
+    forget(mixed)
+    others = other_pairs(last, once, similarity)
+    found = checked(others, once, texts, words, similarity)
+    forget(last, others)
+    roots = joined(roots, found)
     of = once.join(roots.select(F.col("fp").alias("v"), "root"), "v", "left").select("same", F.coalesce("root", "v").alias("root"), "first")
     least = of.groupBy("root").agg(F.min("first").alias("first"))
-    return prints.select("doc_id", "digest", "same"), of.select("same", "root").join(least, "root").select("same", "first")
+    return own.select("doc_id", "digest", "same"), of.select("same", "root").join(least, "root").select("same", "first")
 
 
 def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -230,6 +230,9 @@ class Model:
     def scores(self, texts: list[str]) -> list[float]:
         return [self.score(t) for t in texts]
 
+    def release(self) -> None:
+        self.memo, self.restorer.memo = {}, {}
+
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels.toxic of rows that are not held out; only ids choose the sample and only texts are inputs."""
@@ -242,11 +245,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each row of docs. A null text is empty and has the bias's score; repeated ids have a row each."""
+    """A row for each row of docs. A null text is empty and has the bias's score; repeated ids have a row each; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, lambda texts: shared.value.scores(texts), MOD, REST, THRESHOLD)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text's score is below the threshold; a null text is empty; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept(docs, lambda texts: shared.value.scores(texts), lambda s: s < threshold)
+    return kept(docs, lambda texts: shared.value.scores(texts), lambda s: s < threshold, lambda: shared.value.release())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import held_out, id_text, small_batches
+from grove.llm.common import held_out, id_text, small_batches, trim
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, limit: int) -> DataFrame:
@@ -47,13 +47,15 @@ def scored(docs: DataFrame, scores: Callable[[list[str]], list[float]], mod: int
     return rows.select("doc_id", held_out("doc_id", mod, rest).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def kept(docs: DataFrame, scores: Callable[[list[str]], list[float]], keep: Callable[[float], bool]) -> DataFrame:
-    """The rows of docs, with all columns, whose text's score passes."""
+def kept(docs: DataFrame, scores: Callable[[list[str]], list[float]], keep: Callable[[float], bool], release: Callable[[], None]) -> DataFrame:
+    """The rows of docs, with all columns, whose text's score passes. release: empties the memos when a task ends."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = ["" if t is None else t for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([keep(s) for s in scores(texts)], pa.bool_()))
+        release()
+        trim()
 
     return small_batches(docs).mapInArrow(run, docs.schema)
