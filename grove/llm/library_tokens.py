@@ -28,7 +28,7 @@ def byte_letters() -> dict[int, str]:
 def encoder(path: str, spaces: bool) -> WordMemo:
     """For a vocabulary with a byte-level pre-tokenizer, alone or after one that splits by a pattern and drops the rest.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of added tokens in a text are found first and have one id each, as in the library's own encoding.
     """
     import regex
     from tokenizers import Tokenizer
@@ -36,7 +36,11 @@ def encoder(path: str, spaces: bool) -> WordMemo:
     t = Tokenizer.from_file(path)
     model, normalizer, letters = t.model, t.normalizer, byte_letters()
     with open(path, encoding="utf-8") as f:
-        pre = json.load(f)["pre_tokenizer"]
+        file = json.load(f)
+    pre = file["pre_tokenizer"]
+    if any(x[k] for x in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that aren't found just as they stand")
+    marks = {x["content"]: array("I", [x["id"]]).tobytes() for x in file["added_tokens"]}
     steps = pre.get("pretokenizers", [pre])
     find = regex.compile(next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)).findall
 
@@ -45,8 +49,8 @@ def encoder(path: str, spaces: bool) -> WordMemo:
         return array("I", [x.id for x in model.tokenize(shown)]).tobytes()
 
     if normalizer is None:
-        return WordMemo(find, encode, spaces)
-    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, folded)
+        return WordMemo(find, encode, spaces, marks=marks)
+    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, folded, marks=marks)
 
 
 def folded(text: str) -> str:

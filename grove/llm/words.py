@@ -44,10 +44,13 @@ class WordMemo:
 
     split gives the pre-tokens of a piece and encode the ids of a pre-token. spaces: whether a space belongs to the pre-token
     after it; if not, white space only separates. plain tells whether letters alone are one pre-token as they stand, and fold
-    gives a form of a text that has the same ids and more pieces in common with others.
+    gives a form of a text that has the same ids and more pieces in common with others. marks: strings that are found first, the longest of those at
+    a place, with their ids.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes], spaces: bool = True, plain: Callable[[str], bool] = str.isalpha, fold: Callable[[str], str] | None = None, limit: int = 350_000) -> None:
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes], spaces: bool = True, plain: Callable[[str], bool] = str.isalpha, fold: Callable[[str], str] | None = None, limit: int = 350_000, marks: dict[str, bytes] | None = None) -> None:
+        self.marks = marks or {}
+        self.marked = re.compile("|".join(map(re.escape, sorted(self.marks, key=len, reverse=True)))) if self.marks else None
         self.split, self.encode, self.plain, self.spaces, self.fold = split, encode, plain, spaces, fold
         self.parts = Memo(encode, limit // 4)
         self.pieces = Memo(self.spaced if spaces else self.bare, limit)
@@ -77,6 +80,16 @@ class WordMemo:
         return self.any(" " + piece)
 
     def text(self, text: str) -> bytes:
+        """What stands between two marks is encoded as a text of its own."""
+        if self.marked is None or self.marked.search(text) is None:
+            return self.unmarked(text)
+        out, at = [], 0
+        for m in self.marked.finditer(text):
+            out += (self.unmarked(text[at : m.start()]), self.marks[m[0]])
+            at = m.end()
+        return b"".join((*out, self.unmarked(text[at:])))
+
+    def unmarked(self, text: str) -> bytes:
         if not self.spaces:
             text = text.replace("\n", " ")
             return b"".join(map(self.pieces.__getitem__, (self.fold(text) if self.fold else text).split(" ")))

@@ -19,7 +19,7 @@ from grove.llm.common import new_path  # noqa: E402
 from grove.llm.library_tokens import encoder, tokenizer_path  # noqa: E402
 from grove.llm.words import Memo  # noqa: E402
 
-TEXTS = st.lists(st.sampled_from(list(" \n\t\r\x0b\x1c\x85  abzABZéÉßΣςİ日\U0001f600'0019.,!?*#-_|<>") + ["é", "'s", "'ll", "<|endoftext|>", "  ", " \n"]), max_size=24).map("".join)
+TEXTS = st.lists(st.sampled_from(list(" \n\t\r\x0b\x1c\x85  abzABZéÉßΣςİ日\U0001f600'0019.,!?*#-_|<>") + ["é", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "<|ENDOFTEXT|>", "  ", " \n"]), max_size=24).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
