@@ -324,6 +324,8 @@ SLACK = 1e-6
 NEAR_BITS, NEAR_COVER = 2, Cover(COVER.codes, home=1, visitor=1)
 #: The parity of a set's shingles in each of 64 * 8 buckets. Two sets differ in as many shingles as their bitmaps in bits, or more.
 BITMAP = tuple(f"b{i}" for i in range(8))
+#: Before the sets themselves, bitmaps of 64 * WIDE buckets are compared.
+WIDE = 64
 #: Up to so many ids are sent to all executors, to pick their texts without moving the others; beyond that, both sides move.
 FEW = 200_000
 #: So many times each set is paired with one other, before all pairs that are left in different groups.
@@ -342,8 +344,8 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
     return shingles[: n - int(np.ceil(similarity * n - SLACK)) + 1]
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & 64 * len(BITMAP) - 1, minlength=64 * len(BITMAP)) & 1
+def bitmap(shingles: np.ndarray, longs: int = len(BITMAP)) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & 64 * longs - 1, minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -397,13 +399,14 @@ def print_rows(words: int, similarity: float, common: np.ndarray):
 
 
 def text_sets(words: int):
-    """Rows (v, text) to (v, shingles): the sorted set of the whole text's shingles."""
+    """Rows (v, text) to (v, shingles, wide): the sorted set of the whole text's shingles, and a bitmap of it as of WIDE words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, 256):
-                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(sets, pa.list_(pa.int64()))], names=["v", "shingles"])
+                sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([s.view(np.int64) for s in sets], longs), pa.array([bitmap(s, WIDE) for s in sets], longs)], names=["v", "shingles", "wide"])
 
     return run
 
@@ -430,18 +433,34 @@ def side(once: DataFrame, v: str, n: str, mark: str) -> DataFrame:
     return once.select(F.col("v").alias(v), F.col("n").alias(n), *(F.col(b).alias(b + mark) for b in BITMAP))
 
 
-def checked(pairs: DataFrame, once: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v): those of the pairs (a, b) whose sets of shingles are as similar, by the whole texts. Only texts of pairs move."""
+def bounded(df: DataFrame) -> DataFrame:
+    """df, a saved table, to be sent to all executors if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def checked(pairs: DataFrame, once: DataFrame, texts: DataFrame, words: int, similarity: float, repeats: bool) -> DataFrame:
+    """(u, v): those of the pairs (a, b) whose sets of shingles are as similar, by the whole texts. Only texts of pairs are read into sets.
+
+    Wide bitmaps show most of the other pairs, so that few sets meet. repeats: whether some rows have both id and text in common.
+    """
     pairs = saved(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     needed = saved(once.join(wanted, "v").select("v", "first.*"), "needed")
-    picked = texts.join(F.broadcast(needed) if needed.count() <= FEW else needed, ["doc_id", "digest"])
-    sets = saved(picked.select("v", "text").dropDuplicates(["v"]).mapInArrow(text_sets(words), "v long, shingles array<bigint>"), "sets")
-    x, y = (sets.select(F.col("v").alias(v), F.col("shingles").alias(to)) for v, to in (("a", "x"), ("b", "y")))
+    picked = texts.join(bounded(needed), ["doc_id", "digest"]).select("v", "text")
+    sets = saved((picked.dropDuplicates(["v"]) if repeats else picked).mapInArrow(text_sets(words), "v long, shingles array<bigint>, wide array<bigint>"), "sets")
+
+    def beside(pairs: DataFrame, what: str) -> DataFrame:
+        x, y = (sets.select(F.col("v").alias(v), F.col(what).alias(to)) for v, to in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b")
+
+    sizes = once.select("v", "n")
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    sized = beside(pairs, "wide").join(sizes.select(F.col("v").alias("a"), F.col("n").alias("m")), "a").join(sizes.withColumnRenamed("v", "b"), "b")
+    may = saved(sized.where(apart <= most_apart(similarity)).select("a", "b"), "may")
     both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both))
+    found = beside(may, "shingles").where(both >= similarity * (F.size("x") + F.size("y") - both))
     found = saved(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "alike")
-    forget(pairs, needed, sets)
+    forget(pairs, needed, sets, may)
     return found
 
 
@@ -456,14 +475,14 @@ def fingerprint_pairs(once: DataFrame) -> DataFrame:
 def shared_shingles(once: DataFrame) -> DataFrame:
     """(shingle, v, n, pos, prev, w): of the shingles in several prefixes, one row for each set, with the shingle before it there.
 
-    w shingles with the same sets are one, at their first place.
-    They are told by a hash of their sets. Those that a chance makes one give more candidates, never fewer.
+    w shingles with the same sets are one, at their first place. They are told by a hash of their sets; those that a chance makes
+    one give more candidates, never fewer.
     """
     each = Window.partitionBy("shingle")
-    tokens = once.select("v", "n", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select("v", "n", "shingle", F.struct("pos", F.get("prefix", F.col("pos") - 1).alias("prev")).alias("at"))
+    tokens = once.select("v", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select("v", "shingle", "pos", F.get("prefix", F.col("pos") - 1).alias("prev"))
     several = tokens.withColumn("texts", F.count("*").over(each)).where("texts > 1").withColumn("all", F.xxhash64("texts", F.bit_xor(F.xxhash64("v")).over(each)))
-    ones = several.groupBy(F.col("all").alias("shingle"), "v").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.count("*").alias("w"))
-    return saved(ones.select("shingle", "v", "n", "at.*", "w"), "shared")
+    ones = several.groupBy(F.col("all").alias("shingle"), "v").agg(F.min(F.struct("pos", "prev")).alias("at"), F.count("*").alias("w"))
+    return saved(ones.join(once.select("v", "n"), "v").select("shingle", "v", "n", "at.*", "w"), "shared")
 
 
 def mixed_shingles(shared: DataFrame, roots: DataFrame | None, similarity: float, turn: int) -> DataFrame:
@@ -513,10 +532,13 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return new
 
 
-def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, same) for each row, and (same, first) for each set of shingles: the first (doc_id, digest) of its group.
+def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, digest, same, mine) for each row, (same, first) for each set of shingles, and whether rows repeat both id and text.
+
+    first: the first (doc_id, digest) of the set's group.
 
-    An id that repeats with other texts stands for the first of them by digest; each text without an id stands for itself.
+    An id that repeats with other texts stands for the first of them by digest, whose rows are mine; each text without an id
+    stands for itself.
 
     Texts of equal sets are merged first. Candidates are the pairs whose SimHash fingerprints meet at an anchor, and each set with
     one that shares most of its rare shingles with it; whole texts decide. Further turns pair what is left with other sets of the
@@ -527,26 +549,29 @@ def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     common = common_shingles(texts, words)
     prints = saved(texts.mapInArrow(print_rows(words, similarity, common), PRINTS), "prints")
     repeated = prints.where(F.col("doc_id") < LAST_ID).groupBy("doc_id").agg(F.min("digest").alias("own"), F.max("digest").alias("last")).where("own <> last").select("doc_id", "own")
-    own = prints.join(repeated, "doc_id", "left").where("own IS NULL OR own = digest")
-    sets = own.groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", *BITMAP)))
+    marked = prints.join(repeated, "doc_id", "left").withColumn("mine", F.expr("own IS NULL OR own = digest"))
+    sets = marked.where("mine").groupBy("same").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", *BITMAP)))
     once = saved(sets.withColumn("v", F.monotonically_increasing_id()), "once")
+    rows = saved(marked.select("doc_id", "digest", "same", "mine"), "rows")
+    forget(prints)
+    repeats = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     mixed = shared_shingles(once)
     links, roots = fingerprint_pairs(once), None
     for turn in range(TURNS):
         shared, mixed = mixed, mixed_shingles(mixed, roots, similarity, turn)
         forget(shared)
         stars = star_pairs(mixed, once, similarity)
-        found = checked(links.union(stars).distinct() if roots is None else stars, once, texts, words, similarity)
+        found = checked(links.union(stars).distinct() if roots is None else stars, once, texts, words, similarity, repeats)
         roots = joined(roots, found)
     last = mixed_shingles(mixed, roots, similarity, TURNS)
     forget(mixed)
     others = other_pairs(last, once, similarity)
-    found = checked(others, once, texts, words, similarity)
+    found = checked(others, once, texts, words, similarity, repeats)
     forget(last, others)
     roots = joined(roots, found)
     of = once.join(roots.select(F.col("fp").alias("v"), "root"), "v", "left").select("same", F.coalesce("root", "v").alias("root"), "first")
     least = of.groupBy("root").agg(F.min("first").alias("first"))
-    return own.select("doc_id", "digest", "same"), of.select("same", "root").join(least, "root").select("same", "first")
+    return rows, of.select("same", "root").join(least, "root").select("same", "first"), repeats
 
 
 def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -554,8 +579,8 @@ def duplicate_ids(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     Groups are the components of the pairs of texts whose sets of word shingles reach the similarity.
     """
-    rows, groups = grouped(docs, words, similarity)
-    return rows.join(groups, "same").select("doc_id", F.col("first.doc_id").alias("first_id"))
+    rows, groups, _ = grouped(docs, words, similarity)
+    return rows.where("mine").join(groups, "same").select("doc_id", F.col("first.doc_id").alias("first_id"))
 
 
 def representatives(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -563,11 +588,13 @@ def representatives(docs: DataFrame, words: int, similarity: float) -> DataFrame
 
     Groups are of texts, so that rows without an id and with other texts stay. Rows that repeat an id are one document.
     """
-    rows, groups = grouped(docs, words, similarity)
-    keep_id, keep_digest, copies = fresh(docs, "keep_id", "keep_digest", "copies")
-    firsts = groups.select("first.*").distinct()
-    keep = rows.join(firsts, ["doc_id", "digest"]).groupBy(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest)).agg(F.count("*").alias(copies))
-    doc_id, digest = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
-    kept = docs.join(keep, (doc_id == F.col(keep_id)) & (digest == F.col(keep_digest)))
-    once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates([keep_id, keep_digest])
-    return once.unionByName(more).select(*docs.columns)
+    rows, groups, repeats = grouped(docs, words, similarity)
+    gone_id, gone_digest = fresh(docs, "gone_id", "gone_digest")
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == F.col(gone_id)) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == F.col(gone_digest))
+    keys = lambda df, what: bounded(saved(df.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct(), what))
+    gone = rows.join(groups, "same", "left").where(~F.col("mine") | (F.col("doc_id") != F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest")))
+    kept = docs.join(keys(gone, "gone"), key, "left_anti")
+    if not repeats:
+        return kept
+    again = keys(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key).dropDuplicates([gone_id, gone_digest]).select(*docs.columns))
