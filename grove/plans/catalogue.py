@@ -404,12 +404,16 @@ def bm25_search_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(search.bm25(search.build_index(_documents(spark, sf_dir)), SEARCH, "en", 5))
 
 
-@query(WITH + f", {SQL_TEXT}, {sql_bm25('docs', ['interface', 'old', 'rod', 'brand'], None, 20)} SELECT symbol_id, name, rank FROM (SELECT * FROM page ORDER BY rank, symbol_id) WHERE name <> 'old rod' ORDER BY rank, symbol_id LIMIT 10")
+#: Words of the symbol's kind and name; its brand, the other key term, is no prefix of any word.
+SIMILAR, LIMIT_SIMILAR = "old rod", 1000
+
+
+@query(WITH + f""", {SQL_TEXT}, {sql_bm25('docs', ['interface', 'old', 'rod'], 'interface', 2 * LIMIT_SIMILAR)},
+exact AS (SELECT pg.symbol_id, pg.name, pg.rank AS full_rank, page.rank, page.score FROM pg JOIN page USING (symbol_id))
+SELECT symbol_id, name, rank, score FROM exact WHERE name <> '{SIMILAR}' ORDER BY full_rank, symbol_id LIMIT {LIMIT_SIMILAR}""")
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    index = search.build_index(search.search_documents(g))
-    found = search.bm25(index, "interface old rod brand", None, 20)
-    return found.where(F.col("name") != "old rod").withColumn("rank", F.round("rank", 6)).select("symbol_id", "name", "rank").orderBy("rank", "symbol_id").limit(10)
+    return _page(search.similar(g, search.build_index(search.search_documents(g)), SIMILAR, "interface", LIMIT_SIMILAR))
 
 
 # Change tracking
@@ -488,19 +492,10 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIFF = "--- a/lib/x.ts\n+++ b/lib/x.ts\n@@ -{0},3 +{0},4 @@\n a\n-b\n+c\n+d\n e\n"
 
 
-@query("SELECT l_orderkey AS diff_id, 'lib/x.ts' AS file_path, (l_linenumber * 10 + o)::INT AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0), unnest([1, 2]) u(o)")
-def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diff_lines(table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0"))
-
-
 @query("SELECT l_orderkey AS diff_id, 'lib/x.ts' AS file_path, (l_linenumber * 10 + o)::INT AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), unnest([1, 2]) u(o)")
-def diff_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diff_lines(table(spark, sf_dir, "lineitem"))
-
-
-def _diff_lines(items: DataFrame) -> DataFrame:
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     hunk = F.format_string(DIFF.replace("{0}", "%1$d"), F.col("l_linenumber") * 10)
-    rows = items.select("l_orderkey", "l_linenumber").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     texts = rows.groupBy(F.col("l_orderkey").alias("diff_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", hunk.alias("h")))), lambda x: x["h"]), "").alias("text"))
     return change.diff_lines(texts)
 
@@ -652,21 +647,11 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select(runs.score(F.col("compilation_pass"), F.col("tests_pass"), F.col("coverage"), F.col("threshold")).alias("score")).groupBy("score").agg(F.count("*").alias("runs"))
 
 
-@query("""WITH c AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS file_path, (l_orderkey % 2000)::INT AS line FROM lineitem WHERE l_partkey % 3 = 0), m AS (SELECT DISTINCT 'f' || (user_id % 50) AS file_path, (event_id % 2000)::INT AS line FROM events)
-SELECT count(*) FILTER (h) AS covered, count(*) AS total, round(count(*) FILTER (h) / count(*)::DOUBLE, 4) AS coverage FROM (SELECT EXISTS (SELECT 1 FROM m WHERE m.file_path = c.file_path AND abs(m.line - c.line) <= 5) AS h FROM c)""")
-def caller_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _caller_coverage(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0"))
-
-
 @query("""WITH c AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS file_path, (l_orderkey % 2000)::INT AS line FROM lineitem), m AS (SELECT DISTINCT 'f' || (user_id % 50) AS file_path, (event_id % 2000)::INT AS line FROM events)
 SELECT count(*) FILTER (h) AS covered, count(*) AS total, round(count(*) FILTER (h) / count(*)::DOUBLE, 4) AS coverage FROM (SELECT EXISTS (SELECT 1 FROM m WHERE m.file_path = c.file_path AND abs(m.line - c.line) <= 5) AS h FROM c)""")
-def caller_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _caller_coverage(spark, sf_dir, table(spark, sf_dir, "lineitem"))
-
-
-def _caller_coverage(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+def caller_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("f"), (F.col(c) % 50).cast("string")).alias("file_path")
-    calls = items.select(name("l_suppkey"), (F.col("l_orderkey") % 2000).cast("int").alias("line"))
+    calls = table(spark, sf_dir, "lineitem").select(name("l_suppkey"), (F.col("l_orderkey") % 2000).cast("int").alias("line"))
     return change.caller_coverage(calls, table(spark, sf_dir, "events").select(name("user_id"), (F.col("event_id") % 2000).cast("int").alias("line")))
 
 

@@ -66,7 +66,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(edge(deep.join(supplier, F.col("to_key") == F.col("s_suppkey")), "caller", "supplier_id", "calls", "path", F.col("at")))
         .union(edge(nation, nation_id, "r_name", "implements", nation_path, F.col("n_nationkey") + 1))
         .union(edge(methods, "id", "parent_id", "extends", "file_path", F.col("line_start")))
-        .union(edge(items.where("l_linenumber = 1").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, "l_partkey"), "supplier_id", "p_name", "instantiates", "supplier_path", line))
+        .union(edge(items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, "l_partkey"), "supplier_id", "p_name", "instantiates", "supplier_path", line))
         .union(edge(nation, F.lit("src/geo/nation.ts::__module__::function"), F.concat(F.lit("./region::"), F.col("r_name")), "imports", nation_path, F.col("n_nationkey") + 1))
     )
     return found.groupBy(*EDGE_KEY).agg(F.min("file_path").alias("file_path"), F.min("line").alias("line"))
@@ -100,6 +100,6 @@ _raw AS (
     UNION ALL SELECT a.sid, b.sid, 'calls', a.spath, (a.k + 2)::INT FROM _sup a JOIN _sup b ON b.k = (2 * a.k + 1) % (SELECT count(*) FROM supplier) OR b.k = (3 * a.k + 2) % (SELECT count(*) FROM supplier)
     UNION ALL SELECT 'src/geo/nation.ts::' || n_name || '::class::' || (n_nationkey + 1), r_name, 'implements', 'src/geo/nation.ts', (n_nationkey + 1)::INT FROM nation JOIN region ON r_regionkey = n_regionkey
     UNION ALL SELECT id, parent_id, 'extends', file_path, line_start FROM symbols WHERE kind = 'method'
-    UNION ALL SELECT sid, p_name, 'instantiates', spath, (l_orderkey % 1000 + 1)::INT FROM lineitem JOIN _sup ON k = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1
+    UNION ALL SELECT sid, p_name, 'instantiates', spath, (l_orderkey % 1000 + 1)::INT FROM lineitem JOIN _sup ON k = l_suppkey JOIN part ON p_partkey = l_partkey
     UNION ALL SELECT 'src/geo/nation.ts::__module__::function', './region::' || r_name, 'imports', 'src/geo/nation.ts', (n_nationkey + 1)::INT FROM nation JOIN region ON r_regionkey = n_regionkey),
 edges AS (SELECT from_id, to_id, kind, min(file_path) AS file_path, min(line)::INT AS line FROM _raw GROUP BY from_id, to_id, kind)"""

@@ -42,5 +42,5 @@ def test_entry(spark):
 def test_whole_tables(spark, duck):
     orders = duck.sql("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchall()[0][0]
     calls = duck.sql("SELECT count(DISTINCT (l_suppkey % 50, l_orderkey % 2000)) FROM lineitem").fetchall()[0][0]
-    assert catalogue.queries()["diff_lines_whole"](spark, SF).select("diff_id").distinct().count() == orders
-    assert catalogue.queries()["caller_coverage_whole"](spark, SF).first()["total"] == calls
+    assert catalogue.queries()["diff_lines"](spark, SF).select("diff_id").distinct().count() == orders
+    assert catalogue.queries()["caller_coverage"](spark, SF).first()["total"] == calls
