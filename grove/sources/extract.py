@@ -207,15 +207,10 @@ def word_end(code: str, at: int, openers: str) -> int:
     return len(code) - 1
 
 
-def doc_before(text: str, at: int, comments: str) -> str | None:
-    """The comment that ends on the line before."""
-    line = text.rfind("\n", 0, at) + 1
-    before = text[:line].rstrip()
-    start = max(0, len(before) - 4000)
-    last = None
-    for m in re.finditer(comments, before[start:], re.S):
-        last = m
-    return last[0].strip() if last and start + last.end() == len(before) else None
+def doc_before(text: str, at: int, comments: dict[int, int]) -> str | None:
+    """The comment, of any length, that ends on the line before; comments: where each begins, by its end."""
+    end = len(text[: text.rfind("\n", 0, at) + 1].rstrip())
+    return text[comments[end] : end].strip() if end in comments else None
 
 
 def scan(language: str, r: Rules) -> Extractor:
@@ -228,6 +223,7 @@ def scan(language: str, r: Rules) -> Extractor:
         plain = re.sub(blanks, lambda m: m[0] if m["s"] else re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
         code = re.sub(blanks, lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        comments = {m.start() + len(m[0].rstrip()): m.start() for m in re.finditer(blanks, text, re.S) if not m["s"]}
         line = lambda i: bisect_right(starts, i)
         spans, names = [], set()
         for kind, pattern in heads:
@@ -255,7 +251,7 @@ def scan(language: str, r: Rules) -> Extractor:
             if m := re.match(rf"[^({{;\n]*\b{re.escape(name)}\s*(?:<[^>]*>)?\(([^)]*)\)\s*(?:(?::|->)\s*([^\n{{;]+))?", head, re.S):
                 metadata["parameters"] = [{"name": p.split(":")[0].split("=")[0].strip()} for p in m[1].split(",") if p.strip()]
                 metadata["return_type"] = m[2].strip() if m[2] else None
-            s = symbol(path, language, name, kind, line(at), line(end), signature(head), doc_before(text, at, r.comments), inside[3] if inside and kind in ("method", "property") else None, metadata)
+            s = symbol(path, language, name, kind, line(at), line(end), signature(head), doc_before(text, at, comments), inside[3] if inside and kind in ("method", "property") else None, metadata)
             out.symbols.append(s)
             entry = (at, end, kind, s["id"])
             stack.append(entry)
