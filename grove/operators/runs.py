@@ -27,19 +27,26 @@ def usage(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(*(F.sum(of(k)).alias(k) for k in USAGE))
 
 
+def telling_argument(tool: Column, arguments: Column) -> Column:
+    return F.coalesce(*(F.when(tool == t, F.get_json_object(arguments, f"$.{f}")) for t, f in SUMMARY_FIELD.items()), arguments)
+
+
 def argument_summary(tool: Column, arguments: Column) -> Column:
     """The telling argument of a call, cut to its first bytes and dots."""
-    picked = F.coalesce(*(F.when(tool == t, F.get_json_object(arguments, f"$.{f}")) for t, f in SUMMARY_FIELD.items()), arguments)
+    picked = telling_argument(tool, arguments)
     cut = F.decode(F.substring(F.encode(picked, "UTF-8"), 1, SUMMARY_BYTES), "UTF-8")
     return F.when(F.octet_length(picked) > SUMMARY_BYTES, F.concat(cut, F.lit("..."))).otherwise(picked)
 
 
 def actions(events: DataFrame, tool: str = "grove") -> DataFrame:
-    """(run_id, sequence, tool_name, summary, is_navigation, is_edit, is_tool_command) of all tool calls, in order."""
+    """(run_id, sequence, tool_name, summary, is_navigation, is_edit, is_tool_command) of all tool calls, in order.
+
+    Whether a call is a command of the tool is decided on the whole command, not on its summary.
+    """
     blocks = F.filter(F.coalesce(F.col("event.message.content"), F.array("event.content_block")), lambda b: b["type"] == "tool_use")
-    calls = events.select("run_id", "seq", F.posexplode(blocks).alias("pos", "b")).select("run_id", "seq", "pos", F.col("b.name").alias("tool_name"), argument_summary(F.col("b.name"), F.col("b.input")).alias("summary"))
+    calls = events.select("run_id", "seq", F.posexplode(blocks).alias("pos", "b")).select("run_id", "seq", "pos", F.col("b.name").alias("tool_name"), telling_argument(F.col("b.name"), F.col("b.input")).alias("whole"), argument_summary(F.col("b.name"), F.col("b.input")).alias("summary"))
     order = Window.partitionBy("run_id").orderBy("seq", "pos")
-    command = (F.col("tool_name") == "Bash") & F.coalesce(F.col("summary").rlike(rf"(?:^|[\s;&|/])\Q{tool}\E\s"), F.lit(False))
+    command = (F.col("tool_name") == "Bash") & F.coalesce(F.col("whole").rlike(rf"(?:^|[\s;&|/])\Q{tool}\E\s"), F.lit(False))
     return calls.select(
         "run_id", (F.row_number().over(order) - 1).alias("sequence"), "tool_name", "summary",
         (F.col("tool_name").isin(*NAVIGATION_TOOLS) | command).alias("is_navigation"), F.col("tool_name").isin(*EDIT_TOOLS).alias("is_edit"), command.alias("is_tool_command"),

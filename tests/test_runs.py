@@ -38,3 +38,11 @@ def test_score(spark):
     none = F.lit(None).cast("double")
     assert c(True, True, none, 0.8) == 100 and c(True, False, none, 0.8) == 50
     assert c(True, True, 0.8, 0.8) == 100 and c(True, True, 0.4, 0.8) == 90 and c(False, True, 0.0, 0.0) == 60
+
+
+def test_tool_command_after_a_long_start(spark):
+    command = "cd some/where && " * 14 + "grove refs X"
+    event = {"type": "assistant", "message": {"content": [{"type": "tool_use", "name": "Bash", "input": {"command": command}}]}}
+    lines = spark.createDataFrame([("r", 0, json.dumps(event))], "run_id string, seq int, value string")
+    (row,) = runs.actions(runs.parse_stream(lines)).collect()
+    assert row["is_tool_command"] and row["is_navigation"] and len(row["summary"]) == runs.SUMMARY_BYTES + 3
