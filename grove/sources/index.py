@@ -1,7 +1,7 @@
 """An index on disk: symbols, edges, file hashes and text documents as Parquet, refreshed whole or by changed files.
 
-A refresh writes a new version folder and then points CURRENT at it, so that readers see one state and a lost job leaves the
-last one. Only files whose hash changed are parsed again; their rows replace the old ones.
+A refresh writes a new version folder and marks it as done last; the newest one so marked counts. So readers see one state, and
+a job that is lost at any point leaves the last one. Only files whose hash changed are parsed again; their rows replace the old ones.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from grove.operators.search import TextIndex, build_index, search_documents
 from grove.sources.extract import extracted_rows, split_rows
 from grove.sources.tree import hashed, read_files
 
+#: The file that marks a version as complete, and how many versions stay, so that readers of an older one can finish.
+DONE, KEPT = "DONE", 3
 TABLES = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "files": schema.FILES}
 
 
@@ -31,8 +33,12 @@ class Index:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def version(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(p) else None
+        return max(self._versions(), default=None)
+
+    def _versions(self) -> list[str]:
+        """Names of the complete versions; they sort by age."""
+        fs, p = self._fs(f"{self.path}/v-*/{DONE}")
+        return [s.getPath().getParent().getName() for s in fs.globStatus(p) or []]
 
     def table(self, name: str) -> DataFrame:
         """A table of the current version; empty before the first index."""
@@ -50,18 +56,19 @@ class Index:
 
     def publish(self, symbols: DataFrame, edges: DataFrame, files: DataFrame) -> None:
         """Edges are clustered by target and symbols by name, so that row groups of other names are skipped."""
-        v = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
+        last = self.version()
+        number = max(int(time.time() * 1000), int(last.split("-")[1]) + 1 if last else 0)
+        v = f"v-{number:015d}-{uuid.uuid4().hex[:6]}"
         base = f"{self.path}/{v}"
         symbols.repartitionByRange("name").sortWithinPartitions("name", "id").write.parquet(f"{base}/symbols")
         edges.repartitionByRange("to_id").sortWithinPartitions("to_id", "from_id").write.parquet(f"{base}/edges")
         files.write.parquet(f"{base}/files")
         written = CodeGraph(*(self.spark.read.schema(TABLES[t]).parquet(f"{base}/{t}") for t in ("symbols", "edges", "files")))
         build_index(search_documents(written), stemmed=True, unaccented=True).save(f"{base}/text")
-        fs, current = self._fs(f"{self.path}/CURRENT")
-        _, new = self._fs(f"{self.path}/CURRENT-{uuid.uuid4().hex}")
-        self.spark.createDataFrame([(v,)], "value string").coalesce(1).write.text(new.toString())
-        fs.delete(current, True)
-        fs.rename(new, current)
+        fs, done = self._fs(f"{base}/{DONE}")
+        fs.create(done).close()
+        for old in sorted(self._versions())[:-KEPT]:
+            fs.delete(self._fs(f"{self.path}/{old}")[1], True)
 
     def refresh(self, root: str, patterns: list[str] | None = None, languages: list[str] | None = None, nested: list[str] | None = None, full: bool = False) -> dict:
         """Indexes what changed under root, or everything; {added, modified, deleted} files, and what the index grew by."""

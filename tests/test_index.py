@@ -10,6 +10,7 @@ from grove.api import NotFoundError, Project, Workspace, envelope
 from grove.operators import change
 from grove.sources import tree
 from grove.sources.extract import REGISTRY, extract_python
+from grove.sources.index import KEPT, TABLES, Index
 from grove.streaming import watch
 
 SERVICE = """import { Request } from './types';
@@ -187,3 +188,24 @@ def test_stream_of_changes(spark, tmp_path):
     release()
     (tmp_path / "watch.lock").write_text("999999999")
     watch.claim(str(tmp_path))()
+
+
+@pytest.mark.parametrize("size", [10, 5_000, 50_000])
+def test_long_comment_is_kept(size):
+    words = "word " * size
+    found = REGISTRY["java"]("A.java", f'String s = "/* no comment */";\n/* {words}*/\npublic class A {{}}\n')
+    assert [s["docstring"] for s in found.symbols if s["name"] == "A"] == [f"/* {words}*/"]
+
+
+def test_versions(spark, tmp_path):
+    """A version without its mark doesn't count, the newest with one does, and old ones go."""
+    index = Index(spark, str(tmp_path / "ix"))
+    assert index.version() is None and index.table("symbols").count() == 0
+    tables = [spark.createDataFrame([], TABLES[t]) for t in ("symbols", "edges", "files")]
+    seen = []
+    for _ in range(KEPT + 2):
+        index.publish(*tables)
+        seen.append(index.version())
+    assert seen == sorted(set(seen)) and sorted(index._versions()) == seen[-KEPT:]
+    (tmp_path / "ix" / "v-999999999999999-abcdef").mkdir()
+    assert index.version() == seen[-1]
