@@ -52,7 +52,9 @@ def main(argv: list[str] | None = None) -> int:
         elif as_json:
             print(envelope(name, df, a.get("target")))
         else:
-            df.show(200, truncate=100)
+            print(*df.columns, sep="\t")
+            for row in df.toLocalIterator():  # a partition at a time: all rows, whole
+                print(*("" if v is None else v for v in row), sep="\t")
     return 0
 
 
