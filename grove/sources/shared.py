@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_grove").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+        warnings.warn(f"spark.checkpoint.dir isn't set: {warehouse} must be a folder that the driver and all executors share", stacklevel=2)
+    return warehouse + "/_grove"
 
 
 def cut(df: DataFrame) -> DataFrame:
