@@ -48,13 +48,17 @@ def kmers(text: str) -> np.ndarray:
 
 
 def occurrences(h: np.ndarray) -> np.ndarray:
-    """For each position, how many earlier positions hold the same k-mer."""
+    """For each position, how many earlier positions hold the same k-mer, by all 64 bits of its hash."""
     n = len(h)
-    if n < 1 << POS_BITS:  # sorting hash and position in one word is stable
+    at = None
+    if n < 1 << POS_BITS:  # sorting hash and position in one word is stable, and faster
         low = np.uint64((1 << POS_BITS) - 1)
         both = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
-        at, key = (both & low).astype(np.int64), both & ~low
-    else:
+        at = (both & low).astype(np.int64)
+        key, high = h[at], both & ~low
+        if ((high[1:] == high[:-1]) & (key[1:] != key[:-1])).any():  # the high bits don't tell two k-mers apart
+            at = None
+    if at is None:
         at = np.argsort(h, kind="stable")
         key = h[at]
     starts = np.zeros(n, np.int64)
