@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from grove.llm.common import fresh, id_text
 
 WINDOW = 20
+#: So many matches of a text are placed one after the other.
+RUN = 256
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 #: Java and RE2 both read these alike; letters of the keywords in either case, ASCII only.
 _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -42,22 +44,30 @@ _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, hit, part>>: the leftmost matches that don't overlap, in code points, end exclusive.
 
-    The text between matches comes from split, so each start is a sum of lengths before it.
+    The text between matches comes from split, so each start is a sum of lengths before it. Matches are counted in runs of RUN,
+    and the runs then moved by the lengths before them, so that the work doesn't grow with the square of the matches.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     kind = "array<struct<start:bigint,end:bigint,hit:string,part:string>>"
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), parts.alias("part"))
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), parts.alias("part")), lambda x: x["hit"].isNotNull())
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.char_length(x["hit"])
         one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
-        return F.when(x["hit"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).cast(kind).alias("out")))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).cast(kind).alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(F.aggregate(zipped, start, add, lambda s: s["out"]))
+    def run(found: Column, first: Column) -> Column:
+        return F.aggregate(F.slice(found, first, F.lit(RUN)), F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out")), add)
+
+    once = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  c is computed once
+    runs = once(zipped, lambda found: F.transform(F.sequence(F.lit(1), F.size(found), F.lit(RUN)), lambda first: run(found, first)))
+    ends = lambda runs: F.aggregate(runs, F.array(F.lit(0).cast("bigint")), lambda s, r: F.concat(s, F.array(F.element_at(s, -1) + r["at"])))
+    moved = lambda r, by: F.transform(r["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hit"].alias("hit"), x["part"].alias("part")))
+    placed = once(runs, lambda rs: once(F.struct(rs.alias("runs"), ends(rs).alias("ends")), lambda z: F.flatten(F.transform(z["runs"], lambda r, i: moved(r, F.get(z["ends"], i))))))
+    return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(placed.cast(kind))
 
 
 def codes(hit: Column, kind: str) -> Column:
