@@ -14,7 +14,7 @@ A conversation is kept as segments of SEGMENT turns, each a row, so that no row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 64
@@ -30,9 +30,28 @@ def unescaped(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
 
 
+#: Events of a turn in a log that events_of makes.
+EVENTS = 8
+
+
 def events_of(rows: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as a log of one event a turn."""
-    return rows.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """Finished turns (conv_id, turn, role, text) as a log of how they came about.
+
+    A turn of the assistant begins as a message, gets a delta that is thrown away by a regeneration, and is streamed again in
+    three deltas. One of any other role begins as a draft, gets a delta, and is edited; what the edit leaves out follows as a
+    delta. Rows that repeat a turn follow each other by role and text. A null text is empty.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    third = F.floor(F.char_length(text) / 3).cast("int")
+    part = lambda a, b: F.substring(text, a + 1, b - a)
+    whole = F.char_length(text)
+    event = lambda step, kind, said: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("said"))
+    zero = F.lit(0)
+    streamed = [event(0, "message", part(zero, third)), event(1, "delta", F.lit(" no, wait")), event(2, "regenerate", F.lit(None).cast("string")), event(3, "delta", part(zero, third)), event(4, "delta", part(third, 2 * third)), event(5, "delta", part(2 * third, whole))]
+    edited = [event(0, "message", F.lit("draft: ")), event(1, "delta", part(third, whole)), event(2, "edit", part(zero, whole - third)), event(3, "delta", part(whole - third, whole))]
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text)) - 1
+    log = rows.select("conv_id", "turn", "role", nth.alias("nth"), F.explode(F.when(F.col("role") == "assistant", F.array(*streamed)).otherwise(F.array(*edited))).alias("e"))
+    return log.select("conv_id", "turn", (F.col("nth").cast("long") * EVENTS + F.col("e.step")).alias("seq"), "e.kind", "role", F.col("e.said").alias("text"))
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
