@@ -38,6 +38,15 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Up to so many ids are sent to all executors, to pick their rows without moving the others; beyond that, both sides move.
+FEW = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, a saved table of ids, to be sent to all executors if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 #: Bytes of a batch between Spark and Python; a task holds a batch several times over.
 BATCH_BYTES = 8 << 20
 

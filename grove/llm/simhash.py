@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grove.llm.common import forget, fresh, id_text, saved, shuffle_partitions, slices, small_batches
+from grove.llm.common import bounded, forget, fresh, id_text, saved, shuffle_partitions, slices, small_batches
 
 WORDS, BITS, SEED = 3, 3, 42
 BLOCK = 2048
@@ -326,8 +326,6 @@ NEAR_BITS, NEAR_COVER = 2, Cover(COVER.codes, home=1, visitor=1)
 BITMAP = tuple(f"b{i}" for i in range(8))
 #: Before the sets themselves, bitmaps of 64 * WIDE buckets are compared.
 WIDE = 64
-#: Up to so many ids are sent to all executors, to pick their texts without moving the others; beyond that, both sides move.
-FEW = 200_000
 #: So many times each set is paired with one other, before all pairs that are left in different groups.
 TURNS = 3
 
@@ -433,11 +431,6 @@ def side(once: DataFrame, v: str, n: str, mark: str) -> DataFrame:
     return once.select(F.col("v").alias(v), F.col("n").alias(n), *(F.col(b).alias(b + mark) for b in BITMAP))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, a saved table, to be sent to all executors if it has FEW rows at most."""
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def checked(pairs: DataFrame, once: DataFrame, texts: DataFrame, words: int, similarity: float, repeats: bool) -> DataFrame:
     """(u, v): those of the pairs (a, b) whose sets of shingles are as similar, by the whole texts. Only texts of pairs are read into sets.
 

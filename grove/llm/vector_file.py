@@ -1,90 +1,141 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Queries and candidates are dealt into a grid: a cell holds about QUERIES queries and about CANDIDATES vectors, whatever their
-number. In a cell, each component of a vector is kept as one of CELLS equal intervals of its dimension. A scan of those
-approximations bounds every score from both sides. Exact vectors are read in the order of the best possible score until the
-kth exact score is certain. Each cell returns k results a query; the best k of all cells follow.
+A first pass writes the approximation file: of each vector one byte a component, the number of one of CELLS equal intervals of
+the vector's own range, and that range. Queries and approximations are dealt into a grid: a cell holds about QUERIES queries and
+about CANDIDATES approximations, whatever their number. A scan of those alone bounds every score from both sides, and gives the
+vectors that can be among the k best there. The kth best lower bound over all cells is certain for a query, so that exact vectors
+are read, in one join, of those only whose upper bound reaches it: all that reading in the order of the bounds would need.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES, CANDIDATES, CELLS, UNIT = 2048, 16384, 16, 1024
+from grove.llm.common import bounded, forget, saved, slices
+
+QUERIES, CANDIDATES, CELLS, UNIT = 2048, 16384, 256, 1024
+#: Scores are held to the range of long.
+MOST = 2.0**63
 
 
 def integers(column: pa.ChunkedArray) -> np.ndarray:
     """floor(UNIT * x) of each component, as doubles that are whole numbers."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(UNIT * flat).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    return np.floor(UNIT * flat).reshape(len(lists), -1) + 0.0 if len(lists) else np.zeros((0, 0))
 
 
 class Approximation:
-    """Cells of vectors, one byte a component, and bounds of inner products from them."""
+    """One byte a component, and bounds of inner products from them."""
+
+    def __init__(self, low: np.ndarray, width: np.ndarray, code: np.ndarray) -> None:
+        self.low, self.width, self.code = low, width, code
+        self.plain = code.astype(np.float32)
 
-    def __init__(self, x: np.ndarray) -> None:
-        self.low = x.min(0)
-        self.width = np.maximum((x.max(0) - self.low) / CELLS, 1e-300)
-        self.code = np.minimum((x - self.low) / self.width, CELLS - 1).astype(np.uint8)
+    @classmethod
+    def of(cls, x: np.ndarray) -> Approximation:
+        low, high = (x.min(1), x.max(1)) if x.shape[1] else (np.zeros(len(x)), np.zeros(len(x)))
+        width = (high - low) / CELLS
+        step = np.where(width > 0, width, 1.0)
+        return cls(low, width, np.minimum((x - low[:, None]) / step[:, None], CELLS - 1).astype(np.uint8))
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Middle scores of each query with each vector, and how far an exact score can be from them, rounding included."""
-        middle = (self.code + 0.5) * self.width + self.low
-        far = np.abs(q) @ self.width / 2
-        return q @ middle.T, far + 1e-9 * (1 + far + np.abs(q) @ np.abs(middle).max(0))
+        """The least and the best possible score of each query with each vector, rounding included."""
+        with np.errstate(all="ignore"):
+            dots = (q.astype(np.float32) @ self.plain.T).astype(np.float64)
+            middle = q.sum(1)[:, None] * (self.low + self.width / 2) + dots * self.width
+            rounding = (q.shape[1] + 4) * (1.2e-7 * CELLS * self.width + 1e-12 * (np.abs(self.low) + CELLS * self.width))
+            far = np.abs(q).sum(1)[:, None] * (self.width / 2 + rounding) + 1
+            known = np.isfinite(middle) & np.isfinite(far)
+            return np.where(known, np.clip(middle - far, -MOST, MOST), -MOST), np.where(known, np.clip(middle + far, -MOST, MOST), MOST)
+
+
+def needed_copies(ids: np.ndarray, same: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k + 1 smallest ids of each distinct vector (rows of same), in order of ids: no others can be among k best."""
+    order = np.lexsort((ids, same[:, 1], same[:, 0]))
+    s, i = same[order], ids[order]
+    other = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))
+    new = other.copy()
+    new[1:] |= i[1:] != i[:-1]
+    nth = np.cumsum(new)
+    kept = order[new & (nth - nth[np.maximum.accumulate(np.where(other, np.arange(len(i)), 0))] <= k)]
+    return kept[np.argsort(ids[kept], kind="stable")]
+
+
+def candidates(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, file: Approximation, k: int) -> tuple[np.ndarray, ...]:
+    """(query, id, least, best) of all vectors that can be among the k best here. ids are sorted; rows of one id count as one."""
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    names = ids[first]
+    out = []
+    for a in range(0, len(q), 256):
+        asked = q_ids[a : a + 256]
+        least, best = file.bounds(q[a : a + 256])
+        if len(first) < len(ids):
+            least, best = np.maximum.reduceat(least, first, axis=1), np.maximum.reduceat(best, first, axis=1)
+        own = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        at = np.flatnonzero(names[own] == asked)
+        least[at, own[at]] = best[at, own[at]] = -np.inf
+        sure = np.partition(least, len(names) - k, axis=1)[:, [len(names) - k]] if len(names) > k else -np.inf
+        row, col = np.nonzero((best >= sure) & (best > -np.inf))
+        out.append((asked[row], names[col], least[row, col], best[row, col]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row, held to the range of long."""
+    with np.errstate(all="ignore"):
+        out, plain = np.empty(len(q), np.int64), (np.abs(q) * np.abs(x)).sum(1) < 2**53
+    out[plain] = (q[plain] * x[plain]).sum(1).astype(np.int64)
+    for i in np.flatnonzero(~plain):
+        out[i] = max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], x[i], strict=True))))
+    return out
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best candidates of each query, its own id left out; ties to the smaller id.
-
-    Rows of x are sorted by id here. Rows that repeat an id count once, with their highest score.
-    """
+    """(query, id, score) of the k best candidates of each query in memory, its own id left out; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    repeated = len(ids) > 1 and bool((ids[1:] == ids[:-1]).any())
-    exact = not x.size or float(np.abs(q).max(initial=0)) * float(np.abs(x).max()) * x.shape[1] < 2**53
-    out: list[tuple[int, int, int]] = []
-    if repeated or not exact:
-        big = [[int(v) for v in row] for row in x] if not exact else None
-        for i, row in zip(q_ids.tolist(), q, strict=True):
-            s = [sum(int(a) * b for a, b in zip(row, v, strict=True)) for v in big] if big is not None else (x @ row).astype(np.int64).tolist()
-            best: dict[int, int] = {}
-            for j, v in zip(ids.tolist(), s, strict=True):
-                v = max(-(2**63), min(2**63 - 1, v))
-                if j != i and v > best.get(j, -(2**63) - 1):
-                    best[j] = v
-            out += [(i, j, v) for j, v in sorted(best.items(), key=lambda t: (-t[1], t[0]))[:k]]
-        return out
-    file = Approximation(x)
-    for a in range(0, len(q), 256):
-        middle, far = file.bounds(q[a : a + 256])
-        for i, row, m, r in zip(q_ids[a : a + 256].tolist(), q[a : a + 256], middle, far, strict=True):
-            own = np.searchsorted(ids, i)
-            if own < len(ids) and ids[own] == i:
-                m[own] = -np.inf
-            n = min(k, len(m) - 1)
-            if len(m) > k:
-                least = np.partition(m, len(m) - k)[len(m) - k] - r  # the kth best lower bound
-                may = np.flatnonzero(m + r >= least)
-            else:
-                may = np.flatnonzero(np.isfinite(m))
-            may = may[np.argsort(-m[may], kind="stable")]
-            got, score, at = np.empty(0, int), np.empty(0), 0
-            while at < len(may):
-                if len(got) >= k and m[may[at]] + r < score[k - 1]:
-                    break  # no vector that is left can reach the kth
-                part = may[at : at + max(4 * k, 64)]
-                got, score = np.concatenate((got, part)), np.concatenate((score, x[part] @ row))
-                best = np.lexsort((ids[got], -score))[: max(k, n)]
-                got, score, at = got[best], score[best], at + len(part)
-            out += [(i, int(ids[j]), int(s)) for j, s in zip(got[:k], score[:k], strict=True)]
-    return out
+    found: dict[int, dict[int, int]] = {}
+    for i, row in zip(q_ids, q, strict=True):
+        _, near, *_ = candidates(np.array([i]), row[None], ids, Approximation.of(x), k)
+        at = np.flatnonzero(np.isin(ids, near))
+        best = found.setdefault(int(i), {})
+        for j, s in zip(ids[at].tolist(), exact_scores(np.broadcast_to(row, x[at].shape), x[at]).tolist(), strict=True):
+            best[j] = max(s, best.get(j, s))
+    return [(i, j, s) for i, best in found.items() for j, s in sorted(best.items(), key=lambda t: (-t[1], t[0]))[:k]]
+
+
+def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches of vectors of one length."""
+    for batch in batches:
+        for b in slices(batch, 4096):
+            sizes = pc.list_value_length(b.column(column))
+            for n in sizes.unique():
+                yield b.filter(pc.equal(sizes, n))
+
+
+def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the approximation file, with a digest of the exact vector."""
+    from hashlib import blake2b
+
+    for b in by_length(batches, "embedding"):
+        x = integers(b.column("embedding"))
+        file = Approximation.of(x)
+        cols = [b.column("vec_id"), pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(file.low), pa.array(file.width), pa.array([r.tobytes() for r in file.code], pa.binary()), pa.array([blake2b(r.tobytes(), digest_size=16).digest() for r in x], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "dim", "low", "width", "code", "same"])
+
+
+def score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in by_length(batches, "q"):
+        score = exact_scores(integers(b.column("q")), integers(b.column("x")))
+        yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
 def usable(c: Column) -> Column:
@@ -100,23 +151,34 @@ def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     asked = rows.where(F.col("vec_id") % every == 0)
-    total, n_asked = rows.select(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    file = saved(rows.mapInArrow(approximate, "vec_id long, dim int, low double, width double, code binary, same binary"), "approximation")
+    total, n_asked = file.select(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     across, down = max(1, ceil(n_asked / QUERIES)), max(1, ceil(total / CANDIDATES))
-    dim = F.size("embedding").alias("dim")
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    q = asked.select(dim, place(across).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"), "vec_id", "embedding")
-    x = rows.select(dim, F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("g"), place(down).alias("c"), "vec_id", "embedding")
+    q = asked.select(F.size("embedding").alias("dim"), place(across).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"), "vec_id", "embedding")
+    x = file.select("dim", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("g"), place(down).alias("c"), "vec_id", "low", "width", "code", "same")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
+        found = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
         if left.num_rows and right.num_rows:
-            found = search(left.column("vec_id").to_numpy(), integers(left.column("embedding")), right.column("vec_id").to_numpy(), integers(right.column("embedding")), k)
-        cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+            same = np.frombuffer(b"".join(right.column("same").to_pylist()), np.uint64).reshape(-1, 2)
+            right = right.take(pa.array(needed_copies(right.column("vec_id").to_numpy(), same, k)))
+            code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            scan = Approximation(right.column("low").to_numpy(), right.column("width").to_numpy(), code)
+            found = candidates(left.column("vec_id").to_numpy(), integers(left.column("embedding")), right.column("vec_id").to_numpy(), scan, k)
+        return pa.table(dict(zip(("query_id", "vec_id", "least", "best"), map(pa.array, found), strict=True)))
 
     key = ("dim", "g", "c")
-    local = q.groupBy(*key).cogroup(x.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score long")
-    best = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    scanned = q.groupBy(*key).cogroup(x.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, least double, best double")
+    bounds = saved(scanned.groupBy("query_id", "vec_id").agg(F.max("least").alias("least"), F.max("best").alias("best")), "bounds")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id"))
+    sure = bounds.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", F.col("least").alias("sure"))
+    open_pairs = saved(bounds.join(sure, "query_id", "left").where("sure IS NULL OR best >= sure").select("query_id", "vec_id"), "open")
+    forget(bounds, file)
+    read = bounded(open_pairs).join(rows.withColumnRenamed("embedding", "x"), "vec_id")
+    pairs = read.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").where(F.size("q") == F.size("x"))
+    exact = pairs.select("query_id", "vec_id", "q", "x").mapInArrow(score_pairs, "query_id long, vec_id long, score long")
+    best = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
