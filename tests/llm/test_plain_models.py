@@ -164,6 +164,24 @@ def test_time_of_many_matches(spark):
     assert took[2] < 24 * max(took[1], 0.5)
 
 
+def test_redact_many_spans(spark):
+    """Spans that overlap, touch and lie apart, more than one run of them, against cutting by hand."""
+    rng = np.random.default_rng(8)
+    for n in (1, 255, 256, 257, 800):
+        text = "é" + "".join(rng.choice(list("abc \U0001f600"), 12 * n))
+        starts = np.sort(rng.integers(0, 11 * n, n))
+        spans = sorted((int(a), 0, int(a + rng.integers(1, 30))) for a in starts)
+        spans = [(a, k, min(b, len(text))) for a, k, b in spans]
+        want, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                want += text[at:a] + "#"
+            at = max(at, b)
+        want += text[at:]
+        df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:bigint,kind:int,end:bigint>>")
+        assert df.select(secrets.marked(F.col("text"), F.col("spans"), "#").alias("t")).first()["t"] == want
+
+
 # Chat: the log that the query folds
 
 
