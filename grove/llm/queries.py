@@ -77,11 +77,23 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grove.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grove.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_secret_scan, op3_token_files, op4_simhash, op5_toxicity, op6_byte_bpe, op7_packing, op8_chat, op9_quality, op10_topk)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_secret_scan, op3_token_files, op4_simhash, op5_toxicity, op6_byte_bpe, op7_packing, op8_chat, op9_quality, op10_topk, op11_filter_audit, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from grove.llm import chat, secrets, vector_file
+    from grove.llm import chat, divergence, filter_audit, secrets, vector_file
 
-    return {"op2_secret_scan": secrets.oracle(), "op8_chat": chat.oracle(), "op10_topk": vector_file.oracle()}
+    return {"op2_secret_scan": secrets.oracle(), "op8_chat": chat.oracle(), "op10_topk": vector_file.oracle(), "op11_filter_audit": filter_audit.oracle(), "op13_divergence": divergence.oracle()}
