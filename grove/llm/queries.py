@@ -83,6 +83,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grove.llm.pii import fit, report, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return report(scan(docs, fit(docs)))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grove.llm.divergence import audit
 
@@ -90,7 +97,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_secret_scan, op3_token_files, op4_simhash, op5_toxicity, op6_byte_bpe, op7_packing, op8_chat, op9_quality, op10_topk, op11_filter_audit, op13_divergence)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_secret_scan, op3_token_files, op4_simhash, op5_toxicity, op6_byte_bpe, op7_packing, op8_chat, op9_quality, op10_topk, op11_filter_audit, op12_pii, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
