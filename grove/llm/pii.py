@@ -27,8 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: No entity, then the first and the further words of each kind.
 O, LABELS = 0, 1 + 2 * len(KINDS)
 CHAIN, SAME, ALIKE = range(3)
-#: Sampled documents; words of one of them at most, or it is passed over; rounds of messages, at inference; passes over the sample.
-SAMPLE, SAMPLE_WORDS, ROUNDS, EPOCHS = 20_000, 2_000, 12, 12
+#: Sampled documents; words of one of them at most, or it is passed over; rounds of messages, at inference; passes over the sample, and steps in all.
+SAMPLE, SAMPLE_WORDS, ROUNDS, EPOCHS, STEPS = 20_000, 2_000, 12, 20, 1_200
 #: The largest weight of a link, so that no link outvotes what the words themselves say.
 LINK = 3.0
 #: The kind of each label (0: none), and which labels are of one kind.
@@ -262,9 +262,10 @@ def hidden(text: str, spans: list[tuple[int, int, int]], seed: int) -> tuple[str
     parts.append(text[at:])
     n += len(text) - at
     coin = zlib.crc32(f"{seed}".encode())
-    number, day = str(1_000_000_000 + coin)[:10], f"{1990 + coin % 40}-{1 + coin % 12:02d}-{1 + coin % 28:02d}"
+    numbers = [str(10**9 + (coin * k * 7919) % (9 * 10**9)) for k in (1, 2, 3)]
+    day = f"{1990 + coin % 40}-{1 + coin % 12:02d}-{1 + coin % 28:02d}"
     bare = [_digits(text[s:e])[-10:] for kind, s, e in flat if kind == 3]
-    for tail, kind in ((number, None), (day, None), *((b, 3) for b in bare[:1] if coin >> 6 & 1)):
+    for tail, kind in (*((x, None) for x in numbers), (day, None), *((b, 3) for b in bare[:1] if coin >> 6 & 1)):
         parts.append(" and " + tail)
         if kind is not None:
             out.append((kind, n + 5, n + 5 + len(tail)))
@@ -387,7 +388,8 @@ def train(found: list[dict], epochs: int = EPOCHS, rate: float = 0.3, l2: float
     g2 = [np.full(x.shape, 1e-3) for x in (w, chain, link)]
     starts = np.searchsorted(rows, np.arange(len(y) + 1))
     near_at = np.searchsorted(near[:, 0], np.arange(len(y) + 1))
-    rng, taught, size = np.random.default_rng(seed), np.flatnonzero(use), 512
+    rng, taught = np.random.default_rng(seed), np.flatnonzero(use)
+    size = max(64, len(taught) * epochs // STEPS)
     spread = lambda at, b: np.concatenate([np.arange(at[v], at[v + 1]) for v in b]) if len(b) else np.zeros(0, int)
     for _ in range(epochs):
         order = rng.permutation(taught)
