@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import json
+import signal
 import sys
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 from grove.api import NotFoundError, Project, Workspace, envelope
 
 COMMANDS = {
-    "init": (), "index": ("full",), "sketch": ("target", "limit=50"), "refs": ("target", "kind", "limit=20", "context=0"), "callers": ("target", "depth=1", "limit=20", "context=0"), "deps": ("target", "depth=1"),
+    "init": (), "index": ("full", "watch"), "sketch": ("target", "limit=50"), "refs": ("target", "kind", "limit=20", "context=0"), "callers": ("target", "depth=1", "limit=20", "context=0"), "deps": ("target", "depth=1"),
     "rdeps": ("target", "depth=1"), "impact": ("target", "depth=3"), "find": ("query", "kind", "limit=10"), "similar": ("target", "kind", "limit=10"), "source": ("target",), "trace": ("target", "max_depth=10", "limit=20"),
     "entrypoints": (), "map": ("limit=10",), "status": (),
 }
-WORKSPACE = {"init": ("name",), "list": (), "index": ("full",), "status": (), "refs": ("target", "kind", "limit=20"), "find": ("query", "kind", "limit=10"), "map": ("limit=10",), "entrypoints": ()}
+WORKSPACE = {"init": ("name",), "list": (), "index": ("full", "watch"), "status": (), "refs": ("target", "kind", "limit=20"), "find": ("query", "kind", "limit=10"), "map": ("limit=10",), "entrypoints": ()}
 
 
 def _add(to: argparse._SubParsersAction, commands: dict[str, tuple[str, ...]]) -> None:
@@ -24,12 +27,27 @@ def _add(to: argparse._SubParsersAction, commands: dict[str, tuple[str, ...]]) -
             key, _, default = o.partition("=")
             if key in ("target", "query"):
                 p.add_argument(key)
-            elif key == "full":
-                p.add_argument("--full", action="store_true")
+            elif key in ("full", "watch"):
+                p.add_argument("--" + key, action="store_true")
             else:
                 p.add_argument("--" + key.replace("_", "-"), type=int if default else str, default=int(default) if default else None)
 
 
+def _watch(target: Project | Workspace, full: bool) -> int:
+    """Watches until the process is told to stop, and drains what is pending then."""
+    if full:
+        target.reindex(True)
+    ended = threading.Event()
+    for s in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(s, lambda *_: ended.set())
+    watcher = target.watch()
+    print("watching", *watcher.roots, file=sys.stderr)
+    ended.wait()
+    watcher.stop()
+    print(json.dumps(watcher.log.totals()))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="grove")
     parser.add_argument("--root", default=".")
@@ -41,7 +59,10 @@ def main(argv: list[str] | None = None) -> int:
     root, as_json, command, sub = (a.pop(k, None) for k in ("root", "json", "command", "sub"))
     spark = SparkSession.builder.appName("grove").getOrCreate()
     method = {"index": "reindex"}.get(sub or command, sub or command)
+    watching = a.pop("watch", False)
     try:
+        if watching:
+            return _watch(Workspace(spark, root) if sub else Project(spark, root), a["full"])
         out = getattr(Workspace(spark, root) if sub else Project(spark, root), method)(*a.values())
     except (NotFoundError, FileNotFoundError, FileExistsError, ValueError) as e:
         print(f"grove: {e}", file=sys.stderr)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from grove.operators import search, workspace
 from grove.sources import tree
 from grove.sources.index import Index
+from grove.streaming.watch import Watcher, claim, listing
 
 SUFFIXES = tuple("." + e for e in tree.EXTENSIONS)
 
@@ -33,6 +34,19 @@ def envelope(command: str, data: DataFrame, symbol: str | None = None, limit: in
     return json.dumps(body, indent=2, ensure_ascii=False)
 
 
+def _watching(projects: dict[str, Project], directory: str, poll: bool) -> Watcher:
+    """A started watcher that holds the directory's lock until it is stopped."""
+    release = claim(directory)
+    try:
+        w = Watcher(projects[next(iter(projects))].spark, f"{directory}/watch", {n: p.root for n, p in projects.items()}, lambda n: projects[n].reindex(), lambda n, number: projects[n]._listing(n, number), release=release)
+        for name in projects:
+            w.first(name)
+        return w.start(poll)
+    except BaseException:
+        release()
+        raise
+
+
 @dataclass
 class Project:
     """A source tree and its index in <root>/.grove, or elsewhere."""
@@ -71,6 +85,14 @@ class Project:
                 own = tree.gitignore(f.read())
         return self.index.refresh(self.root, c.ignore + own, c.languages or None, tree.nested_projects(self.root) if os.path.isdir(self.root) else None, full)
 
+    def _listing(self, name: str, number: int) -> DataFrame:
+        c = self.config()
+        return listing(self.spark, name, self.root, number, c.ignore, c.languages or None)
+
+    def watch(self, poll: bool = True) -> Watcher:
+        """Indexes what changed since, and then whatever changes until the watcher is stopped. One watcher a project."""
+        return _watching({"project": self}, f"{self.root.rstrip('/')}/{tree.CONFIG_DIR}", poll)
+
     def _files(self) -> DataFrame:
         return tree.read_files(self.spark, self.root).select("file_path", F.decode("content", "UTF-8").alias("text"))
 
@@ -166,6 +188,14 @@ class Workspace:
     def reindex(self, full: bool = False) -> dict[str, dict]:
         return {n: p.reindex(full) for n, p in self.members().items()}
 
+    def watch(self, poll: bool = True) -> Watcher:
+        """One watcher for all members that have a configuration; a member that fails is tried again and stops no other."""
+        named = {n: p for n, p in self.members().items() if os.path.exists(os.path.join(p.root, tree.CONFIG_DIR, tree.CONFIG_FILE))}
+        if not named:
+            raise ValueError("no member of the workspace has a configuration")
+        os.makedirs(os.path.join(self.root, tree.CONFIG_DIR), exist_ok=True)
+        return _watching(named, os.path.join(self.root, tree.CONFIG_DIR), poll)
+
     def status(self) -> DataFrame:
         return workspace.workspace_status(workspace.federate({n: p.status() for n, p in self.members().items()}))
 

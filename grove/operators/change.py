@@ -13,6 +13,34 @@ def changed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("file_path", change.alias("change")).where("change IS NOT NULL")
 
 
+def listing_changes(listings: DataFrame, state: DataFrame) -> DataFrame:
+    """(project, listing, path, change): what each listing (project, listing, path, hash) added, modified or deleted.
+
+    Every listing is compared with the one before it, the first of a project with the state (project, path, hash). A listing has
+    a row without a path besides its files', so that an empty one is seen too. All listings are compared in one pass: a path's
+    rows are ordered, a gap between two of them is a deletion and an addition, and one behind the last a deletion.
+    """
+    seen = listings.select("project", "listing").distinct()
+    order = seen.select("project", "listing", F.row_number().over(Window.partitionBy("project").orderBy("listing")).alias("n"))
+    numbered = listings.where("path IS NOT NULL").join(order, ["project", "listing"]).select("project", "path", "hash", "n")
+    last = order.groupBy("project").agg(F.max("n").alias("last"))
+    before = state.join(last.select("project"), "project", "left_semi").select("project", "path", "hash", F.lit(0).alias("n"))
+    w = Window.partitionBy("project", "path").orderBy("n")
+    rows = numbered.unionByName(before).withColumns({"was": F.lag("hash").over(w), "at": F.lag("n").over(w), "next": F.lead("n").over(w)}).join(last, "project")
+    event = lambda n, change: F.struct(n.alias("n"), F.lit(change).alias("change"))
+    came = F.when((F.col("n") > 0) & (F.col("at").isNull() | (F.col("at") < F.col("n") - 1)), event(F.col("n"), "added")).when((F.col("at") == F.col("n") - 1) & ~F.col("was").eqNullSafe(F.col("hash")), event(F.col("n"), "modified"))
+    went = F.when(F.coalesce("next", F.col("last") + 1) > F.col("n") + 1, event(F.col("n") + 1, "deleted"))
+    found = rows.select("project", "path", F.explode(F.filter(F.array(came, went), lambda x: x.isNotNull())).alias("e")).select("project", "path", "e.n", "e.change")
+    return found.join(order, ["project", "n"]).select("project", "listing", "path", "change")
+
+
+def listing_state(listings: DataFrame, state: DataFrame) -> DataFrame:
+    """The state (project, path, hash) after listings: the last one of each project that has one, the old state of the others."""
+    last = listings.groupBy("project").agg(F.max("listing").alias("listing"))
+    new = listings.where("path IS NOT NULL").join(last, ["project", "listing"], "left_semi").select("project", "path", "hash")
+    return state.join(last.select("project"), "project", "left_anti").select("project", "path", "hash").unionByName(new)
+
+
 def without_files(table: DataFrame, files: DataFrame) -> DataFrame:
     """table without the rows of files (file_path)."""
     return table.join(files.select("file_path"), "file_path", "left_anti").select(*table.columns)
