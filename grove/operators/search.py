@@ -19,13 +19,17 @@ BEST, WORST, FLAT, EPSILON = 1.0, 0.5, 0.95, 1e-15
 
 @dataclass
 class TextIndex:
-    """docs: symbol_id, name, kind, file_path. postings: term, symbol_id, col, positions. lengths: symbol_id, length."""
+    """docs: symbol_id, name, kind, file_path. postings: term, symbol_id, col, positions. lengths: symbol_id, length.
+
+    counted: the number of documents and of their terms, where they are known without a scan.
+    """
 
     docs: DataFrame
     postings: DataFrame
     lengths: DataFrame
     stemmed: bool = False
     unaccented: bool = False
+    counted: tuple[int, int] | None = None
 
     def save(self, path: str) -> None:
         """Postings sorted by term, so that a prefix reads the row groups of its range only."""
@@ -76,7 +80,7 @@ def bm25(index: TextIndex, query: str, kind: str | None = None, limit: int = 10)
     if not found:
         return empty
     each = reduce(DataFrame.union, (h.select("symbol_id", "f", F.lit(i).alias("p")) for i, (_, h) in enumerate(found)))
-    n, total = index.lengths.agg(F.count("*"), F.sum("length")).first()
+    n, total = index.counted or index.lengths.agg(F.count("*"), F.sum("length")).first()
     if not total:
         return empty
     rows = each.groupBy("p").agg(F.count("*").alias("n"))

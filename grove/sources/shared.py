@@ -70,3 +70,13 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text, "utf-8"))
     finally:
         out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, p = hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from grove.operators import change
-from grove.sources.shared import children, hadoop, put, put_text, remove
+from grove.sources.shared import children, hadoop, put, put_text, read_text, remove
 from grove.sources.tree import hashed, in_ignored_component, read_files
 
 QUIET, DELAY = "300 milliseconds", "1 second"
@@ -99,16 +99,9 @@ class EventLog(StreamingQueryListener):
     def totals(self) -> dict:
         """Read back from the files, small ones, one a batch."""
         fs, p = hadoop(self.spark, f"{self.path}/reindex-*.json")
-        counts = [json.loads(bytes(self._read(fs, s.getPath()))) for s in fs.globStatus(p) or []]
+        counts = [json.loads(read_text(self.spark, str(s.getPath()))) for s in fs.globStatus(p) or []]
         return {"total_reindexes": len(counts), "total_files_processed": sum(c["files_changed"] for c in counts)}
 
-    def _read(self, fs, path) -> bytes:
-        stream = fs.open(path)
-        try:
-            return stream.readAllBytes()
-        finally:
-            stream.close()
-
     def events(self) -> DataFrame:
         return self.spark.read.json(f"{self.path}/*.json")
 
