@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.functions import names as N
-from grove.operators.traverse import reach, simple_paths
+from grove.operators.traverse import paths_to_ends, reach
 from grove.schema import CLASS_LIKE, EDGE_KEY
 
 
@@ -268,8 +268,7 @@ class CodeGraph:
         keys = symbol.select(F.col("id").alias("target"), F.explode(F.array("id", "name")).alias("key"))
         first = self.keyed(calls).join(keys, "key").select(F.array("from_id", "target").alias("path")).distinct()
         steps = calls.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-        paths = simple_paths(first, steps, depth).withColumn("head", F.get("path", F.lit(0)))
-        entry = paths.join(steps.select(F.col("src").alias("head")), "head", "left_anti")
+        entry = paths_to_ends(first, steps, depth, limit).withColumn("head", F.get("path", F.lit(0)))
         out = self.with_name(entry, "head", "first_name").select("path", F.size("path").alias("steps"), "first_name").orderBy("steps", "first_name", "path")
         return out.limit(limit) if limit is not None else out
 

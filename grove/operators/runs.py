@@ -10,8 +10,8 @@ STREAM = (
     "type STRING, message STRUCT<content: ARRAY<STRUCT<type: STRING, name: STRING, input: STRING>>, usage: STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT>>, "
     "content_block STRUCT<type: STRING, name: STRING, input: STRING>, usage STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT>"
 )
-#: Which argument of a tool sums its call up, and how long a summary is.
-SUMMARY_FIELD = {"Read": "file_path", "Edit": "file_path", "Write": "file_path", "Grep": "pattern", "Glob": "pattern", "Bash": "command", "Task": "description"}
+#: Which argument of a tool sums its call up (fixed values); how long the summary of a command is, and of a tool that isn't named here.
+SUMMARY_FIELD = {"Read": "file_path", "Edit": "file_path", "Write": "file_path", "Grep": "pattern", "Glob": "pattern", "Bash": "command"}
 SUMMARY_BYTES = 100
 EDIT_TOOLS, NAVIGATION_TOOLS = ("Edit", "Write", "MultiEdit"), ("Read", "Grep", "Glob", "LS")
 
@@ -28,14 +28,33 @@ def usage(events: DataFrame) -> DataFrame:
 
 
 def telling_argument(tool: Column, arguments: Column) -> Column:
-    return F.coalesce(*(F.when(tool == t, F.get_json_object(arguments, f"$.{f}")) for t, f in SUMMARY_FIELD.items()), arguments)
+    """The argument that sums a call up, empty if it is missing; all arguments of other tools."""
+    known = F.coalesce(*(F.when(tool == t, F.get_json_object(arguments, f"$.{f}")) for t, f in SUMMARY_FIELD.items()), F.lit(""))
+    return F.when(tool.isin(*SUMMARY_FIELD), known).otherwise(F.coalesce(arguments, F.lit("")))
 
 
 def argument_summary(tool: Column, arguments: Column) -> Column:
-    """The telling argument of a call, cut to its first bytes and dots."""
+    """The telling argument of a call: paths and patterns whole; commands, and what other tools got, cut to their first bytes and dots."""
     picked = telling_argument(tool, arguments)
     cut = F.decode(F.substring(F.encode(picked, "UTF-8"), 1, SUMMARY_BYTES), "UTF-8")
-    return F.when(F.octet_length(picked) > SUMMARY_BYTES, F.concat(cut, F.lit("..."))).otherwise(picked)
+    long = (F.octet_length(picked) > SUMMARY_BYTES) & ~F.coalesce(tool.isin(*(t for t in SUMMARY_FIELD if t != "Bash")), F.lit(False))
+    return F.when(long, F.concat(cut, F.lit("..."))).otherwise(picked)
+
+
+def command_then_read(commands: DataFrame, reads: DataFrame) -> DataFrame:
+    """(run_id, command_then_read): commands (run_id, i, stretch, summary) that a read (run_id, j, stretch, file) of a file that they name follows in their stretch.
+
+    A stretch is what lies between two edits. Of a file only its last read in a stretch counts, of equal commands only the text.
+    The parts of a command that are as long as some file of its stretch meet the files on equal keys, so that work grows with the
+    commands (they are short) and not with their number times that of reads.
+    """
+    at = ["run_id", "stretch"]
+    last = reads.groupBy(*at, "file").agg(F.max("j").alias("j"))
+    lengths = last.groupBy(*at).agg(F.collect_set(F.char_length("file")).alias("lengths"))
+    texts = commands.select(*at, "summary").distinct().join(lengths, at)
+    parts = F.expr("array_distinct(flatten(transform(filter(lengths, l -> l <= char_length(summary)), l -> transform(sequence(1, char_length(summary) - l + 1), p -> substring(summary, p, l)))))")
+    until = texts.select(*at, "summary", F.explode(parts).alias("file")).join(last, [*at, "file"]).groupBy(*at, "summary").agg(F.max("j").alias("until"))
+    return commands.join(until, [*at, "summary"]).where("i < until").groupBy("run_id").agg(F.count("*").alias("command_then_read"))
 
 
 def actions(events: DataFrame, tool: str = "grove") -> DataFrame:
@@ -76,10 +95,8 @@ def behaviour(acts: DataFrame, tool: str = "grove", near: int = 3) -> DataFrame:
         count(command).alias("tool_commands"), count(command & (F.col("i") < before)).alias("tool_commands_before_first_edit"),
         count(command & F.contains("summary", F.lit(f"{tool} find")) & (F.col("grep_next") == 1)).alias("grep_after_find"),
     )
-    # a command, then a read of a file that it names, no edit between: the reads of a command's stretch between two edits
     commands = rows.where(command).select("run_id", "i", F.col("edits_before").alias("stretch"), "summary")
-    reads = rows.where(read).select("run_id", F.col("i").alias("j"), F.col("edits_before").alias("stretch"), F.col("summary").alias("file"))
-    again = commands.join(reads, ["run_id", "stretch"]).where((F.col("j") > F.col("i")) & F.contains("summary", F.col("file"))).select("run_id", "i").distinct().groupBy("run_id").agg(F.count("*").alias("command_then_read"))
+    again = command_then_read(commands, rows.where(read).select("run_id", F.col("i").alias("j"), F.col("edits_before").alias("stretch"), F.col("summary").alias("file")))
     asked = lambda word: rows.where(command & F.startswith(F.trim("summary"), F.lit(f"{tool} {word} "))).select("run_id", F.trim(F.substring(F.trim("summary"), len(tool) + len(word) + 3, 1 << 20)).alias("symbol"))
     both = asked("callers").join(asked("refs"), ["run_id", "symbol"], "left_semi").select("run_id").distinct().withColumn("callers_and_refs", F.lit(True))
     out = metrics.join(again, "run_id", "left").join(both, "run_id", "left")

@@ -43,3 +43,36 @@ def simple_paths(first: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
                 break
         out = out.union(level.select("path", F.lit(d).alias("depth")))
     return out
+
+
+def entry_distance(heads: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+    """(id, left): of the ids that heads (id) reach over steps (src, dst), the fewest steps to one that has none; those within depth - 1 only."""
+    found = cut(reach(heads, steps, depth).select("id"))
+    ends = found.join(steps.select(F.col("src").alias("id")), "id", "left_anti")
+    back = steps.join(found.select(F.col("id").alias("dst")), "dst", "left_semi").join(found.select(F.col("id").alias("src")), "src", "left_semi")
+    return reach(ends, back.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth).select("id", (F.col("depth") - 1).alias("left"))
+
+
+def paths_to_ends(first: DataFrame, steps: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
+    """(path, depth): the paths of simple_paths whose head has no steps, all of the shortest levels that together have limit paths.
+
+    A path goes on only while its head can still reach an end within the depth that is left. Levels come in order of length and
+    none is begun once there are enough paths.
+    """
+    head = F.get("path", F.lit(0))
+    level = cut(first.select("path").distinct())
+    left = cut(entry_distance(level.select(head.alias("id")).distinct(), steps, depth))
+    out, n = None, 0
+    for d in range(1, depth + 1):
+        hopeful = level.withColumn("id", head).join(left, "id").where(F.col("left") <= depth - d)
+        done = hopeful.where("left = 0").select("path", F.lit(d).alias("depth"))
+        out = done if out is None else out.union(done)
+        if d == depth:
+            break
+        if limit is not None and (n := n + done.count()) >= limit:
+            break
+        going = hopeful.where("left > 0").select("path", "id")
+        level = cut(going.join(steps, F.col("id") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_prepend("path", F.col("dst")).alias("path")).distinct())
+        if level.isEmpty():
+            break
+    return out

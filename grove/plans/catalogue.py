@@ -18,6 +18,8 @@ from grove.operators.graph import CodeGraph
 from grove.plans import testgraph
 from grove.plans.testgraph import graph
 from grove.sources import tree
+from grove.sources.segments import SegmentedText
+from grove.sources.shared import scratch
 from grove.streaming.watch import debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +269,13 @@ def trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).trace(SUPPLIER, 3).withColumn("path", F.array_join("path", " > "))
 
 
+@query(ARGS + f""", tr AS (SELECT DISTINCT [e.from_id, t.id] AS path, 1 AS depth FROM edges e JOIN target t ON {sql_match('e.to_id', 't')} WHERE e.kind = 'calls' UNION SELECT list_prepend(e.from_id, tr.path), depth + 1 FROM tr JOIN edges e ON e.kind = 'calls' AND e.to_id = tr.path[1] WHERE depth < 10 AND NOT list_contains(tr.path, e.from_id))
+SELECT array_to_string(path, ' > ') AS path, len(path)::INT AS steps, {sql_name('path[1]', 's')} AS first_name FROM tr LEFT JOIN symbols s ON s.id = path[1] WHERE path[1] NOT IN (SELECT to_id FROM edges WHERE kind = 'calls') ORDER BY steps, first_name, path LIMIT 20""")
+def trace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 paths of up to ten calls: the search ends at the level that has them."""
+    return graph(spark, sf_dir).trace(SUPPLIER, 10, 20).withColumn("path", F.array_join("path", " > "))
+
+
 @query(WITH + """, k AS (SELECT *, CASE WHEN contains(to_id, '::') THEN string_split(to_id, '::')[-1] ELSE to_id END AS a FROM edges), b AS (SELECT *, CASE WHEN contains(a, '.') THEN string_split(a, '.')[-1] ELSE a END AS key FROM k),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY parent_id IS NOT NULL, id) AS r FROM symbols) WHERE r = 1)
 SELECT b.from_id, b.to_id, b.kind, coalesce(s.id, best.id) AS resolved_id FROM b LEFT JOIN symbols s ON s.id = b.to_id LEFT JOIN best ON best.name = b.key""")
@@ -356,12 +365,12 @@ def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_documents(graph(spark, sf_dir)).select("symbol_id", F.array_join(T.key_terms(F.col("body")), " ").alias("terms"))
 
 
-@query(f"""WITH t AS (SELECT item_id, list_filter(list_transform({sql_words("text || ' PaymentService get_user_id HTTPServer'")}, lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{Nd}}_]', '', 'g')), lambda w: w <> '') AS ws FROM benchmark),
+@query(f"""WITH t AS (SELECT item_id, list_filter(list_transform({sql_words("text || ' TideGauge reset_at_ebb XMLReader'")}, lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{Nd}}_]', '', 'g')), lambda w: w <> '') AS ws FROM benchmark),
 p AS (SELECT item_id, flatten(list_transform(ws, lambda w: list_concat([w], list_filter(list_transform({sql_words(SQL_CAMEL.format('w'))}, lambda x: lower(x)), lambda x: x <> lower(w) AND octet_length(encode(x)) >= 3),
     CASE WHEN contains(w, '_') THEN list_filter(list_transform({sql_words("replace(w, '_', ' ')")}, lambda x: lower(x)), lambda x: octet_length(encode(x)) >= 3) ELSE [] END))) AS q FROM t)
 SELECT item_id, array_to_string(list_filter(q, lambda y, i: list_position(q, y) = i), ' ') AS terms FROM p""")
 def fts_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("text", F.lit(" PaymentService get_user_id HTTPServer"))
+    text = F.concat("text", F.lit(" TideGauge reset_at_ebb XMLReader"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_terms(text), " ").alias("terms"))
 
 
@@ -404,6 +413,16 @@ def bm25_search_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(search.bm25(search.build_index(_documents(spark, sf_dir)), SEARCH, "en", 5))
 
 
+@query(f"WITH {SQL_DOCS}, {sql_bm25('docs', _patterns, None, 10)} SELECT * FROM page")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from an index of segments: at first without one language and with other texts in another, then as the table is."""
+    docs = _documents(spark, sf_dir)
+    text = SegmentedText.of(spark, scratch(spark, "segments"), stemmed=False)
+    old = docs.where("kind <> 'fr'").withColumn("body", F.when(F.col("kind") == "de", F.concat(F.lit("trash "), "body")).otherwise(F.col("body")))
+    text = text.updated(old.unionByName(docs.limit(1).withColumn("symbol_id", F.lit("gone"))))
+    return _page(search.bm25(text.updated(docs).index(), SEARCH, None, 10))
+
+
 #: Words of the symbol's kind and name; its brand, the other key term, is no prefix of any word.
 SIMILAR, LIMIT_SIMILAR = "old rod", 1000
 
@@ -440,6 +459,24 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.changed_files(*_states(spark, sf_dir))
 
 
+def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A listing a day: the files are what a user's events of that day name, their hashes the day's largest values; users' nations stand for projects."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 25).cast("string")).alias("project"), F.unix_date(F.to_date("ts")).cast("long").alias("listing"), F.concat_ws("/", "event_type", "props").alias("path"), F.date_format("ts", "HH").alias("hash"))
+    each = e.groupBy("project", "listing", "path").agg(F.max("hash").alias("hash"))
+    none = F.lit(None).cast("string")
+    state = e.where("hash < '06'").groupBy("project", "path").agg(F.min("hash").alias("hash"))
+    return each.unionByName(e.select("project", "listing").distinct().withColumns({"path": none, "hash": none})), state
+
+
+@query("""WITH e AS (SELECT 'p' || (user_id % 25) AS project, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS listing, concat_ws('/', event_type, props) AS path, strftime(ts, '%H') AS hash FROM events),
+o AS (SELECT project, listing, row_number() OVER (PARTITION BY project ORDER BY listing) AS n FROM (SELECT DISTINCT project, listing FROM e)),
+l AS (SELECT e.project, o.n, path, max(hash) AS hash FROM e JOIN o USING (project, listing) GROUP BY ALL UNION ALL SELECT project, 0, path, min(hash) FROM e WHERE hash < '06' GROUP BY ALL),
+j AS (SELECT coalesce(b.project, a.project) AS project, coalesce(b.n, a.n + 1) AS n, coalesce(b.path, a.path) AS path, a.hash AS was, b.hash AS now FROM l a FULL JOIN (SELECT * FROM l WHERE n > 0) b ON a.project = b.project AND a.path = b.path AND a.n + 1 = b.n)
+SELECT project, o.listing, path, CASE WHEN now IS NULL THEN 'deleted' WHEN was IS NULL THEN 'added' ELSE 'modified' END AS change FROM j JOIN o USING (project, n) WHERE was IS DISTINCT FROM now""")
+def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.listing_changes(*_listings(spark, sf_dir))
+
+
 @query(f"WITH {SQL_FILES} SELECT file_path, hash, CASE WHEN doc_id % 10 IN (1, 2) THEN 99 ELSE doc_id END AS indexed_at FROM f WHERE doc_id % 10 <> 0")
 def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, stored = _states(spark, sf_dir)
@@ -564,6 +601,22 @@ def ndjson_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.usage(runs.parse_stream(c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), event.alias("value")))).select("run_id", "input_tokens", "output_tokens", "cache_read_input_tokens")
 
 
+SQL_CALLS = """c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Read' WHEN 'assistant' THEN 'Bash' ELSE 'Task' END AS tool, text FROM conversations WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH {SQL_CALLS}, s AS (SELECT *, CASE tool WHEN 'Task' THEN to_json({{'prompt': text}})::VARCHAR ELSE text END AS picked FROM c),
+b AS (SELECT *, encode(picked) AS bytes FROM s WHERE tool = 'Read' OR octet_length(encode(picked)) <= 100 OR octet_length(encode(picked)) = length(picked))
+SELECT conv_id, turn, tool, CASE WHEN tool <> 'Read' AND octet_length(bytes) > 100 THEN left(picked, 100) || '...' ELSE picked END AS summary FROM b""")
+def argument_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as calls of tools; those whose cut could fall within a character are left to the tests."""
+    tool = F.when(F.col("role") == "user", "Read").when(F.col("role") == "assistant", "Bash").otherwise("Task")
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", tool.alias("tool"), "text")
+    args = F.when(F.col("tool") == "Read", F.to_json(F.struct(F.col("text").alias("file_path")))).when(F.col("tool") == "Bash", F.to_json(F.struct(F.col("text").alias("command")))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
+    rows = c.withColumn("args", args).withColumn("whole", F.when(F.col("tool") == "Task", F.col("args")).otherwise(F.col("text")))
+    plain = (F.col("tool") == "Read") | (F.octet_length("whole") <= 100) | (F.octet_length("whole") == F.char_length("whole"))
+    return rows.where(plain).select("conv_id", "turn", "tool", runs.argument_summary(F.col("tool"), F.col("args")).alias("summary"))
+
+
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grove.functions import names as N
 from grove.operators.graph import CodeGraph, first_wins
-from grove.operators.traverse import reach, simple_paths
+from grove.operators.traverse import paths_to_ends, reach, simple_paths
 from grove.schema import EDGES, SYMBOLS, violations
 
 
@@ -20,17 +20,18 @@ def graph(spark, symbols, edges):
 
 
 @pytest.fixture(scope="module")
-def payments(spark):
-    cls = sym("PaymentService", "class", "src/pay/service.ts", 4)
-    pay = sym("processPayment", "method", "src/pay/service.ts", 11, cls[0])
-    check = sym("validate_amount", "method", "src/pay/service.ts", 21, cls[0])
-    order = sym("OrderController", "class", "src/api/order.controller.ts", 4)
-    out, again = (sym(n, "method", "src/api/order.controller.ts", i, order[0]) for n, i in (("checkout", 11), ("retryPayment", 16)))
-    test = sym("testPay", "function", "tests/pay.test.ts", 1)
-    module = "src/api/order.controller.ts::__module__::function"
-    return graph(spark, [cls, pay, check, order, out, again, test], [
-        (out[0], "paymentService.processPayment", "calls"), (again[0], "paymentService.processPayment", "calls"), (test[0], pay[0], "calls"), (module, "../pay/service::PaymentService", "imports"),
-        (order[0], "PaymentService", "references_type"), (pay[0], "validateXamount", "calls"), (pay[0], "logger.info", "calls"),
+def harbour(spark):
+    """A gauge that three callers read, two of them by name: a nightly worker, a forecast that the worker asks, and a test."""
+    gauge = sym("TideGauge", "struct", "lib/sea/gauge.rs", 3)
+    level = sym("read_level", "method", "lib/sea/gauge.rs", 9, gauge[0])
+    reset = sym("reset_at_ebb", "method", "lib/sea/gauge.rs", 30, gauge[0])
+    night = sym("NightWatch", "class", "lib/shift/night.worker.ts", 2)
+    round_, alarm = (sym(n, "method", "lib/shift/night.worker.ts", i, night[0]) for n, i in (("makeRound", 7), ("soundAlarm", 40)))
+    forecast = sym("forecast", path="lib/sea/forecast.rs", line=12)
+    trial = sym("gauge_reads_zero", path="tests/sea/gauge_test.rs")
+    return graph(spark, [gauge, level, reset, night, round_, alarm, forecast, trial], [
+        (alarm[0], "this.gauge.read_level", "calls"), (forecast[0], "TideGauge::read_level", "calls"), (round_[0], forecast[0], "calls"), (trial[0], level[0], "calls"),
+        ("lib/shift/night.worker.ts::__module__::function", "../sea::TideGauge", "imports"), (night[0], "TideGauge", "references_type"), (level[0], "resetXatXebb", "calls"), (level[0], "sensor.poll", "calls"),
     ])
 
 
@@ -38,49 +39,50 @@ def names(df, c="name"):
     return [r[c] for r in df.select(c).collect()]
 
 
-def test_find_symbol(payments):
-    assert names(payments.find_symbol("PaymentService.processPayment")) == ["processPayment"]
-    assert names(payments.find_symbol("OrderController.processPayment")) == []
-    assert names(payments.find_symbol("nothing")) == []
+def test_find_symbol(harbour):
+    assert names(harbour.find_symbol("TideGauge.read_level")) == ["read_level"]
+    assert names(harbour.find_symbol("NightWatch.read_level")) == []
+    assert names(harbour.find_symbol("nothing")) == []
 
 
-def test_refs_of_a_class_take_its_members(payments):
-    found = payments.refs("PaymentService")
+def test_refs_of_a_struct_take_its_members(harbour):
+    found = harbour.refs("TideGauge")
     assert [r["kind"] for r in found.collect()] == ["calls", "calls", "calls", "imports", "references_type"]
-    assert payments.refs("PaymentService", limit=2).collect()[0]["total"] == 5
-    assert {r["from_name"] for r in found.collect()} >= {"OrderController.checkout", "order.controller"}
+    assert harbour.refs("TideGauge", limit=2).collect()[0]["total"] == 5
+    assert {r["from_name"] for r in found.collect()} >= {"NightWatch.soundAlarm", "night.worker", "forecast"}
 
 
-def test_suffixes_are_literal(payments):
-    assert payments.refs("validate_amount").count() == 0  # "_" is no wildcard
+def test_suffixes_are_literal(harbour):
+    assert harbour.refs("reset_at_ebb").count() == 0  # "_" is no wildcard
 
 
-def test_caller_counts(payments):
-    assert payments.caller_count(payments.find_symbol("processPayment")).first()[0] == 3
-    assert payments.summed_callers(payments.find_symbol("processPayment")).first()["caller_count"] == 3
+def test_caller_counts(harbour):
+    assert harbour.caller_count(harbour.find_symbol("read_level")).first()[0] == 2  # targets with "::" are left to refs
+    assert harbour.summed_callers(harbour.find_symbol("forecast")).first()["caller_count"] == 1
 
 
-def test_impact_splits_tests(payments):
-    rows = payments.impact("processPayment", 2).collect()
-    assert {(r["name"], r["depth"], r["is_test"]) for r in rows} == {("checkout", 1, False), ("retryPayment", 1, False), ("testPay", 1, True)}
+def test_impact_splits_tests(harbour):
+    rows = harbour.impact("read_level", 2).collect()
+    assert {(r["name"], r["depth"], r["is_test"]) for r in rows} == {("soundAlarm", 1, False), ("forecast", 1, False), ("gauge_reads_zero", 1, True), ("makeRound", 2, False)}
 
 
-def test_trace(payments):
-    assert sorted(names(payments.trace("processPayment"), "first_name")) == ["checkout", "retryPayment", "testPay"]
-    assert payments.trace("validate_amount").count() == 0
-    steps = payments.path_steps(payments.trace("processPayment", 3, 1)).orderBy("pos").collect()
-    assert [s["name"] for s in steps][-1] == "processPayment"
+def test_trace(harbour):
+    paths = harbour.trace("read_level")
+    assert [(r["steps"], r["first_name"]) for r in paths.collect()] == [(2, "gauge_reads_zero"), (2, "soundAlarm"), (3, "makeRound")]
+    assert harbour.trace("reset_at_ebb").count() == 0 and harbour.trace("read_level", 1).count() == 2
+    steps = harbour.path_steps(harbour.trace("read_level", 3).where("steps = 3")).orderBy("pos").collect()
+    assert [s["name"] for s in steps] == ["makeRound", "forecast", "read_level"]
 
 
-def test_deps(payments):
-    rows = payments.deps("PaymentService").collect()
-    assert {(r["name"], r["is_external"]) for r in rows} == {("validateXamount", True), ("logger.info", True)}
+def test_deps(harbour):
+    rows = harbour.deps("TideGauge").collect()
+    assert {(r["name"], r["is_external"]) for r in rows} == {("resetXatXebb", True), ("sensor.poll", True)}
 
 
-def test_entrypoints_collapse(payments):
-    rows = {r["name"]: r for r in payments.collapsed_entrypoints().collect()}
-    assert "checkout" not in rows and rows["OrderController"]["method_count"] == 2 and rows["OrderController"]["entry_group"] == "API Controllers"
-    assert "testPay" not in rows
+def test_entrypoints_collapse(harbour):
+    rows = {r["name"]: r for r in harbour.collapsed_entrypoints().collect()}
+    assert "makeRound" not in rows and rows["NightWatch"]["method_count"] == 2 and rows["NightWatch"]["entry_group"] == "Background Workers"
+    assert "gauge_reads_zero" not in rows and "forecast" not in rows
 
 
 def test_resolved_graph_goes_further(spark):
@@ -129,6 +131,27 @@ def test_simple_paths_stop_at_cycles(spark):
     assert got == {("a", "t"), ("b", "a", "t")}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(EDGE_LISTS, st.integers(1, 5), st.one_of(st.none(), st.integers(1, 4)))
+def test_pruned_paths_are_those_of_the_enumeration(spark, pairs, depth, limit):
+    """Every path to an end up to a depth; with a limit, all of the shortest levels that reach it."""
+    steps = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string").distinct()
+    first = spark.createDataFrame([(["0", "t"],), (["5", "t"],)], "path array<string>")
+    sources = {str(a) for a, _ in pairs}
+    whole = sorted((r["depth"], tuple(r["path"])) for r in simple_paths(first, steps, depth).collect() if r["path"][0] not in sources)
+    if limit is not None and len(whole) > limit:
+        whole = [p for p in whole if p[0] <= whole[limit - 1][0]]
+    assert sorted((r["depth"], tuple(r["path"])) for r in paths_to_ends(first, steps, depth, limit).collect()) == whole
+
+
+def test_a_trace_stops_early(spark):
+    """Ten layers of ten callers each, and one entry point beside the target: no layer but the first is looked at."""
+    pairs = [("t", f"0-{i}") for i in range(10)] + [(f"{d}-{i}", f"{d + 1}-{j}") for d in range(9) for i in range(10) for j in range(10)]
+    steps = spark.createDataFrame([*pairs, ("0-0", "end")], "src string, dst string")
+    first = spark.createDataFrame([([f"0-{i}", "t"],) for i in range(10)], "path array<string>")
+    assert [tuple(r["path"]) for r in paths_to_ends(first, steps, 10, 1).collect()] == [("end", "0-0", "t")]
+
+
 def test_name_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
