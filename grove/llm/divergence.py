@@ -7,10 +7,14 @@ All arithmetic is in whole numbers, and exact while a language has fewer than 2.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grove.llm.common import forget, saved
+from grove.llm.common import saved, small_batches
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCS, ADDED, RANKS = 30, 5, 50
 #: The sizes of a language are repeated so often, so that its terms needn't meet in one task where they aren't broadcast.
 SALTS = 64
+#: Bytes of a text that are split into terms at a time, and terms that a task counts before it gives the counts out.
+PIECE, HELD = 4 << 20, 500_000
 
 
 def share(n: str, of: str) -> str:
@@ -30,13 +36,59 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
+#: Bytes to bytes of UTF-8: capitals in lower case, other ASCII that is no letter as a space, all else as it is.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+
+
+def term_lists(text: str) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists of those of about PIECE bytes."""
+    folded = text.encode().translate(_FOLD)
+    at = 0
+    while at < len(folded):
+        cut = folded.find(b" ", at + PIECE)
+        cut = cut if cut >= 0 else len(folded)
+        yield folded[at:cut].split()
+        at = cut
+
+
+def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's rows by lang, source and term, given out whenever HELD terms have been met and at the end."""
+    found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in found.items():
+            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+            k = len(terms)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), terms, pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        found.clear()
+
+    held = 0
+    for b in batches:
+        for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            if (counts := found.get((lang, source))) is None:
+                counts = found[lang, source] = (Counter(), Counter())
+            n, docs = counts
+            held -= len(n)
+            seen: set[bytes] = set()
+            for terms in term_lists(text):
+                n.update(terms)
+                seen.update(terms)
+            docs.update(seen)
+            held += len(n)
+            if held > HELD:
+                yield from flush()
+                held = 0
+    yield from flush()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and the rows that hold the term. Sums start in each task, so hot sources shuffle no more than others."""
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = named(docs).select("lang", "source", terms.alias("terms"))
-    each = F.expr("concat(transform(terms, t -> struct(t as term, 1L as n, 0L as docs)), transform(array_distinct(terms), t -> struct(t as term, 0L as n, 1L as docs)))")
-    found = rows.select("lang", "source", F.explode(each).alias("x")).select("lang", "source", "x.*")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, docs): occurrences, and the rows that hold the term.
+
+    Each task counts its own rows, so that hot sources and terms shuffle no more than others. What it counted is dealt by lang and
+    term, which the sums here and those of kept_terms both keep.
+    """
+    found = small_batches(named(docs)).mapInArrow(partial_counts, "lang string, source string, term string, n long, docs long")
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, least: int = DOCS) -> DataFrame:
@@ -98,9 +150,7 @@ def audit(docs: DataFrame, least: int = DOCS, ranks: int = RANKS) -> DataFrame:
     value 0 in the latter; a language of one source has no pairs. Ties go to the lesser item. Rows that repeat an id are each a
     document; ids, and columns other than these three, are not read. An empty table gives no rows.
     """
-    counts = saved(term_counts(docs), "terms")
-    kept = saved(kept_terms(counts, least), "kept")
-    forget(counts)
+    kept = saved(kept_terms(term_counts(docs), least), "kept")
     sized = saved(sizes(docs, kept), "sizes")
     wide = vectors(kept, sized)
     parts = {"pair": ranked(pairs(sized, pair_sums(wide))), "term": ranked(own_terms(wide), ranks)}
