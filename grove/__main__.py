@@ -10,10 +10,10 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grove.api import NotFoundError, Project, Workspace, envelope
+from grove.api import NotFoundError, Project, Workspace, stream_envelope
 
 COMMANDS = {
-    "init": (), "index": ("full", "watch"), "sketch": ("target", "limit=50"), "refs": ("target", "kind", "limit=20", "context=0"), "callers": ("target", "depth=1", "limit=20", "context=0"), "deps": ("target", "depth=1"),
+    "init": (), "index": ("full", "watch"), "sketch": ("target", "limit=50", "no_docs"), "refs": ("target", "kind", "limit=20", "context=0"), "callers": ("target", "depth=1", "limit=20", "context=0"), "deps": ("target", "depth=1"),
     "rdeps": ("target", "depth=1"), "impact": ("target", "depth=3"), "find": ("query", "kind", "limit=10"), "similar": ("target", "kind", "limit=10"), "source": ("target",), "trace": ("target", "max_depth=10", "limit=20"),
     "entrypoints": (), "map": ("limit=10",), "status": (),
 }
@@ -27,8 +27,8 @@ def _add(to: argparse._SubParsersAction, commands: dict[str, tuple[str, ...]]) -
             key, _, default = o.partition("=")
             if key in ("target", "query"):
                 p.add_argument(key)
-            elif key in ("full", "watch"):
-                p.add_argument("--" + key, action="store_true")
+            elif key in ("full", "watch", "no_docs"):
+                p.add_argument("--" + key.replace("_", "-"), action="store_true")
             else:
                 p.add_argument("--" + key.replace("_", "-"), type=int if default else str, default=int(default) if default else None)
 
@@ -71,7 +71,8 @@ def main(argv: list[str] | None = None) -> int:
         if not isinstance(df, DataFrame):
             print(f"{name}: {df}")
         elif as_json:
-            print(envelope(name, df, a.get("target")))
+            stream_envelope(sys.stdout.write, name, df, a.get("target"))
+            print()
         else:
             print(*df.columns, sep="\t")
             for row in df.toLocalIterator():  # a partition at a time: all rows, whole

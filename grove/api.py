@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from grove.operators import search, workspace
 from grove.sources import tree
 from grove.sources.index import Index
+from grove.sources.shared import children, cut, hadoop, remove, scratch
 from grove.streaming.watch import Watcher, claim, listing
 
 SUFFIXES = tuple("." + e for e in tree.EXTENSIONS)
@@ -27,11 +29,69 @@ def looks_like_path(text: str) -> bool:
 
 
 def envelope(command: str, data: DataFrame, symbol: str | None = None, limit: int | None = None) -> str:
-    """{command, symbol, data, truncated, total} with data cut to limit; only those rows reach the driver."""
-    total = data.count()
-    rows = [json.loads(r) for r in (data if limit is None else data.limit(limit)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]
-    body = {"command": command} | ({"symbol": symbol} if symbol else {}) | {"data": rows, "truncated": total > len(rows), "total": total}
-    return json.dumps(body, indent=2, ensure_ascii=False)
+    """{command, symbol, data, truncated, total} with data cut to limit, as one text."""
+    parts: list[str] = []
+    stream_envelope(parts.append, command, data, symbol, limit)
+    return json.dumps(json.loads("".join(parts)), indent=2, ensure_ascii=False)
+
+
+def _lines(data: DataFrame) -> DataFrame:
+    return data.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _frame(command: str, symbol: str | None, total: int, shown: int) -> tuple[str, str]:
+    """What stands before and after the rows."""
+    head = json.dumps({"command": command} | ({"symbol": symbol} if symbol else {}), ensure_ascii=False)
+    return head[:-1] + ', "data": [', f'], "truncated": {json.dumps(total > shown)}, "total": {total}}}'
+
+
+def stream_envelope(write: Callable[[str], object], command: str, data: DataFrame, symbol: str | None = None, limit: int | None = None) -> int:
+    """Writes an envelope row by row; the driver holds a partition at a time. data is computed once; the total is returned."""
+    rows, total = data, None
+    if limit is not None:
+        data = cut(data)
+        total, rows = data.count(), data.limit(limit)
+    write(_frame(command, symbol, 0, 0)[0])
+    n = 0
+    for (line,) in _lines(rows).toLocalIterator():
+        write(f"{',' if n else ''}\n{line}")
+        n += 1
+    write(_frame(command, symbol, n if total is None else total, n)[1])
+    return n if total is None else total
+
+
+def write_envelope(path: str, command: str, data: DataFrame, symbol: str | None = None) -> int:
+    """An envelope of all rows in a file of any store: executors write the rows, which are then joined in order, file by file.
+
+    The rows are counted while they are written. Nothing but file blocks passes through the driver's process, and no row its Python.
+    """
+    spark = data.sparkSession
+    counted, parts = Observation("rows"), scratch(spark, "envelope")
+    _lines(data).select(F.concat(F.lit(","), "value").alias("value")).observe(counted, F.count("*").alias("n")).write.text(parts)
+    total = counted.get["n"]
+    head, tail = _frame(command, symbol, total, total)
+    fs, target = hadoop(spark, path)
+    out, copy = fs.create(target, True), spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    try:
+        out.write(bytearray(head, "utf-8"))
+        first = True
+        for name in (n for n in children(spark, parts) if n.startswith("part-")):
+            pfs, p = hadoop(spark, f"{parts}/{name}")
+            if pfs.getFileStatus(p).getLen() == 0:
+                continue
+            rows = pfs.open(p)
+            try:
+                if first:
+                    rows.read()  # the comma before the first row
+                    first = False
+                copy(rows, out, 1 << 16, False)
+            finally:
+                rows.close()
+        out.write(bytearray(tail, "utf-8"))
+    finally:
+        out.close()
+        remove(spark, parts)
+    return total
 
 
 def _watching(projects: dict[str, Project], directory: str, poll: bool) -> Watcher:
@@ -76,18 +136,21 @@ class Project:
             f.write(f"[project]\nname = {json.dumps(name)}\nlanguages = {json.dumps(languages)}\n\n[index]\nignore = {json.dumps(list(tree.DEFAULT_IGNORE))}\n")
         return {"name": name, "languages": languages}
 
-    def reindex(self, full: bool = False) -> dict:
+    def _scope(self) -> tuple[list[str], list[str] | None, list[str]]:
+        """Ignore patterns, languages, and the projects below whose files aren't this one's."""
         c = self.config()
         ignore = os.path.join(self.root, ".gitignore")
         own = []
         if os.path.exists(ignore):
             with open(ignore) as f:
                 own = tree.gitignore(f.read())
-        return self.index.refresh(self.root, c.ignore + own, c.languages or None, tree.nested_projects(self.root) if os.path.isdir(self.root) else None, full)
+        return c.ignore + own, c.languages or None, tree.nested_projects(self.spark, self.root)
+
+    def reindex(self, full: bool = False) -> dict:
+        return self.index.refresh(self.root, *self._scope(), full)
 
     def _listing(self, name: str, number: int) -> DataFrame:
-        c = self.config()
-        return listing(self.spark, name, self.root, number, c.ignore, c.languages or None)
+        return listing(self.spark, name, self.root, number, *self._scope())
 
     def watch(self, poll: bool = True) -> Watcher:
         """Indexes what changed since, and then whatever changes until the watcher is stopped. One watcher a project."""
@@ -100,11 +163,11 @@ class Project:
         if self.index.graph().find_symbol(name).isEmpty():
             raise NotFoundError(f"no symbol {name!r} in the index")
 
-    def sketch(self, target: str, limit: int = 50) -> DataFrame:
+    def sketch(self, target: str, limit: int = 50, no_docs: bool = False) -> DataFrame:
         if looks_like_path(target):
             return self.index.graph().file_sketch(target)
         self._known(target)
-        return self.index.graph().sketch(target, limit)
+        return self.index.graph().whole_sketch(target, limit, not no_docs)
 
     def refs(self, target: str, kind: str | None = None, limit: int | None = 20, context: int = 0) -> DataFrame:
         g, kinds = self.index.graph(), [kind] if kind else None
@@ -180,7 +243,7 @@ class Workspace:
 
     def init(self, name: str | None = None) -> dict:
         """A manifest of the projects below root."""
-        found = tree.nested_projects(self.root)
+        found = tree.nested_projects(self.spark, self.root)
         with open(os.path.join(self.root, tree.WORKSPACE_FILE), "x") as f:
             f.write(f"[workspace]\nname = {json.dumps(name or os.path.basename(os.path.abspath(self.root)))}\nversion = 1\n" + "".join(f"\n[[workspace.members]]\npath = {json.dumps(p)}\n" for p in found))
         return {"members": found}
@@ -206,7 +269,7 @@ class Workspace:
         return workspace.workspace_refs({n: p.index.graph() for n, p in self.members().items()}, name, [kind] if kind else None, limit)
 
     def find(self, query: str, kind: str | None = None, limit: int = 10) -> DataFrame:
-        return workspace.workspace_find(workspace.federate({n: search.bm25(p.index.text(), query, kind, limit) for n, p in self.members().items()}), limit)
+        return workspace.workspace_find(workspace.federate({n: search.ranks(p.index.text(), query, kind) for n, p in self.members().items()}), limit)
 
     def entrypoints(self) -> DataFrame:
         return workspace.federate({n: p.index.graph().entrypoints() for n, p in self.members().items()})

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -347,6 +348,37 @@ class CodeGraph:
         counted = first_members.join(self.caller_counts(members), "id", "left")
         return counted.select("id", "name", "kind", "file_path", "line_start", "line_end", "signature", F.coalesce("caller_count", F.lit(0)).alias("caller_count")).orderBy("line_start", "id")
 
+    def whole_sketch(self, name: str, limit: int = 50, docs: bool = True) -> DataFrame:
+        """(section, name, id, kind, line_start, line_end, text, n): all that a sketch of a symbol shows, in order.
+
+        symbol: itself; n is the number of its members before the limit. A class or struct has members with their callers, and
+        what it extends, implements and depends on; an interface members and implementors; a function or method its calls and
+        its callers with the number of their calls. text is the signature, with the documentation before it if docs.
+        """
+        symbol = self.find_symbol(name)
+        of = lambda *kinds: symbol.where(F.col("kind").isin(*kinds))
+        text = F.concat_ws("\n", "docstring", "signature") if docs else F.coalesce("signature", F.lit(""))
+        none = {"name": "string", "id": "string", "kind": "string", "line_start": "int", "line_end": "int", "text": "string", "n": "long"}
+
+        def section(df: DataFrame, place: int, title: Column | str, first: Column | None = None) -> DataFrame:
+            """df's own columns and nulls for the others; rows in a section come by first, then name and id."""
+            own = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
+            return df.select((F.lit(title) if isinstance(title, str) else title).alias("section"), F.lit(place).alias("_place"), (F.lit(0) if first is None else first).cast("long").alias("_first"), *own)
+
+        members = self.symbols.join(of(*CLASS_LIKE).select(F.col("id").alias("parent_id"), F.col("kind").alias("_of")), "parent_id")
+        shown = members.orderBy("line_start", "id").limit(limit)
+        counted = shown.where("_of <> 'interface'").join(self.caller_counts(shown), "id", "left").withColumn("n", F.coalesce("caller_count", F.lit(0)))
+        relation = self.class_relationships(of("class", "struct"))
+        rows = [
+            section(symbol.withColumn("text", text).withColumn("n", F.coalesce(members.agg(F.count("*")).scalar(), F.lit(0))), 0, "symbol"),
+            section(counted.withColumn("text", text), 1, "member", F.col("line_start")), section(shown.where("_of = 'interface'").withColumn("text", text), 1, "member", F.col("line_start")),
+            section(relation, 2, F.col("relation"), F.when(F.col("relation") == "extends", 0).when(F.col("relation") == "implements", 1).otherwise(2)),
+            section(self.implementors(of("interface")).select(F.col("implementor").alias("name"), F.col("from_id").alias("id")), 3, "implementor"),
+            section(self.outgoing_calls(of("function", "method")).select(F.col("callee").alias("name")), 4, "call"),
+            section(self.incoming_callers(of("function", "method")).select(F.col("caller").alias("name"), F.col("caller_id").alias("id"), F.col("call_count").alias("n")), 5, "caller", -F.col("n")),
+        ]
+        return reduce(DataFrame.unionByName, rows).orderBy("_place", "_first", "name", "id").drop("_place", "_first")
+
     def file_sketch(self, path: str) -> DataFrame:
         found = self.file_symbols(path)
         return found.join(self.caller_counts(found), "id", "left").select("id", "name", "kind", "line_start", "line_end", F.coalesce("caller_count", F.lit(0)).alias("caller_count")).orderBy("line_start", "id")

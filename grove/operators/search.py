@@ -69,14 +69,13 @@ def hits(index: TextIndex, pattern: str) -> DataFrame | None:
     return at.groupBy("symbol_id").agg(F.sum(F.when(F.col("col") == 1, NAME_WEIGHT).otherwise(BODY_WEIGHT)).alias("f"))
 
 
-def bm25(index: TextIndex, query: str, kind: str | None = None, limit: int = 10) -> DataFrame:
-    """(symbol_id, name, kind, file_path, rank, score) of the best matches of any word's prefix.
+def ranks(index: TextIndex, query: str, kind: str | None = None) -> DataFrame:
+    """(symbol_id, name, kind, file_path, rank) of all matches of any word's prefix, in no order.
 
-    One job counts the rows that match each pattern, and the corpus: as many numbers as the query has patterns. The kind filter
-    comes after those statistics and before the limit; scores are relative to the page.
+    The rows that match each pattern, and the corpus, are counted first; the kind filter comes after those statistics.
     """
     found = [(p, h) for p in T.query_patterns(query) if (h := hits(index, p)) is not None]
-    empty = index.docs.limit(0).select("symbol_id", "name", "kind", "file_path", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
+    empty = index.docs.limit(0).select("symbol_id", "name", "kind", "file_path", F.lit(0.0).alias("rank"))
     if not found:
         return empty
     each = reduce(DataFrame.union, (h.select("symbol_id", "f", F.lit(i).alias("p")) for i, (_, h) in enumerate(found)))
@@ -88,9 +87,14 @@ def bm25(index: TextIndex, query: str, kind: str | None = None, limit: int = 10)
     idf = rows.select("p", F.when(raw <= 0, LEAST_IDF).otherwise(raw).alias("idf"))
     scored = each.join(F.broadcast(idf), "p").join(index.lengths, "symbol_id")  # one row a pattern of the query
     norm = K1 * (1 - B + B * F.col("length") / (total / n))
-    ranks = scored.groupBy("symbol_id").agg((-F.sum(F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm))).alias("rank"))
+    summed = scored.groupBy("symbol_id").agg((-F.sum(F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm))).alias("rank"))
     docs = index.docs if kind is None else index.docs.where(F.col("kind") == kind)
-    return normalized(docs.join(ranks, "symbol_id").orderBy("rank", "symbol_id").limit(limit))
+    return docs.join(summed, "symbol_id")
+
+
+def bm25(index: TextIndex, query: str, kind: str | None = None, limit: int = 10) -> DataFrame:
+    """The best matches with their score, relative to this page."""
+    return normalized(ranks(index, query, kind).orderBy("rank", "symbol_id").limit(limit))
 
 
 def normalized(page: DataFrame, partition: list[str] | None = None) -> DataFrame:

@@ -289,6 +289,24 @@ def sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).sketch(NATION, 20).select("id", "name", "kind", *big("caller_count"))
 
 
+def _sql_counts(of: str) -> str:
+    return f"(SELECT s.id, count(*) AS n FROM {of} s JOIN edges e ON e.kind = 'calls' AND {sql_match('e.to_id', 's', False)} GROUP BY s.id)"
+
+
+@query(ARGS + f""", mem AS (SELECT s.* FROM symbols s JOIN cls ON s.parent_id = cls.id ORDER BY s.line_start, s.id LIMIT 20)
+SELECT 'symbol' AS section, name, id, kind, line_start, coalesce(signature, '') AS text, (SELECT count(*) FROM symbols s JOIN cls ON s.parent_id = cls.id)::BIGINT AS n FROM cls
+UNION ALL SELECT 'member', m.name, m.id, m.kind, m.line_start, coalesce(m.signature, ''), coalesce(c.n, 0)::BIGINT FROM mem m LEFT JOIN {_sql_counts('mem')} c ON c.id = m.id
+UNION ALL SELECT relation, name, '', '', 0, '', 0 FROM ({_sql['class_relationships']})""")
+def sketch_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).whole_sketch(NATION, 20, docs=False).drop("line_end").na.fill(0).na.fill("")
+
+
+@query(ARGS + f""" SELECT 'symbol' AS section, name, id, kind, line_start, coalesce(signature, '') AS text, 0::BIGINT AS n FROM target
+UNION ALL SELECT 'call', callee, '', '', 0, '', 0 FROM ({_sql['outgoing_calls']}) UNION ALL SELECT 'caller', caller, caller_id, '', 0, '', call_count::BIGINT FROM ({_sql['incoming_callers']})""")
+def sketch_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).whole_sketch(SUPPLIER, 20, docs=False).drop("line_end").na.fill(0).na.fill("")
+
+
 @query(ARGS + f" SELECT k.id, k.name, k.line_start, coalesce(c.n, 0)::BIGINT AS caller_count FROM infile k LEFT JOIN (SELECT s.id, count(*) AS n FROM infile s JOIN edges e ON e.kind = 'calls' AND {sql_match('e.to_id', 's', False)} GROUP BY s.id) c ON c.id = k.id")
 def file_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).file_sketch(FILE).select("id", "name", "line_start", *big("caller_count"))
@@ -497,6 +515,15 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).where(~tree.ignored(F.col("file_path"), IGNORE)).select("file_path")
 
 
+@query(f"""WITH {SQL_FILES}, d AS (SELECT DISTINCT 'docs/' || lang AS project FROM documents WHERE lang < 'fr' UNION SELECT 'docs/' || lang || '/' || source FROM documents GROUP BY lang, source HAVING count(*) > 12)
+SELECT file_path, coalesce((SELECT max_by(project, length(project)) FROM d WHERE starts_with(file_path, project || '/')), '') AS project FROM f""")
+def nested_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects at two levels: some languages, and their sources with more than 12 documents."""
+    docs, at = table(spark, sf_dir, "documents"), F.concat(F.lit("docs/"), "lang")
+    projects = docs.where("lang < 'fr'").select(at.alias("project")).union(docs.groupBy(F.concat_ws("/", at, "source").alias("project")).agg(F.count("*").alias("n")).where("n > 12").select("project"))
+    return tree.owners(_files(spark, sf_dir).select("file_path"), projects)
+
+
 @query(f"""WITH {SQL_FILES}, m AS (SELECT file_path, CASE WHEN doc_id % 5 = 2 THEN sha256('x' || text) ELSE hash END AS want FROM f WHERE doc_id % 5 <> 1), d AS (SELECT file_path, hash AS have FROM f WHERE doc_id % 5 <> 0)
 SELECT coalesce(m.file_path, d.file_path) AS file_path, CASE WHEN have IS NULL THEN 'MISSING' WHEN want IS NULL THEN 'NEW' ELSE 'MODIFIED' END AS problem FROM m FULL JOIN d ON m.file_path = d.file_path WHERE have IS DISTINCT FROM want""")
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -556,7 +583,7 @@ def workspace_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_DOCS}, {sql_bm25('docs', _patterns, None, 1000000)}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY rank, symbol_id) AS n FROM rk), t AS (SELECT * FROM r WHERE n <= 8)
 SELECT project, symbol_id, round(score, 6) AS score FROM (SELECT kind AS project, symbol_id, CASE WHEN max(rank) OVER w - min(rank) OVER w < 1e-15 THEN 0.95 ELSE 1 - (rank - min(rank) OVER w) / nullif(max(rank) OVER w - min(rank) OVER w, 0) * 0.5 END AS score FROM t WINDOW w AS (PARTITION BY kind)) ORDER BY score DESC, project, symbol_id LIMIT 8""")
 def workspace_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(search.build_index(_documents(spark, sf_dir)), SEARCH, None, 1 << 30).withColumnRenamed("kind", "project")
+    found = search.ranks(search.build_index(_documents(spark, sf_dir)), SEARCH).withColumnRenamed("kind", "project")
     return workspace.workspace_find(found, 8).select("project", "symbol_id", F.round("score", 6).alias("score"))
 
 
@@ -567,6 +594,38 @@ def workspace_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.workspace_core(rows, 10).select("project", "id", *big("caller_count"))
 
 
+@query(f"""WITH {SQL_FILES} SELECT file_path, replace(replace(file_path, '/', chr(92)), chr(92), '/') AS path, doc_id || '-' || (doc_id + n) AS span, CASE WHEN length(text) > 30 THEN left(text, 27) || '...' ELSE text END AS short, format('{{:,}}', n) AS number,
+    lang || '::' || file_path AS workspace_id, coalesce(nullif(lang, 'en'), source) AS member, file_path AS loc_file, n::INT AS loc_line, string_split(file_path, '/')[-2] AS parent, ends_with(file_path, '.md') AS is_md
+FROM (SELECT f.*, d.lang, d.source, d.n_chars AS n FROM f JOIN documents d USING (doc_id))""")
+def display_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display forms of paths, spans, texts and numbers; ids and names in a workspace; places of callers."""
+    f = _files(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("n_chars").alias("n")), "doc_id")
+    loc = N.caller_location(F.concat_ws(":", "file_path", "n"))
+    return f.select(
+        "file_path", N.normalized_path(F.replace("file_path", F.lit("/"), F.lit(chr(92)))).alias("path"), N.line_range(F.col("doc_id"), F.col("doc_id") + F.col("n")).alias("span"), N.shortened(F.col("text"), 30).alias("short"),
+        N.grouped_number(F.col("n")).alias("number"), N.workspace_id(F.col("lang"), F.col("file_path")).alias("workspace_id"), N.member_name(F.when(F.col("lang") != "en", F.col("lang")), F.concat(F.lit("libs/"), "source", F.lit("/"))).alias("member"),
+        loc["file"].alias("loc_file"), loc["line"].alias("loc_line"), N.second_last_part(F.replace("file_path", F.lit("/"), F.lit("::"))).alias("parent"), F.endswith("file_path", F.lit(".md")).alias("is_md"),
+    )
+
+
+@query(WITH + " SELECT kind, CASE kind WHEN 'instantiates' THEN 'creates' WHEN 'references_type' THEN 'uses type' ELSE kind END AS label, count(*) AS n FROM edges GROUP BY ALL")
+def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir).edges.groupBy("kind").agg(F.count("*").alias("n")).select("kind", N.edge_label(F.col("kind")).alias("label"), "n")
+
+
+@query(_sql["trace_paths"].replace("SELECT array_to_string(path, ' > ')", "SELECT p.path, u.i AS pos, u.id, coalesce(s.name, string_split(u.id, '::')[2]) AS name, coalesce(s.line_start, 0)::INT AS line FROM (SELECT array_to_string(path, ' > ')", 1) + ") p, (SELECT unnest(string_split(p.path, ' > ')) AS id, unnest(range(len(string_split(p.path, ' > '))))::INT AS i) u LEFT JOIN symbols s ON s.id = u.id")
+def path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return g.path_steps(g.trace(SUPPLIER, 3)).select(F.array_join("path", " > ").alias("path"), "pos", "id", "name", "line")
+
+
+@query(WITH + f", {SQL_TEXT}, {sql_bm25('docs', ['interface', 'old', 'rod'], None, 30)} SELECT page.symbol_id, page.name, page.rank, s.line_start::INT AS line_start, s.line_end::INT AS line_end FROM page JOIN symbols s ON s.id = page.symbol_id")
+def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    found = search.bm25(search.build_index(search.search_documents(g)), "interface old rod", None, 30)
+    return search.with_lines(found, g.symbols).select("symbol_id", "name", F.round("rank", 6).alias("rank"), "line_start", "line_end")
+
+
 @query("SELECT count(*) AS members, sum(s)::BIGINT AS symbol_count, sum(f)::BIGINT AS file_count, sum(e)::BIGINT AS edge_count, max(t) AS last_indexed, bool_and(t IS NOT NULL) AS indexed FROM (SELECT lang, count(*) AS s, count(DISTINCT source) AS f, sum(n_chars) AS e, max(doc_id) AS t FROM documents GROUP BY lang)")
 def workspace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("symbol_count"), F.countDistinct("source").alias("file_count"), F.sum("n_chars").alias("edge_count"), F.max("doc_id").alias("last_indexed"))

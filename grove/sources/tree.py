@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tomllib
 from dataclasses import dataclass, field
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.sources.shared import hadoop
+
 #: Languages by file extension, and the files that mark a project of a language (fixed values).
 EXTENSIONS = {
     "ts": "typescript", "tsx": "typescript", "cs": "csharp", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "lua": "lua",
@@ -100,17 +101,36 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.select("file_path", F.sha2("content", 256).alias("hash"))
 
 
-def nested_projects(root: str, depth: int = 3) -> list[str]:
-    """Directories below root, up to depth, that have a configuration of their own. For roots that this machine can open."""
-    out = []
-    for d, names, _ in os.walk(root):
-        rel = os.path.relpath(d, root)
-        level = 0 if rel == "." else rel.count(os.sep) + 1
-        names[:] = sorted(n for n in names if level < depth and not n.startswith(".") and n not in ("node_modules", "target", "dist", "build"))
-        if level and os.path.exists(os.path.join(d, CONFIG_DIR, CONFIG_FILE)):
-            out.append(rel.replace(os.sep, "/"))
-            names[:] = []
-    return out
+#: Directories in which no nested project is looked for.
+PASSED_OVER = ("node_modules", "target", "dist", "build")
+
+
+def project_configs(spark: SparkSession, root: str, depth: int = 3) -> list[str]:
+    """Directories below root, up to depth, with a configuration of their own, by the file system's own glob: wherever Spark reads."""
+    base, out = root.rstrip("/"), []
+    for level in range(1, depth + 1):
+        fs, p = hadoop(spark, f"{base}{'/*' * level}/{CONFIG_DIR}/{CONFIG_FILE}")
+        for s in fs.globStatus(p) or []:
+            out.append("/".join(str(s.getPath().getParent().getParent().toString()).split("/")[-level:]))
+    return sorted(d for d in out if not any(x.startswith(".") or x in PASSED_OVER for x in d.split("/")))
+
+
+def nested_projects(spark: SparkSession, root: str, depth: int = 3) -> list[str]:
+    """The outermost of the projects below root: what lies below them is theirs."""
+    found = project_configs(spark, root, depth)
+    return [d for d in found if not any(d.startswith(f"{o}/") for o in found)]
+
+
+def owners(paths: DataFrame, projects: DataFrame) -> DataFrame:
+    """paths (file_path, …) with project: the nearest of projects (project, a directory) above a path; empty for those of the root.
+
+    A path is joined by all directories above it, on equal keys, and keeps the longest that is a project.
+    """
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    each = paths.select("file_path").distinct().where(F.contains("file_path", F.lit("/"))).select("file_path", F.explode(above).alias("project"))
+    best = each.join(projects.select("project").distinct(), "project").groupBy("file_path").agg(F.max_by("project", F.char_length("project")).alias("project"))
+    return paths.join(best, "file_path", "left").withColumn("project", F.coalesce("project", F.lit("")))
 
 
 def detect_languages(root: str) -> list[str]:

@@ -38,9 +38,9 @@ CHANGES = "project string, listing long, path string, change string, ts timestam
 STATE = "project string, path string, hash string"
 
 
-def listing(spark: SparkSession, project: str, root: str, number: int, patterns: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+def listing(spark: SparkSession, project: str, root: str, number: int, patterns: list[str] | None = None, languages: list[str] | None = None, nested: list[str] | None = None) -> DataFrame:
     """A project's files and their hashes as of now, read where Spark reads; and a row without a path."""
-    files = hashed(read_files(spark, root, patterns, languages)).select(F.col("file_path").alias("path"), "hash")
+    files = hashed(read_files(spark, root, patterns, languages, nested)).select(F.col("file_path").alias("path"), "hash")
     head = spark.range(1).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("hash"))
     return files.unionByName(head).select(F.lit(project).alias("project"), F.lit(number).cast("long").alias("listing"), "path", "hash")
 

@@ -66,6 +66,19 @@ def test_impact_splits_tests(harbour):
     assert {(r["name"], r["depth"], r["is_test"]) for r in rows} == {("soundAlarm", 1, False), ("forecast", 1, False), ("gauge_reads_zero", 1, True), ("makeRound", 2, False)}
 
 
+def test_whole_sketches(spark, harbour):
+    rows = lambda name, **o: [(r["section"], r["name"], r["n"]) for r in harbour.whole_sketch(name, **o).collect()]
+    assert rows("TideGauge") == [("symbol", "TideGauge", 2), ("member", "read_level", 2), ("member", "reset_at_ebb", 0), ("dependency", "resetXatXebb", None), ("dependency", "sensor.poll", None)]
+    assert rows("TideGauge", limit=1)[:3] == [("symbol", "TideGauge", 2), ("member", "read_level", 2), ("dependency", "resetXatXebb", None)]
+    assert rows("read_level") == [("symbol", "read_level", 0), ("call", "resetXatXebb", None), ("call", "sensor.poll", None), ("caller", "gauge_reads_zero", 1)]
+    shape, box, area = sym("Shape", "interface", line=1), sym("Box", "class", line=9), None
+    area = sym("area", "method", line=3, parent=shape[0])
+    g = graph(spark, [shape, area, box, sym("Hue", "enum", line=20)], [(box[0], "Shape", "implements"), (box[0], "Root", "extends")])
+    got = lambda name: [(r["section"], r["name"]) for r in g.whole_sketch(name).collect()]
+    assert got("Shape") == [("symbol", "Shape"), ("member", "area"), ("implementor", "Box")] and got("Hue") == [("symbol", "Hue")] and got("nobody") == []
+    assert got("Box") == [("symbol", "Box"), ("extends", "Root"), ("implements", "Shape")]
+
+
 def test_trace(harbour):
     paths = harbour.trace("read_level")
     assert [(r["steps"], r["first_name"]) for r in paths.collect()] == [(2, "gauge_reads_zero"), (2, "soundAlarm"), (3, "makeRound")]

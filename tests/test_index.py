@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from grove.api import NotFoundError, Project, Workspace, envelope
+from grove.api import NotFoundError, Project, Workspace, envelope, stream_envelope, write_envelope
 from grove.operators import change
 from grove.sources import tree
 from grove.sources.extract import REGISTRY, extract_python
@@ -111,7 +111,7 @@ def test_project(spark, shop):
     with pytest.raises(FileExistsError):
         p.init()
     assert p.reindex() == {"added": 0, "modified": 0, "deleted": 0}
-    assert {r["name"] for r in p.sketch("Shop").collect()} == {"Shop", "log", "constructor", "sell"}
+    assert {r["name"] for r in p.sketch("Shop").where("section IN ('symbol', 'member')").collect()} == {"Shop", "log", "constructor", "sell"}
     assert [(r["from_name"], r["snippet"].strip()) for r in p.callers("sell").collect()] == [("take", "return self.shop.sell(amount) and os.getcwd()")]
     assert {r["name"] for r in p.find("selling price").collect()} >= {"price", "sell"}
     assert [r["line"] for r in p.source("price").collect()] == ["export const price = (item: Item) => item.cost();"]
@@ -209,3 +209,39 @@ def test_versions(spark, tmp_path):
     assert seen == sorted(set(seen)) and sorted(index._versions()) == seen[-KEPT:]
     (tmp_path / "ix" / "v-999999999999999-abcdef").mkdir()
     assert index.version() == seen[-1]
+
+
+def test_owners_and_nested_projects(spark, tmp_path):
+    for d in ("a", "a/in", "b/c", "x/y/z", "x/y/z/deep", "node_modules/m", ".hidden"):
+        (tmp_path / d / ".grove").mkdir(parents=True)
+        (tmp_path / d / ".grove" / "config.toml").write_text("")
+    assert tree.project_configs(spark, str(tmp_path)) == ["a", "a/in", "b/c", "x/y/z"]
+    assert tree.nested_projects(spark, f"file://{tmp_path}/") == ["a", "b/c", "x/y/z"]
+    assert tree.nested_projects(spark, str(tmp_path / "b" / "c")) == []
+    projects = spark.createDataFrame([("a",), ("a/in",), ("a/in",), ("b/c",)], "project string")
+    paths = spark.createDataFrame([("a/1",), ("a/in/2",), ("a/inner/3",), ("b/4",), ("b/c/d/5",), ("top",), ("a",)], "file_path string")
+    assert {tuple(r) for r in tree.owners(paths, projects).select("file_path", "project").collect()} == {("a/1", "a"), ("a/in/2", "a/in"), ("a/inner/3", "a"), ("b/4", ""), ("b/c/d/5", "b/c"), ("top", ""), ("a", "")}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7])
+def test_envelopes(spark, tmp_path, n):
+    rows = spark.range(n, numPartitions=3).select("id", F.concat(F.lit("é\n\"x"), "id").alias("name"), F.lit(None).cast("int").alias("line")).orderBy("id")
+    want = [{"id": i, "name": f'é\n"x{i}', "line": None} for i in range(n)]
+    total = write_envelope(str(tmp_path / "all.json"), "refs", rows, "a\"b")
+    assert json.loads((tmp_path / "all.json").read_text()) == {"command": "refs", "symbol": 'a"b', "data": want, "truncated": False, "total": n} and total == n
+    assert json.loads(envelope("refs", rows, limit=3)) == {"command": "refs", "data": want[:3], "truncated": n > 3, "total": n}
+
+
+def test_a_large_envelope_passes_by_partitions(spark, tmp_path):
+    """Half a million rows: the driver's Python holds a partition of them when they are streamed, and none when they are written."""
+    import tracemalloc
+
+    rows = spark.range(500_000, numPartitions=40).select("id", F.repeat(F.lit("x"), 40).alias("pad"))
+    tracemalloc.start()
+    assert write_envelope(str(tmp_path / "big.json"), "refs", rows) == 500_000
+    assert tracemalloc.get_traced_memory()[1] < 5 << 20
+    with open(tmp_path / "stream.json", "w") as f:
+        assert stream_envelope(f.write, "refs", rows) == 500_000
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    assert json.loads((tmp_path / "big.json").read_text()) == json.loads((tmp_path / "stream.json").read_text())
