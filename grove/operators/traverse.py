@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from grove.sources.shared import cut
 
+#: The depth that a traversal with a limit tries first.
+SHALLOW = 3
+
 
 def reach(first: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """(id, depth): ids reachable from first (id, at depth 1) over steps (src, dst), each at its smallest depth.
@@ -57,8 +60,23 @@ def paths_to_ends(first: DataFrame, steps: DataFrame, depth: int, limit: int | N
     """(path, depth): the paths of simple_paths whose head has no steps, all of the shortest levels that together have limit paths.
 
     A path goes on only while its head can still reach an end within the depth that is left. Levels come in order of length and
-    none is begun once there are enough paths.
+    none is begun once there are enough paths. With a limit, depths of SHALLOW, twice that and so on are tried first, so that
+    distances aren't sought further than the paths go.
     """
+    if limit is not None and depth > SHALLOW:
+        shallow = SHALLOW
+        while shallow < depth:
+            few = cut(paths_to_ends(first, steps, shallow))
+            if few.limit(limit).count() >= limit:
+                last = few.groupBy("depth").agg(F.count("*").alias("n")).collect()  # a row a level
+                seen, most = 0, shallow
+                for r in sorted(last):
+                    seen += r["n"]
+                    if seen >= limit:
+                        most = r["depth"]
+                        break
+                return few.where(F.col("depth") <= most)
+            shallow *= 2
     head = F.get("path", F.lit(0))
     level = cut(first.select("path").distinct())
     left = cut(entry_distance(level.select(head.alias("id")).distinct(), steps, depth))
@@ -69,7 +87,7 @@ def paths_to_ends(first: DataFrame, steps: DataFrame, depth: int, limit: int | N
         out = done if out is None else out.union(done)
         if d == depth:
             break
-        if limit is not None and (n := n + done.count()) >= limit:
+        if limit is not None and (n := n + done.limit(limit).count()) >= limit:
             break
         going = hopeful.where("left > 0").select("path", "id")
         level = cut(going.join(steps, F.col("id") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_prepend("path", F.col("dst")).alias("path")).distinct())

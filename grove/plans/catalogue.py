@@ -317,6 +317,38 @@ def file_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_DIR = "CASE WHEN contains(regexp_replace(file_path, '^src/', ''), '/') THEN string_split(regexp_replace(file_path, '^src/', ''), '/')[1] ELSE '(root)' END || '/'"
 
 
+def _documents_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """Documents as functions of files of several languages and groups, users' events as calls between them."""
+    d = table(spark, sf_dir, "documents")
+    ends = F.array(F.lit(".controller.ts"), F.lit("/nightly_job.py"), F.lit("/message_handler.go"), F.lit(".rs"))
+    path = F.concat(F.lit("src/"), "source", F.get(ends, (F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 4)))
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    none = F.lit(None).cast("string")
+    symbols = d.select(
+        F.concat_ws("::", path, name, F.lit("function"), "doc_id").alias("id"), name.alias("name"), F.lit("function").alias("kind"), path.alias("file_path"), F.col("doc_id").cast("int").alias("line_start"),
+        F.col("doc_id").cast("int").alias("line_end"), none.alias("signature"), none.alias("docstring"), none.alias("parent_id"), F.col("lang").alias("language"), F.lit("{}").alias("metadata"),
+    )
+    caller, callee = F.concat(F.lit("f"), F.col("user_id").cast("string")), F.concat(F.lit("f"), (F.col("event_id") % 500).cast("string"))
+    edges = table(spark, sf_dir, "events").select(caller.alias("from_id"), callee.alias("to_id"), F.lit("calls").alias("kind")).distinct()
+    return CodeGraph(symbols, edges.withColumn("file_path", F.lit("src/a")).withColumn("line", F.lit(1)))
+
+
+SQL_DOCUMENTS_GRAPH = """sy AS (SELECT 'f' || doc_id AS name, 'src/' || source || ['.controller.ts', '/nightly_job.py', '/message_handler.go', '.rs'][regexp_extract(source, '([0-9]+)$', 1)::INT % 4 + 1] AS file_path FROM documents),
+called AS (SELECT DISTINCT 'f' || (event_id % 500) AS name FROM events)"""
+_GROUPS = "CASE WHEN contains(file_path, 'controller') THEN 'API Controllers' WHEN contains(file_path, 'job') THEN 'Background Workers' WHEN contains(file_path, 'handler') THEN 'Event Handlers' ELSE 'Other' END"
+
+
+@query("SELECT lang AS language, count(DISTINCT source) AS files, count(*) AS symbols FROM documents GROUP BY lang")
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _documents_graph(spark, sf_dir)
+    return g.languages().join(g.language_stats(), "language")
+
+
+@query(f"WITH {SQL_DOCUMENTS_GRAPH} SELECT {_GROUPS} AS entry_group, count(*) AS entries, count(DISTINCT file_path) AS files, 0::BIGINT AS fan_out FROM sy WHERE name NOT IN (SELECT name FROM called) GROUP BY 1")
+def document_entry_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_graph(spark, sf_dir).entrypoint_groups()
+
+
 @query(WITH + f" SELECT {SQL_DIR} AS directory, count(DISTINCT file_path) AS file_count, count(*) AS symbol_count FROM symbols GROUP BY 1")
 def directory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).directory_stats()
@@ -356,6 +388,21 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(g.symbols, g.edges).groupBy("rule").agg(F.count("*").alias("broken"))
 
 
+@query(WITH + """, sx AS (SELECT id, kind, parent_id FROM symbols UNION ALL SELECT id, kind, parent_id FROM symbols WHERE kind = 'class' UNION ALL SELECT id || '!', 'gadget', 'nobody' FROM symbols WHERE kind = 'function'),
+ex AS (SELECT from_id, to_id, kind FROM edges UNION ALL SELECT from_id, to_id, kind FROM edges WHERE kind = 'implements' UNION ALL SELECT from_id, to_id, 'shouts' FROM edges WHERE kind = 'extends')
+SELECT 'symbol_id_unique' AS rule, count(*) AS broken FROM (SELECT id FROM sx GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'symbol_kind', count(*) FROM sx WHERE kind = 'gadget' UNION ALL SELECT 'parent_exists', count(*) FROM sx WHERE parent_id NOT IN (SELECT id FROM sx)
+UNION ALL SELECT 'edge_kind', count(*) FROM ex WHERE kind = 'shouts' UNION ALL SELECT 'edge_unique', count(*) FROM (SELECT 1 FROM ex GROUP BY from_id, to_id, kind HAVING count(*) > 1)""")
+def schema_violations_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five rules on the graph with some of its rows repeated and some broken."""
+    from grove.schema import violations
+
+    g = graph(spark, sf_dir)
+    broken = g.symbols.where("kind = 'function'").withColumns({"id": F.concat("id", F.lit("!")), "kind": F.lit("gadget"), "parent_id": F.lit("nobody")})
+    symbols = g.symbols.unionByName(g.symbols.where("kind = 'class'")).unionByName(broken)
+    edges = g.edges.unionByName(g.edges.where("kind = 'implements'")).unionByName(g.edges.where("kind = 'extends'").withColumn("kind", F.lit("shouts")))
+    return violations(symbols, edges).groupBy("rule").agg(F.count("*").alias("broken"))
+
+
 # Text search
 
 SQL_CAMEL = "regexp_replace(regexp_replace({0}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g')"

@@ -209,7 +209,9 @@ def word_end(code: str, at: int, openers: str) -> int:
 
 def doc_before(text: str, at: int, comments: dict[int, int]) -> str | None:
     """The comment, of any length, that ends on the line before; comments: where each begins, by its end."""
-    end = len(text[: text.rfind("\n", 0, at) + 1].rstrip())
+    end = text.rfind("\n", 0, at) + 1
+    while end and text[end - 1].isspace():  # only the blank before the declaration is walked over
+        end -= 1
     return text[comments[end] : end].strip() if end in comments else None
 
 

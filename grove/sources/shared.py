@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
-        warnings.warn(f"spark.checkpoint.dir isn't set: {warehouse} must be a folder that the driver and all executors share", stacklevel=2)
+        raise RuntimeError(f"spark.checkpoint.dir isn't set, and {warehouse} is no folder that the driver and all executors share")
     return warehouse + "/_grove"
 
 
