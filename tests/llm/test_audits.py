@@ -242,3 +242,23 @@ def test_scan_and_report(spark, odd, empty, model, plain):
     one = spark.createDataFrame([(1, "a@b.c 4736962573099581 4736962573099581")], "doc_id long, text string")
     r = pii.report(pii.scan(one, model)).first()
     assert r["spans"] == "email:0:5,card:6:22,card:23:39" and (r["n_card"], r["n_added"]) == (0, 2)
+
+
+def test_the_query_over_a_whole_table(spark):
+    from hashlib import sha256
+
+    from grove.llm.queries import queries
+    from tests.conftest import SF
+
+    names = list(PLAIN)
+    listed = lambda spans: ",".join(f"{names[k]}:{s}:{e}" for k, s, e in spans)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries()["op12_pii"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == sha256(listed(want).encode()).hexdigest()
+        assert [r[f"n_{n}"] for n in names] == [sum(k == i for k, _, _ in want) for i in range(4)]
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert len(spans) == len(want) + r["n_added"] and set(listed(want).split(",") if want else []) <= set(spans)
+        assert spans == sorted(spans, key=lambda x: (names.index(x.split(":")[0]), int(x.split(":")[1])))
