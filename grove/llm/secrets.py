@@ -1,9 +1,10 @@
 """Secret scans in DataFrame functions only: three base patterns, and sliding-window Shannon entropy per character class.
 
-A candidate is a run of at least WINDOW characters of a class (hex; or base64 with its URL form) that holds digits and
-letters. A window of WINDOW characters slides over it; counts of each character, and the sum of c*log2(c), are changed by the
-character that enters and the one that leaves. Where a window reaches the class's threshold, the span from the first such
-window to the last is reported, unless the candidate is on the allow-list.
+A candidate is a run of at least WINDOW characters of base64 or its URL form that holds digits and letters and isn't on the
+allow-list. What is scored in it: the whole candidate as base64 if it has letters of both cases, and each run inside it of a
+narrower class (hex of either case; letters of one case with digits) that is as long and holds both too. A window of WINDOW
+characters slides over each; counts of each character, and the sum of c*log2(c), are changed by the character that enters and the
+one that leaves. Where a window reaches the class's threshold, the span from the first such window to the last is reported.
 """
 
 from __future__ import annotations
@@ -18,20 +19,24 @@ from grove.llm.common import fresh, id_text
 WINDOW = 20
 #: So many matches of a text are placed one after the other.
 RUN = 256
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_single")
 #: Java and RE2 both read these alike; letters of the keywords in either case, ASCII only.
 _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = f"({_WORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-ALPHABETS = {"entropy_hex": "0123456789abcdef", "entropy_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
-LEAST = {"entropy_hex": 2.83, "entropy_base64": 3.61}
-#: Runs inside a candidate that redact scores by themselves, each in lower case: hex, and letters of one case with digits. The
-#: thresholds of all classes are such that about one window of random characters in 200 stays below.
+ALPHABETS = {
+    "entropy_hex": "0123456789abcdef",
+    "entropy_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
+    "entropy_single": "0123456789abcdefghijklmnopqrstuvwxyz",
+}
+#: Such that about one window of random characters of the class in 200 stays below.
+LEAST = {"entropy_hex": 2.83, "entropy_base64": 3.61, "entropy_single": 3.35}
+#: Runs inside a candidate that are scored by themselves, in lower case.
 RUNS = {"[0-9a-f]{20,}": "entropy_hex", "[0-9A-F]{20,}": "entropy_hex", "[0-9a-z]{20,}": "entropy_single", "[0-9A-Z]{20,}": "entropy_single"}
-ALPHABETS["entropy_single"] = "0123456789abcdefghijklmnopqrstuvwxyz"
-LEAST["entropy_single"] = 3.35
+#: Runs of one case that are hex have been scored as such, by a lower threshold.
+HEX_ONLY = "^([0-9a-f]+|[0-9A-F]+)$"
 #: Candidates that are no secrets: UUIDs, digests named as such, runs of the alphabet, and samples in manuals.
 ALLOW = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -102,11 +107,8 @@ def hot_windows(come: Column, kind: str) -> Column:
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def with_spans(docs: DataFrame, text_col: str, to: str, runs: bool = False) -> DataFrame:
-    """docs with a column of sorted spans (start, kind as a place in KINDS, end) of each whole text; null: none.
-
-    runs: also those of the RUNS in candidates, as of kind len(KINDS).
-    """
+def with_spans(docs: DataFrame, text_col: str, to: str) -> DataFrame:
+    """docs with a column of sorted spans (start, kind as a place in KINDS, end) of each whole text; null: none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assigned, access, hexes, cand = fresh(docs, "assign", "access", "hex", "cand")
     raw = docs.withColumns({assigned: matches(text, ASSIGN, 2), access: matches(text, ACCESS), hexes: matches(text, HEX), cand: matches(text, CANDIDATE)})
@@ -117,31 +119,26 @@ def with_spans(docs: DataFrame, text_col: str, to: str, runs: bool = False) -> D
     one = "struct<start:bigint,kind:int,end:bigint>"
 
     def heat(kind: str, c: Column) -> Column:
-        place = KINDS.index(kind) if kind in KINDS else len(KINDS)
-        span = lambda hot: F.struct(c["start"] + hot["first"] - WINDOW, F.lit(place), F.when(hot["last"] > 0, c["start"] + hot["last"]).otherwise(0)).cast(one)
+        span = lambda hot: F.struct(c["start"] + hot["first"] - WINDOW, F.lit(KINDS.index(kind)), F.when(hot["last"] > 0, c["start"] + hot["last"]).otherwise(0)).cast(one)
         return once(codes(c["hit"], kind), lambda come: once(hot_windows(come, kind), span))
 
-    def entropy(c: Column) -> Column:
-        is_hex = c["hit"].rlike("^[0-9a-f]+$")
-        mixed = c["hit"].rlike("[A-Z]") & c["hit"].rlike("[a-z]")
-        return F.when(is_hex, heat("entropy_hex", c)).when(mixed, heat("entropy_base64", c)).otherwise(F.struct(F.lit(0), F.lit(0), F.lit(0)).cast(one))
-
-    def inner(c: Column) -> Column:
-        def of(pattern: str, kind: str) -> Column:
-            both = F.filter(matches(c["hit"], pattern), lambda r: r["hit"].rlike("[0-9]") & r["hit"].rlike("[A-Za-z]"))
-            return F.transform(both, lambda r: heat(kind, F.struct((c["start"] + r["start"]).alias("start"), F.lower(r["hit"]).alias("hit")))).cast(_SPAN)
+    def runs(c: Column, pattern: str, kind: str) -> Column:
+        wanted = lambda r: r["hit"].rlike("[0-9]") & r["hit"].rlike("[A-Za-z]") & (F.lit(kind == "entropy_hex") | ~r["hit"].rlike(HEX_ONLY))
+        lower = lambda r: F.struct((c["start"] + r["start"]).alias("start"), F.lower(r["hit"]).alias("hit"))
+        return F.transform(F.filter(matches(c["hit"], pattern), wanted), lambda r: heat(kind, lower(r))).cast(_SPAN)
 
-        return F.concat(*(of(p, k) for p, k in RUNS.items()))
+    def entropies(c: Column) -> Column:
+        mixed = c["hit"].rlike("[A-Z]") & c["hit"].rlike("[a-z]")
+        whole = F.when(mixed, F.array(heat("entropy_base64", c))).otherwise(F.array().cast(_SPAN))
+        return F.filter(F.concat(whole, *(runs(c, p, k) for p, k in RUNS.items())), lambda x: x["end"] > 0)
 
     as_span = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))
     found = F.concat(
         F.transform(F.filter(assigned, lambda x: F.char_length(x["part"]) >= 8), as_span(0)).cast(_SPAN),
         F.transform(access, as_span(1)).cast(_SPAN),
         F.transform(hexes, as_span(2)).cast(_SPAN),
-        F.when(F.size(cand) == 0, F.array().cast(_SPAN)).otherwise(F.filter(F.transform(cand, entropy), lambda x: x["end"] > 0)),
+        F.when(F.size(cand) == 0, F.array().cast(_SPAN)).otherwise(F.flatten(F.transform(cand, entropies))),
     )
-    if runs:
-        found = F.concat(found, F.when(F.size(cand) == 0, F.array().cast(_SPAN)).otherwise(F.filter(F.flatten(F.transform(cand, inner)), lambda x: x["end"] > 0)))
     return wanted.withColumn(to, F.sort_array(found)).drop(assigned, access, hexes, cand)
 
 
@@ -188,13 +185,13 @@ def marked(text: Column, spans: Column, mark: str) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced in text, those of RUNS too, spans that overlap by one mark, and n_chars counted anew where one was.
+    """docs with every span replaced in text, spans that overlap by one mark, and n_chars counted anew where one was.
 
     A null text stays null, a text without secrets as it is; rows that repeat an id are judged each by itself; an empty table
     stays empty; all columns, whatever their names, pass through.
     """
     (found,) = fresh(docs, "found")
-    rows = with_spans(docs, "text", found, runs=True)
+    rows = with_spans(docs, "text", found)
     rows = rows.withColumn("text", F.when(F.size(found) > 0, marked(F.col("text"), F.col(found), mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size(found) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -206,11 +203,17 @@ def oracle() -> str:
     esc = lambda p: p.replace("'", "''")
     allow = esc("|".join(f"(?:{a})" for a in ALLOW))
 
-    def found(pattern: str, group: int = 0) -> str:
+    def found(pattern: str, group: int = 0, t: str = "t") -> str:
         p = esc(pattern)
-        return f"""list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{
-            's': list_sum(list_transform(regexp_split_to_array(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i - 1], lambda x: length(x))), 0),
-            'h': regexp_extract_all(t, '{p}')[i], 'p': regexp_extract_all(t, '{p}', {group})[i]}})"""
+        return f"""list_transform(range(1, len(regexp_extract_all({t}, '{p}')) + 1), lambda i: {{
+            's': list_sum(list_transform(regexp_split_to_array({t}, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all({t}, '{p}')[1:i - 1], lambda x: length(x))), 0),
+            'h': regexp_extract_all({t}, '{p}')[i], 'p': regexp_extract_all({t}, '{p}', {group})[i]}})"""
+
+    def runs(kind: str) -> str:
+        hex_only = "" if kind == "entropy_hex" else f" AND NOT regexp_matches(r.h, '{HEX_ONLY}')"
+        of = (f"""list_transform(list_filter({found(p, t="c.h")}, lambda r: regexp_matches(r.h, '[0-9]') AND regexp_matches(r.h, '[A-Za-z]'){hex_only}),
+            lambda r: {{'s': c.s + r.s, 'h': lower(r.h)}})""" for p, k in RUNS.items() if k == kind)
+        return f"flatten(list_transform(cs, lambda c: list_concat({', '.join(of)})))"
 
     def heat(kind: str) -> str:
         ends = f"""list_filter(range({WINDOW}, length(c.h) + 1), lambda e: list_sum(list_transform(list_distinct(string_split(substr(c.h, e - {WINDOW - 1}, {WINDOW}), '')),
@@ -224,8 +227,8 @@ def oracle() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, {span(0, ASSIGN, 2)} AS a, {span(1, ACCESS)} AS b, {span(2, HEX)} AS h,
     list_filter({found(CANDIDATE)}, lambda c: regexp_matches(c.h, '[0-9]') AND regexp_matches(c.h, '[A-Za-z]') AND NOT regexp_matches(c.h, '{allow}')) AS cs FROM d),
-e AS (SELECT doc_id, a, b, h,
-    list_transform(list_filter(cs, lambda c: regexp_full_match(c.h, '[0-9a-f]+')), lambda c: {heat('entropy_hex')}) AS x,
-    list_transform(list_filter(cs, lambda c: NOT regexp_full_match(c.h, '[0-9a-f]+') AND regexp_matches(c.h, '[A-Z]') AND regexp_matches(c.h, '[a-z]')), lambda c: {heat('entropy_base64')}) AS y FROM m),
-f AS (SELECT doc_id, list_sort(list_concat(a, b, h)) AS base, list_sort(list_concat(a, b, h, list_filter(list_concat(x, y), lambda z: z.e IS NOT NULL))) AS found, len(a) AS n_assign, len(b) AS n_access, len(h) AS n_hex FROM e)
+r AS (SELECT doc_id, a, b, h, cs, {runs('entropy_hex')} AS hs, {runs('entropy_single')} AS ss FROM m),
+e AS (SELECT doc_id, a, b, h, list_transform(hs, lambda c: {heat('entropy_hex')}) AS x, list_transform(ss, lambda c: {heat('entropy_single')}) AS z,
+    list_transform(list_filter(cs, lambda c: regexp_matches(c.h, '[A-Z]') AND regexp_matches(c.h, '[a-z]')), lambda c: {heat('entropy_base64')}) AS y FROM r),
+f AS (SELECT doc_id, list_sort(list_concat(a, b, h)) AS base, list_sort(list_concat(a, b, h, list_filter(list_concat(x, y, z), lambda w: w.e IS NOT NULL))) AS found, len(a) AS n_assign, len(b) AS n_access, len(h) AS n_hex FROM e)
 SELECT doc_id, n_assign::BIGINT AS n_assign, n_access::BIGINT AS n_access, n_hex::BIGINT AS n_hex, sha256({text('base')}) AS base_sha256, {text('found')} AS spans FROM f"""
