@@ -3,8 +3,9 @@
 A first pass writes the approximation file: of each vector one byte a component, the number of one of CELLS equal intervals of
 the vector's own range, and that range. Queries and approximations are dealt into a grid: a cell holds about QUERIES queries and
 about CANDIDATES approximations, whatever their number. A scan of those alone bounds every score from both sides, and gives the
-vectors that can be among the k best there. The kth best lower bound over all cells is certain for a query, so that exact vectors
-are read, in one join, of those only whose upper bound reaches it: all that reading in the order of the bounds would need.
+vectors that can be among the k best there, and the kth best lower bound over all cells rules out more. Exact vectors of what is
+left are read in the order of their upper bounds, in rounds of k, then k more, 2k, 4k and so on for each query, until the kth best exact score is
+certain: no bound left reaches it. A query reads at most about twice what one vector at a time would need, in few rounds.
 """
 
 from __future__ import annotations
@@ -142,6 +143,35 @@ def usable(c: Column) -> Column:
     return c.isNotNull() & ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
 
 
+def in_order(value: str) -> Column:
+    """The place of a row (query_id, vec_id, value) in its query, highest value first, ties to the smaller id."""
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(value), "vec_id"))
+
+
+def read_in_order(ranked: DataFrame, asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the exact vectors read: all whose upper bound reaches a query's kth best exact score are among them.
+
+    ranked: (query_id, vec_id, best, nth), nth by descending upper bound. Each round is written, and the next one starts from it.
+    """
+    scores, at, step = None, 0, k
+    while True:
+        due = ranked.where((F.col("nth") > at) & (F.col("nth") <= at + step))
+        if scores is not None:
+            each = scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            kth = each.withColumn("place", in_order("score")).where(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+            due = due.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("best") >= F.col("kth") - F.abs("kth") * 1e-15))
+        wanted = saved(due.select("query_id", "vec_id"), "wanted")
+        if scores is not None and wanted.isEmpty():
+            forget(wanted)
+            return scores
+        read = bounded(wanted).join(rows.withColumnRenamed("embedding", "x"), "vec_id")
+        pairs = read.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").where(F.size("q") == F.size("x"))
+        found = saved(pairs.select("query_id", "vec_id", "q", "x").mapInArrow(score_pairs, "query_id long, vec_id long, score long"), "exact")
+        forget(wanted)
+        scores = found if scores is None else scores.union(found)
+        at, step = at + step, k if at == 0 else 2 * step
+
+
 def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by every, the k best others.
 
@@ -173,14 +203,13 @@ def top_k(vectors: DataFrame, every: int, k: int) -> DataFrame:
     bounds = saved(scanned.groupBy("query_id", "vec_id").agg(F.max("least").alias("least"), F.max("best").alias("best")), "bounds")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id"))
     sure = bounds.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", F.col("least").alias("sure"))
-    open_pairs = saved(bounds.join(sure, "query_id", "left").where("sure IS NULL OR best >= sure").select("query_id", "vec_id"), "open")
+    open_pairs = bounds.join(sure, "query_id", "left").where("sure IS NULL OR best >= sure")
+    ranked = saved(open_pairs.select("query_id", "vec_id", "best", in_order("best").alias("nth")), "open")
     forget(bounds, file)
-    read = bounded(open_pairs).join(rows.withColumnRenamed("embedding", "x"), "vec_id")
-    pairs = read.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").where(F.size("q") == F.size("x"))
-    exact = pairs.select("query_id", "vec_id", "q", "x").mapInArrow(score_pairs, "query_id long, vec_id long, score long")
+    exact = read_in_order(ranked, asked, rows, k)
+    forget(ranked)
     best = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", in_order("score")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle(every: int = 100, k: int = 10) -> str:

@@ -186,6 +186,32 @@ def test_top_k_against_brute_force(spark):
     assert vector_file.top_k(df.limit(0), 100, 10).count() == 0
 
 
+def test_exact_reads_follow_the_bounds(spark, monkeypatch):
+    """Reads against those of one vector at a time in bound order; many near ties open far more pairs than are read."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(size=(400, 16)), 1 + rng.normal(size=(600, 16)) / 400))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, read = {}, vector_file.read_in_order
+
+    def spy(ranked, asked, rows, k):
+        for r in ranked.collect():
+            seen.setdefault(r["query_id"], []).append((r["nth"], r["vec_id"], r["best"]))
+        scores = read(ranked, asked, rows, k)
+        seen["read"] = Counter(r["query_id"] for r in scores.collect())
+        return scores
+
+    monkeypatch.setattr(vector_file, "read_in_order", spy)
+    whole = np.floor(1024 * x).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vector_file.top_k(df, 100, 5).collect()}
+    reads = seen.pop("read")
+    for q, pairs in seen.items():
+        s = sorted((-int(whole[q] @ whole[j]), j) for j in range(len(x)) if j != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(j, -v) for v, j in s]
+        least = sum(best >= -s[-1][0] for _, _, best in pairs)
+        assert least <= reads[q] <= 2 * least + 5, (q, least, reads[q], len(pairs))
+    assert set(seen) == set(range(0, 1000, 100)) and sum(reads.values()) < sum(map(len, seen.values()))
+
+
 def test_large_components():
     x = np.floor(1024 * np.array([[1e10, 1.0], [1e10, -1.0], [3.0, 4.0]]))
     got = vector_file.search(np.array([0]), x[:1], np.array([0, 1, 2]), x, 5)
