@@ -1,8 +1,8 @@
 """Toxicity of texts behind leetspeak, spacing and repetition.
 
 The writer is a noisy channel over clean words. A word with signs of disguise (digits or symbols among letters, separators
-inside, a letter three times in a row, letters spaced out one by one) becomes a lattice: a sign stands for a letter or nothing,
-a repeated letter for itself or nothing. Viterbi decoding under a trigram model of characters picks the likeliest clean form.
+inside, a letter twice in a row, look-alikes of another script among letters, three or more letters spaced out one by one, by
+any white space) becomes a lattice: a sign stands for a letter or nothing, a repeated letter for itself or nothing. Viterbi decoding under a trigram model of characters picks the likeliest clean form.
 The model counts the trigrams of all documents. Words and word beginnings of the restored text are the features of a logistic
 regression with follow-the-regularised-leader updates.
 """
@@ -35,10 +35,14 @@ PREFIXES = (4, 5, 6)
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
 SEPARATORS = " .-_*~'/\\,:;^#=`\""
-SIGN, DROP, BREAK = 1.0, 1.0, 4.0  # costs in nats: a sign for a letter, a repeat or separator for nothing, a separator for a gap
+#: Letters of Cyrillic that look like Latin ones.
+ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s"}
+SIGN, DROP, BREAK = 1.0, 1.0, 4.0  # costs in nats: a sign for a letter, a separator for nothing, a separator for a gap
+#: A repeat or a sign for nothing: DROP and about what a letter costs under the model, so that a reading isn't cheaper for being shorter.
+SHORTER = DROP + 2.5
 OTHER = 27
-_DISGUISED = re.compile(r"[^\W\d_][^\w\s]+\w|[^\W\d_]*\d[^\W\d_]|[^\W\d_]\d|[@$!|+€(][^\W\d_]|[^\W\d_]_|(\w)\1\1").search
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)").findall
+_DISGUISED = re.compile(r"[^\W\d_][^\w\s]+\w|[^\W\d_]*\d[^\W\d_]|[^\W\d_]\d|[@$!|+€(][^\W\d_]|[^\W\d_]_|(\w)\1|[a-z][\u0400-\u045f]|[\u0400-\u045f][a-z]").search
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _RUN = re.compile(r"([^\w\s])\1+")
 
 
@@ -91,9 +95,11 @@ def options(word: str) -> list[list[tuple[str, float]]]:
             out.append([("", DROP), (" ", BREAK)])
         elif ch in LEET:
             own = [(x, SIGN) for x in LEET[ch]]
-            out.append(own + ([("", DROP)] if ch == "!" or (i and word[i - 1] == ch) else []))
+            out.append(own + ([("", SHORTER)] if ch == "!" or (i and word[i - 1] == ch) else []))
         elif i and word[i - 1] == ch and ch.isalpha():
-            out.append([(ch, 0.0), ("", DROP)])
+            out.append([(ch, 0.0), ("", SHORTER)] + ([(ALIKE[ch], SIGN)] if ch in ALIKE else []))
+        elif ch in ALIKE:
+            out.append([(ch, 0.0), (ALIKE[ch], SIGN)])
         else:
             out.append([(ch if ch.isalpha() else " ", 0.0)])
     return out
@@ -163,13 +169,10 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The text with every disguised word in its clean form, white space as single spaces."""
-        text = _SPACED_SUB(lambda m: " ".join(self.word(m[0])) or m[0], text.lower())
+        text = _SPACED.sub(lambda m: " ".join(self.word(" ".join(m[0].split()))) or m[0], text.lower())
         return " ".join(" ".join(self.word(w)[:1]) or w for w in text.split())
 
 
-_SPACED_SUB = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)").sub
-
-
 def places(word: str) -> list[int]:
     """Hashed features of a clean word: itself and its beginnings."""
     from xxhash import xxh64_intdigest
@@ -180,7 +183,7 @@ def places(word: str) -> list[int]:
 
 def raw_words(text: str) -> set[str]:
     text = text.lower()
-    return set(text.split()).union(_SPACED(text))
+    return set(text.split()).union(" ".join(w.split()) for w in _SPACED.findall(text))
 
 
 def sparse_with(restorer: Restorer):

@@ -159,6 +159,12 @@ def test_deobfuscation(spark):
     r = toxicity.Restorer(cost)
     for hidden, word in (("1d10t", "idiot"), ("$tup1d", "stupid"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("l0ser", "loser"), ("c l o w n", "clown"), ("l-0-s-3-r", "loser"), ("!d!ot", "idiot")):
         assert word in r.word(hidden), (hidden, r.word(hidden))
+    for hidden, word in (("i  d  i  o  t", "idiot"), ("i\td\ti\no t", "idiot"), ("iiddiioott", "idiot"), ("stuupid", "stupid"), ("\u0456di\u043et", "idiot"), ("l\u043es\u0435r", "loser")):
+        assert word in r.restore(hidden).split() and any(word in r.word(w) for w in toxicity.raw_words(hidden)), (hidden, r.restore(hidden))
+    plain = ["the pig is worthless", "a worthless little pig", "good books and all the rest", "he put a wig on the pig"] * 20
+    other = toxicity.Restorer(toxicity.trigram_costs(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")))
+    assert other.word("p!g")[0] == "pig" and other.word("w0rthl3ss")[0] == "worthless" and other.word("little") == ("little",) and other.word("books") == ("books",)
+    assert other.restore("\u0441\u043e\u0440") == "\u0441\u043e\u0440"  # a word of the other script alone stays
     assert r.restore("You 1d10t, you S T U P I D l0ser") == "you idiot you stupid loser"
     assert r.word("home") == ("home",) and r.word("***") == () and r.word("home***") == ("home",) and r.word("42") == ()
     assert len(r.word("a1" * 20_000)) >= 1  # long words take time in proportion
