@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def both(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "labels"):
         duck.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
     cols = sorted(want.columns)
