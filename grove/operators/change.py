@@ -86,17 +86,23 @@ def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """(diff_id, file_path, line) of the new-side lines that unified diffs (diff_id, text) add or delete before.
 
-    A diff's lines are numbered with running sums: from each hunk's start, one for each line that isn't a deletion.
+    A diff is cut before each line that names a file or begins a hunk. A piece's lines are numbered inside its row: the kth that
+    stays is k lines below its first, and a deleted one lies below as many as come before it. Only pieces are ordered.
     """
-    rows = diffs.select("diff_id", F.posexplode(F.split("text", "\n")).alias("pos", "l"))
-    w = Window.partitionBy("diff_id").orderBy("pos")
+    pieces = diffs.select("diff_id", F.posexplode(F.split("text", r"\n(?=@@ |\+\+\+ )")).alias("pos", "piece")).withColumn("l", F.substring_index("piece", "\n", 1))
     path = F.when(F.col("l").rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_replace("l", r"^\+\+\+ (?:b/)?", ""), r"\t.*$", ""))
     start = F.when(F.col("l").rlike(r"^@@ "), F.regexp_extract("l", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).try_cast("int"))
-    marked = rows.withColumns({"file_path": F.last(path, True).over(w), "start": F.last(start, True).over(w), "hunk": F.count(start).over(w), "is_head": start.isNotNull() | F.col("l").rlike(r"^(\+\+\+|---|diff |index )")})
-    in_hunk = Window.partitionBy("diff_id", "hunk").orderBy("pos")
-    step = F.when(~F.col("is_head") & ~F.startswith(F.col("l"), F.lit("-")), 1).otherwise(0)
-    placed = marked.withColumn("line", F.col("start") + F.sum(step).over(in_hunk) - step).where("start IS NOT NULL AND NOT is_head AND file_path <> '/dev/null'")
-    return placed.where(F.col("l").rlike("^[+-]")).select("diff_id", "file_path", "line").distinct()
+    begun = pieces.withColumns({"path": path, "begins": start})
+    is_head = lambda l, i: ((i == 0) & F.col("begins").isNotNull()) | l.rlike(r"^(\+\+\+|---|diff |index )")  # noqa: E731, E741
+    deleted = lambda x: F.startswith(x["l"], F.lit("-"))
+    body = F.transform(F.filter(F.split("piece", "\n"), lambda l, i: ~is_head(l, i)), lambda l, i: F.struct(l.alias("l"), i.alias("i")))  # noqa: E741
+    split = begun.withColumn("body", body).withColumns({"stay": F.filter("body", lambda x: ~deleted(x)), "gone": F.filter("body", deleted)})
+    added = F.filter(F.transform("stay", lambda x, k: F.when(F.startswith(x["l"], F.lit("+")), k)), lambda k: k.isNotNull())
+    counted = split.select("diff_id", "pos", "path", "begins", F.size("stay").alias("n"), F.array_distinct(F.concat(added, F.transform("gone", lambda x, j: x["i"] - j))).alias("below"))
+    w = Window.partitionBy("diff_id").orderBy("pos")
+    placed = counted.withColumns({"file_path": F.last("path", True).over(w), "start": F.last("begins", True).over(w), "before": F.sum("n").over(w) - F.col("n")})
+    placed = placed.withColumn("first", F.col("start") - F.last(F.when(F.col("begins").isNotNull(), F.col("before")), True).over(w) + F.col("before"))
+    return placed.where("start IS NOT NULL AND file_path <> '/dev/null'").select("diff_id", "file_path", F.explode("below").alias("k"), "first").select("diff_id", "file_path", (F.col("first") + F.col("k")).alias("line")).distinct()
 
 
 def caller_coverage(callers: DataFrame, modified: DataFrame, window: int = 5) -> DataFrame:

@@ -605,9 +605,9 @@ DIFF = "--- a/lib/x.ts\n+++ b/lib/x.ts\n@@ -{0},3 +{0},4 @@\n a\n-b\n+c\n+d\n e\
 
 @query("SELECT l_orderkey AS diff_id, 'lib/x.ts' AS file_path, (l_linenumber * 10 + o)::INT AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), unnest([1, 2]) u(o)")
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hunk = F.format_string(DIFF.replace("{0}", "%1$d"), F.col("l_linenumber") * 10)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    texts = rows.groupBy(F.col("l_orderkey").alias("diff_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", hunk.alias("h")))), lambda x: x["h"]), "").alias("text"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("diff_id"), "l_linenumber").repartition("diff_id").distinct()
+    hunk = lambda n: F.format_string(DIFF.replace("{0}", "%1$d"), n * 10)
+    texts = rows.groupBy("diff_id").agg(F.sort_array(F.collect_list("l_linenumber")).alias("lines")).select("diff_id", F.array_join(F.transform("lines", hunk), "").alias("text"))
     return change.diff_lines(texts)
 
 
