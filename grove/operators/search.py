@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grove.functions import text as T
 from grove.functions.names import similar_importance
 from grove.operators.graph import CodeGraph
+from grove.sources.shared import stored
 
 #: BM25 constants and the weights of the two searched columns; score bounds of a page.
 K1, B, NAME_WEIGHT, BODY_WEIGHT, LEAST_IDF = 1.2, 0.75, 5.0, 10.0, 1e-6
@@ -122,6 +123,11 @@ def search_documents(graph: CodeGraph, strict: bool = False) -> DataFrame:
     return rows.select(F.col("id").alias("symbol_id"), "name", "kind", "file_path", body.alias("body"))
 
 
+def graph_index(graph: CodeGraph) -> TextIndex:
+    """The index of search_documents, which are written once: each pattern of a query reads them."""
+    return build_index(stored(search_documents(graph)))
+
+
 def similar(graph: CodeGraph, index: TextIndex, name: str, kind: str | None = None, limit: int = 10) -> DataFrame:
     """Symbols whose documents match the key terms of one symbol's; itself and its namesakes left out."""
     symbol = graph.find_symbol(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.sources.shared import cut
+from grove.sources.shared import cut, stored
 
 #: The depth that a traversal with a limit tries first.
 SHALLOW = 3
@@ -14,18 +14,22 @@ SHALLOW = 3
 def reach(first: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """(id, depth): ids reachable from first (id, at depth 1) over steps (src, dst), each at its smallest depth.
 
-    Every id is expanded once. A step is one join of the new ids with steps, one distinct and one anti join with the ids seen;
-    Spark broadcasts whichever side it finds small. Each frontier is checkpointed, so that a step's plan doesn't hold all before.
+    Every id is expanded once. A step takes the new ids that have steps at all, joins them with the steps, and drops the ids seen.
+    These are stored, so that Spark knows how few they are: where it broadcasts them, no step is shuffled.
     """
-    frontier = cut(first.select("id").distinct()) if depth > 1 else first.select("id").distinct()
+    if depth <= 1:
+        return first.select("id", F.lit(1).alias("depth")).distinct()
+    frontier = stored(first.select("id").distinct())
     seen = frontier.select("id", F.lit(1).alias("depth"))
+    sources = stored(steps.select(F.col("src").alias("id")).distinct())
     for d in range(2, depth + 1):
-        found = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        going = stored(frontier.join(sources, "id", "left_semi"))
+        if going.isEmpty():
+            break
+        found = steps.join(going, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct()
         frontier = found.join(seen, "id", "left_anti")
         if d < depth:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
+            frontier = stored(frontier)
         seen = seen.union(frontier.select("id", F.lit(d).alias("depth")))
     return seen
 
@@ -50,9 +54,10 @@ def simple_paths(first: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
 
 def entry_distance(heads: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """(id, left): of the ids that heads (id) reach over steps (src, dst), the fewest steps to one that has none; those within depth - 1 only."""
-    found = cut(reach(heads, steps, depth).select("id"))
-    ends = found.join(steps.select(F.col("src").alias("id")), "id", "left_anti")
-    back = steps.join(found.select(F.col("id").alias("dst")), "dst", "left_semi").join(found.select(F.col("id").alias("src")), "src", "left_semi")
+    found = stored(reach(heads, steps, depth).select("id"))
+    near = stored(steps.join(found.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"))
+    ends = found.join(near.select(F.col("src").alias("id")), "id", "left_anti")
+    back = near.join(found.select(F.col("id").alias("dst")), "dst", "left_semi")
     return reach(ends, back.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth).select("id", (F.col("depth") - 1).alias("left"))
 
 
@@ -66,7 +71,7 @@ def paths_to_ends(first: DataFrame, steps: DataFrame, depth: int, limit: int | N
     if limit is not None and depth > SHALLOW:
         shallow = SHALLOW
         while shallow < depth:
-            few = cut(paths_to_ends(first, steps, shallow))
+            few = stored(paths_to_ends(first, steps, shallow))
             if few.limit(limit).count() >= limit:
                 last = few.groupBy("depth").agg(F.count("*").alias("n")).collect()  # a row a level
                 seen, most = 0, shallow
@@ -78,8 +83,8 @@ def paths_to_ends(first: DataFrame, steps: DataFrame, depth: int, limit: int | N
                 return few.where(F.col("depth") <= most)
             shallow *= 2
     head = F.get("path", F.lit(0))
-    level = cut(first.select("path").distinct())
-    left = cut(entry_distance(level.select(head.alias("id")).distinct(), steps, depth))
+    level = stored(first.select("path").distinct())
+    left = stored(entry_distance(level.select(head.alias("id")).distinct(), steps, depth))
     out, n = None, 0
     for d in range(1, depth + 1):
         hopeful = level.withColumn("id", head).join(left, "id").where(F.col("left") <= depth - d)
@@ -90,7 +95,7 @@ def paths_to_ends(first: DataFrame, steps: DataFrame, depth: int, limit: int | N
         if limit is not None and (n := n + done.limit(limit).count()) >= limit:
             break
         going = hopeful.where("left > 0").select("path", "id")
-        level = cut(going.join(steps, F.col("id") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_prepend("path", F.col("dst")).alias("path")).distinct())
+        level = stored(going.join(steps, F.col("id") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_prepend("path", F.col("dst")).alias("path")).distinct())
         if level.isEmpty():
             break
     return out

@@ -20,7 +20,7 @@ def federate(parts: Mapping[str, DataFrame]) -> DataFrame:
 
 def workspace_refs(parts: Mapping[str, CodeGraph], name: str, kinds: list[str] | None, limit: int) -> DataFrame:
     """References in all members, by kind and source, limited once over all."""
-    found = federate({p: g.refs(name, kinds) for p, g in parts.items()})
+    found = federate({p: g.refs_of(g.wanted(name), kinds) for p, g in parts.items()})
     return found.orderBy("kind", "from_name", "project", "file_path", "line", "to_id").limit(limit)
 
 

@@ -497,7 +497,7 @@ exact AS (SELECT pg.symbol_id, pg.name, pg.rank AS full_rank, page.rank, page.sc
 SELECT symbol_id, name, rank, score FROM exact WHERE name <> '{SIMILAR}' ORDER BY full_rank, symbol_id LIMIT {LIMIT_SIMILAR}""")
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    return _page(search.similar(g, search.build_index(search.search_documents(g)), SIMILAR, "interface", LIMIT_SIMILAR))
+    return _page(search.similar(g, search.graph_index(g), SIMILAR, "interface", LIMIT_SIMILAR))
 
 
 # Change tracking
@@ -669,7 +669,7 @@ def path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITH + f", {SQL_TEXT}, {sql_bm25('docs', ['interface', 'old', 'rod'], None, 30)} SELECT page.symbol_id, page.name, page.rank, s.line_start::INT AS line_start, s.line_end::INT AS line_end FROM page JOIN symbols s ON s.id = page.symbol_id")
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    found = search.bm25(search.build_index(search.search_documents(g)), "interface old rod", None, 30)
+    found = search.bm25(search.graph_index(g), "interface old rod", None, 30)
     return search.with_lines(found, g.symbols).select("symbol_id", "name", F.round("rank", 6).alias("rank"), "line_start", "line_end")
 
 

@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/grove-{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df from files of the shared folder: computed once, and of a size that Spark knows when it chooses how to join it."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hadoop(spark: SparkSession, path: str):
     """The file system of a path, and the path, as Hadoop knows them: any store that Spark writes to."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
