@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from grove.llm.common import id_text
 from grove.llm.ftrl import FTRL, logistic
@@ -44,6 +45,9 @@ OTHER = 27
 _DISGUISED = re.compile(r"[^\W\d_][^\w\s]+\w|[^\W\d_]*\d[^\W\d_]|[^\W\d_]\d|[@$!|+€(][^\W\d_]|[^\W\d_]_|(\w)\1|[a-z][\u0400-\u045f]|[\u0400-\u045f][a-z]").search
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _RUN = re.compile(r"([^\w\s])\1+")
+#: What _DISGUISED finds in letters alone, and the signs that `stripped` takes off the ends of a word whatever they stand beside.
+_ODD = re.compile(r"(\w)\1|[a-z][\u0400-\u045f]|[\u0400-\u045f][a-z]").search
+ENDS = "\"#%&'()*+,-./:;<=>?[\\]^_`{|}~"
 
 
 @lru_cache(maxsize=1)
@@ -87,42 +91,58 @@ def trigram_costs(docs: DataFrame) -> np.ndarray:
     return -np.log(p3)
 
 
+def choices(ch: str, again: bool) -> list[tuple[str, float]]:
+    """What a character may stand for, at which cost. again: it repeats the one before."""
+    if ch in SEPARATORS:
+        return [("", DROP), (" ", BREAK)]
+    if ch in LEET:
+        return [(x, SIGN) for x in LEET[ch]] + ([("", SHORTER)] if ch == "!" or again else [])
+    if again and ch.isalpha():
+        return [(ch, 0.0), ("", SHORTER)] + ([(ALIKE[ch], SIGN)] if ch in ALIKE else [])
+    if ch in ALIKE:
+        return [(ch, 0.0), (ALIKE[ch], SIGN)]
+    return [(ch if ch.isalpha() else " ", 0.0)]
+
+
 def options(word: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each character what it may stand for, at which cost."""
-    out = []
-    for i, ch in enumerate(word):
-        if ch in SEPARATORS:
-            out.append([("", DROP), (" ", BREAK)])
-        elif ch in LEET:
-            own = [(x, SIGN) for x in LEET[ch]]
-            out.append(own + ([("", SHORTER)] if ch == "!" or (i and word[i - 1] == ch) else []))
-        elif i and word[i - 1] == ch and ch.isalpha():
-            out.append([(ch, 0.0), ("", SHORTER)] + ([(ALIKE[ch], SIGN)] if ch in ALIKE else []))
-        elif ch in ALIKE:
-            out.append([(ch, 0.0), (ALIKE[ch], SIGN)])
-        else:
-            out.append([(ch if ch.isalpha() else " ", 0.0)])
-    return out
+    return [choices(ch, i > 0 and word[i - 1] == ch) for i, ch in enumerate(word)]
+
+
+@lru_cache(maxsize=10_000)
+def coded(ch: str, again: bool) -> list[tuple[str, float, int]]:
+    """choices with the class of each; -1 for nothing."""
+    of = lambda x: 0 if x == " " else int(classes()[ord(x)]) if ord(x) < 1 << 16 else OTHER
+    return [(x, c, of(x) if x else -1) for x, c in choices(ch, again)]
 
 
 def decode(word: str, cost: np.ndarray) -> str:
-    """The likeliest clean form: Viterbi over states of the last two classes; time and memory grow with the length."""
-    cls, lattice = classes(), options(word)
-    of = lambda x: 0 if x == " " else int(cls[ord(x)]) if ord(x) < 1 << 16 else OTHER
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for choices in lattice:
-        new: dict[tuple[int, int], tuple[float, tuple]] = {}
-        coded = [(x, c, of(x) if x else -1) for x, c in choices]
-        for (a, b), (total, path) in states.items():
-            for x, c, k in coded:
+    """The likeliest clean form of a word under costs of a class after two others."""
+    return likeliest(word, cost.ravel().tolist())
+
+
+def likeliest(word: str, cost: list[float]) -> str:
+    """The same: Viterbi over states of the last two classes (ten bits); time and memory grow with the length.
+
+    cost: by the fifteen bits of the three classes.
+    """
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+    before = ""
+    for ch in word:
+        new: dict[int, tuple[float, tuple]] = {}
+        ways = coded(ch, ch == before)
+        before = ch
+        for state, (total, path) in states.items():
+            for x, c, k in ways:
                 if k < 0:
-                    key, value, way = (a, b), total + c, path
+                    key, value, way = state, total + c, path
                 else:
-                    key, value, way = (b, k), total + c + cost[a, b, k], (path, x)
+                    at = state << 5 | k
+                    key, value, way = at & 1023, total + c + cost[at], (path, x)
                 if key not in new or value < new[key][0]:
                     new[key] = (value, way)
         states = new
-    best = min(((v + cost[a, b, 0], p) for (a, b), (v, p) in states.items()), key=lambda x: x[0])[1]
+    best = min(((v + cost[s << 5], p) for s, (v, p) in states.items()), key=lambda x: x[0])[1]
     out = []
     while best:
         best, x = best
@@ -149,9 +169,16 @@ class Restorer:
     limit: int = 50_000
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.flat = self.cost.ravel().tolist()
+
     def __getstate__(self) -> dict:
         return {"cost": self.cost, "limit": self.limit, "memo": {}}
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def word(self, word: str) -> tuple[str, ...]:
         """word: lower case, without white space, or letters spaced out."""
         core = stripped(word)
@@ -163,7 +190,7 @@ class Restorer:
             if len(self.memo) >= self.limit:
                 self.memo = {}
             plain = tuple(w for w in re.findall(r"[^\W\d_]+", core) if len(w) > 1)
-            clean = decode(core, self.cost).split() if _DISGUISED(core) or " " in core else ()
+            clean = likeliest(core, self.flat).split() if _DISGUISED(core) or " " in core else ()
             found = self.memo[core] = tuple(dict.fromkeys((*clean, *plain)))
         return found
 
@@ -173,12 +200,17 @@ class Restorer:
         return " ".join(" ".join(self.word(w)[:1]) or w for w in text.split())
 
 
+def place(key: str) -> int:
+    return xxh64_intdigest(key.encode("utf-8", "surrogatepass")) >> (64 - BITS)
+
+
+def beginnings(word: str) -> list[int]:
+    return [place(f"{word[:n]}_") for n in PREFIXES if len(word) >= n]
+
+
 def places(word: str) -> list[int]:
     """Hashed features of a clean word: itself and its beginnings."""
-    from xxhash import xxh64_intdigest
-
-    keys = [word, *(f"{word[:n]}_" for n in PREFIXES if len(word) >= n)]
-    return [xxh64_intdigest(k.encode("utf-8", "surrogatepass")) >> (64 - BITS) for k in keys]
+    return [place(word), *beginnings(word)]
 
 
 def raw_words(text: str) -> set[str]:
@@ -204,37 +236,58 @@ class Model:
     restorer: Restorer
     weights: dict[int, float] | None
     bias: float
-    limit: int = 150_000
+    limit: int = 300_000
+    #: Words of the texts that have no feature with a weight; features of the others; and of beginnings, which many words share.
+    dull: set[str] = field(default_factory=set)
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    heads: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"dull": set(), "memo": {}, "heads": {}}
+
+    def weighted(self, at: list[int]) -> tuple[int, ...]:
+        return tuple({p for p in at if p in self.weights})
+
+    def plain(self, word: str) -> tuple[int, ...]:
+        """The features with a weight of letters without any sign of disguise."""
+        head = word[: PREFIXES[-1]]
+        if (found := self.heads.get(head)) is None:
+            if len(self.heads) >= self.limit // 4:
+                self.heads.clear()
+            found = self.heads[head] = self.weighted(beginnings(head))
+        own = place(word)
+        return (*found, own) if own in self.weights else found
 
     def telling(self, word: str) -> tuple[int, ...]:
         """The features of a word of the text that have a weight."""
-        if len(self.memo) >= self.limit:
-            self.memo = {}
-        found = self.memo[word] = tuple({p for c in self.restorer.word(word) for p in places(c) if p in self.weights})
+        core = word.strip(ENDS)
+        if core.isalpha() and not _ODD(core):
+            found = self.plain(core)
+        else:
+            found = self.weighted([p for c in self.restorer.word(word) for p in places(c)])
+        if len(self.dull) + len(self.memo) >= self.limit:
+            self.dull.clear()
+            self.memo.clear()
+        if found:
+            self.memo[word] = found
+        else:
+            self.dull.add(word)
         return found
 
     def score(self, text: str) -> float:
         if self.weights is None:
             return 0.0
         hits: set[int] = set()
-        get = self.memo.get
-        for w in raw_words(text):
-            if (found := get(w)) is None:
-                found = self.telling(w)
-                get = self.memo.get  # the memo may have started afresh
-            if found:
-                hits.update(found)
+        for w in raw_words(text) - self.dull:
+            found = self.memo.get(w)
+            hits.update(self.telling(w) if found is None else found)
         return logistic(self.bias + sum(self.weights[h] for h in sorted(hits)))
 
     def scores(self, texts: list[str]) -> list[float]:
         return [self.score(t) for t in texts]
 
     def release(self) -> None:
-        self.memo, self.restorer.memo = {}, {}
+        self.dull, self.memo, self.heads, self.restorer.memo = set(), {}, {}, {}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

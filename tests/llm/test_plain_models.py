@@ -100,6 +100,26 @@ def test_viterbi_against_every_reading(spark):
         assert cost_of(w, toxicity.decode(w, cost), cost) == pytest.approx(every_reading(w, cost)), w
 
 
+def test_plain_words_need_no_lattice(monkeypatch):
+    """Letters between signs go to their features at once; those are the restorer's, as all words' are."""
+
+    class Some(dict):
+        def __contains__(self, p):
+            return p % 3 == 0
+
+    restorer = toxicity.Restorer(np.ones((32, 32, 32)))
+    model = toxicity.Model(restorer, Some(), -1.0)
+    odd = "!!idiot $$fool a-s-s ..word.., __init__ @you f00l 're ab' moss na\u00efve... \u0434\u043e\u043c \u0434o\u043c x|y hi! cool$ \u0301a \u2167 id__iot a''b".split()
+    plain = "(stone) stones, stonework. \"house\" \u00e9t\u00e9 \u0434\u043e\u043c; a of".split()
+    want = {w: {p for c in restorer.word(w) for p in toxicity.places(c) if p % 3 == 0} for w in odd + plain}
+    for _ in range(2):
+        assert {w: set(model.telling(w)) for w in odd + plain} == want
+    assert any(want.values()) and model.dull | set(model.memo) == set(want)
+    model.release()
+    monkeypatch.setattr(toxicity.Restorer, "word", lambda *_: pytest.fail("a plain word was restored"))
+    assert {w: set(model.telling(w)) for w in plain} == {w: want[w] for w in plain}
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_scores_against_plain(spark, odd, plain, module):
     """Scores of all odd rows from the model's weights, one feature after the other, with no memos."""
