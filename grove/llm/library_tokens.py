@@ -25,7 +25,7 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: bool) -> WordMemo:
+def encoder(path: str, spaces: bool, limit: int = 350_000) -> WordMemo:
     """For a vocabulary with a byte-level pre-tokenizer, alone or after one that splits by a pattern and drops the rest.
 
     Strings of added tokens in a text are found first and have one id each, as in the library's own encoding.
@@ -49,8 +49,8 @@ def encoder(path: str, spaces: bool) -> WordMemo:
         return array("I", [x.id for x in model.tokenize(shown)]).tobytes()
 
     if normalizer is None:
-        return WordMemo(find, encode, spaces, marks=marks)
-    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, folded, marks=marks)
+        return WordMemo(find, encode, spaces, limit=limit, marks=marks)
+    return WordMemo(lambda piece: find(normalizer.normalize_str(piece)), lambda token: encode(token.lower()), spaces, plain_word, folded, limit=limit, marks=marks)
 
 
 def folded(text: str) -> str:

@@ -160,3 +160,12 @@ def test_packing_query(odd, plain, empty):
     assert packing.pack(empty).count() == 0
     with pytest.raises(ValueError):
         packing.pack(odd, capacity=1000)
+
+
+def test_packing_keeps_few_pieces():
+    """A worker of the packing, whose stage follows others in the same executor, holds no more than two small generations."""
+    words = [" ".join(f"w{i}x" for i in range(n, n + 10_000)) for n in range(0, 380_000, 10_000)]
+    memo = encoder(tokenizer_path(packing.VOCABULARY), True, packing.MEMO)
+    memo.texts(words)
+    assert packing.MEMO <= 150_000 and len(memo.pieces) + len(memo.pieces.older) <= 2 * packing.MEMO
+    assert len(memo.text(words[0])) == 4 * len(library(packing.VOCABULARY)(words[0]))
