@@ -113,10 +113,8 @@ def with_lines(results: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def search_documents(graph: CodeGraph, strict: bool = False) -> DataFrame:
     """The text document of each symbol. strict takes a parent's name from the place of three-part ids."""
-    s = graph.symbols
-    parents = s.select(F.col("id").alias("parent_id"), F.col("name").alias("_parent"))
-    names = lambda df, to: df.select(F.col("symbol_id").alias("id"), F.col("names").alias(to))
-    rows = s.join(parents, "parent_id", "left").join(names(graph.caller_names(), "_callers"), "id", "left").join(names(graph.callee_names(), "_callees"), "id", "left").join(graph.importance().withColumnRenamed("to_id", "id"), "id", "left")
+    parents = graph.parent_names().withColumnRenamed("name", "_parent")
+    rows = graph.with_neighbours().join(parents, "parent_id", "left").join(graph.importance().withColumnRenamed("to_id", "id"), "id", "left")
     none = F.array().cast("array<string>")
     parent = T.strict_parent(F.col("parent_id")) if strict else F.coalesce("_parent", F.get(F.split("parent_id", "::"), F.lit(1)))
     body = T.embedding_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"), parent, F.col("file_path"), F.coalesce("_callers", none), F.coalesce("_callees", none), F.coalesce("importance", F.lit(0.0)))

@@ -83,3 +83,22 @@ def test_neighbour_names_are_distinct(spark):
 def test_a_graph_index_reads_stored_documents(spark):
     plan = search.graph_index(testgraph.graph(spark, SF)).postings._jdf.queryExecution().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_documents_shuffle_calls_between_symbols_once(spark):
+    """Before, all calls were shuffled by both ends, with their texts; callees lie where their callers' calls do."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        g = testgraph.graph(spark, SF)
+        calls, symbols = g.calls().count(), g.symbols.count()
+        n = shuffled(spark, search.search_documents(g).collect)
+        assert n < calls + 5 * symbols, (n, calls, symbols)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_documents_by_keys_are_those_by_ids(spark):
+    g = testgraph.graph(spark, SF)
+    rows = lambda g: sorted(map(tuple, search.search_documents(g).collect()))
+    assert rows(g) == rows(CodeGraph(g.symbols, g.edges))
