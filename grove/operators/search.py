@@ -79,7 +79,8 @@ def ranks(index: TextIndex, query: str, kind: str | None = None) -> DataFrame:
     empty = index.docs.limit(0).select("symbol_id", "name", "kind", "file_path", F.lit(0.0).alias("rank"))
     if not found:
         return empty
-    each = reduce(DataFrame.union, (h.select("symbol_id", "f", F.lit(i).alias("p")) for i, (_, h) in enumerate(found)))
+    # stored, since they are counted and scored: an index that isn't saved would be built for both
+    each = stored(reduce(DataFrame.union, (h.select("symbol_id", "f", F.lit(i).alias("p")) for i, (_, h) in enumerate(found))))
     n, total = index.counted or index.lengths.agg(F.count("*"), F.sum("length")).first()
     if not total:
         return empty
@@ -107,7 +108,9 @@ def normalized(page: DataFrame, partition: list[str] | None = None) -> DataFrame
 
 
 def with_lines(results: DataFrame, symbols: DataFrame) -> DataFrame:
-    lines = symbols.select(F.col("id").alias("symbol_id"), "line_start", "line_end")
+    """results, which are stored, with the lines of their symbols: of all symbols only those found are joined."""
+    results = stored(results)
+    lines = symbols.select(F.col("id").alias("symbol_id"), "line_start", "line_end").join(results.select("symbol_id"), "symbol_id", "left_semi")
     return results.join(lines, "symbol_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("line_start", "line_end")})
 
 

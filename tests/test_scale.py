@@ -102,3 +102,30 @@ def test_documents_by_keys_are_those_by_ids(spark):
     g = testgraph.graph(spark, SF)
     rows = lambda g: sorted(map(tuple, search.search_documents(g).collect()))
     assert rows(g) == rows(CodeGraph(g.symbols, g.edges))
+
+
+def test_a_sketch_shuffles_few_symbols(spark):
+    """Before, names of few callers and callees were looked up by shuffling all symbols."""
+    g = scene(spark)
+    got = []
+    n = shuffled(spark, lambda: got.extend(g.whole_sketch("wanted").collect()))
+    assert n < MANY, n
+    assert [(r["section"], r["name"]) for r in got] == [("symbol", "wanted"), ("caller", "f8")]
+
+
+def test_callers_of_few_are_counted_as_of_many(spark):
+    """Two keys of one symbol that a target matches, and two rows of a symbol, count its calls once."""
+    symbols = spark.createDataFrame([("a.f", "f"), ("g", "g"), ("g", "g"), ("h", "h")], "id string, name string")
+    edges = spark.createDataFrame([("x", "a.f", "calls"), ("y", "a.f", "calls"), ("x", "f", "calls"), ("x", "s.g", "calls"), ("y", "g", "calls"), ("y", "h", "imports")], "from_id string, to_id string, kind string")
+    for few in (False, True):
+        assert sorted(tuple(r) for r in CodeGraph(symbols, edges).caller_counts(symbols, few).collect()) == [("a.f", 3), ("g", 2)]
+
+
+def test_lines_of_a_page_shuffle_few_symbols(spark):
+    """Before, all symbols were shuffled for the lines of one page."""
+    g = scene(spark)
+    results = spark.createDataFrame([("a.py::f7::function::1", "f7"), ("nothing", "f")], "symbol_id string, name string")
+    results = spark.createDataFrame(results.rdd, results.schema)
+    got = []
+    assert shuffled(spark, lambda: got.extend(search.with_lines(results, g.symbols).collect())) < MANY / 2
+    assert sorted(tuple(r) for r in got) == [("a.py::f7::function::1", "f7", 1, 2), ("nothing", "f", 0, 0)]
