@@ -22,6 +22,7 @@ BEST, WORST, FLAT, EPSILON = 1.0, 0.5, 0.95, 1e-15
 class TextIndex:
     """docs: symbol_id, name, kind, file_path. postings: term, symbol_id, col, positions. lengths: symbol_id, length.
 
+    A term may have several postings in a column of a document: positions are one or more of its places there.
     counted: the number of documents and of their terms, where they are known without a scan.
     """
 
@@ -33,26 +34,27 @@ class TextIndex:
     counted: tuple[int, int] | None = None
 
     def save(self, path: str) -> None:
-        """Postings sorted by term, so that a prefix reads the row groups of its range only."""
+        """Each file's postings sorted by term, so that a prefix reads the pages of its range only."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def build_index(docs: DataFrame, stemmed: bool = False, unaccented: bool = False) -> TextIndex:
-    """docs: symbol_id, name, kind, file_path, body."""
+    """docs: symbol_id, name, kind, file_path, body. Only stems shuffle terms: a posting has one position, and stays in the task that read its text."""
     named = docs.select("symbol_id", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("name").alias("text")), F.struct(F.lit(0).alias("col"), F.col("body").alias("text")))).alias("x")).select("symbol_id", "x.col", T.tokens(F.col("x.text"), unaccented).alias("tokens"))
-    lengths = named.groupBy("symbol_id").agg(F.sum(F.size("tokens")).alias("length"))
-    each = named.select("symbol_id", "col", F.posexplode("tokens").alias("pos", "term"))
+    lengths = docs.groupBy("symbol_id").agg(F.sum(F.size(T.tokens(F.col("name"), unaccented)) + F.size(T.tokens(F.col("body"), unaccented))).alias("length"))
+    # an outer explode, since Spark filters the input of others by the size of the array, for which it would cut each text twice
+    each = named.select("symbol_id", "col", F.posexplode_outer("tokens").alias("pos", "term")).where("term IS NOT NULL")
     if stemmed:
         stems = each.select("term").distinct().withColumn("stem", T.stem("term"))
         each = each.join(stems, "term").select("symbol_id", "col", "pos", F.col("stem").alias("term"))
-    postings = each.groupBy("term", "symbol_id", "col").agg(F.collect_list("pos").alias("positions"))
+    postings = each.select("term", "symbol_id", "col", F.array("pos").alias("positions"))
     return TextIndex(docs.select("symbol_id", "name", "kind", "file_path"), postings, lengths, stemmed, unaccented)
 
 
 def in_range(prefix: str):
-    """A range of terms that Parquet statistics can prune, and the prefix itself."""
+    """A range of terms that the statistics of Parquet pages can prune, and the prefix itself."""
     return (F.col("term") >= prefix) & F.startswith(F.col("term"), F.lit(prefix))
 
 

@@ -1,6 +1,6 @@
 """A text index in segments: a refresh writes what changed, and readers see the newest of each document.
 
-A segment has documents, their lengths and their postings in order of terms, and the ids that it takes out of all segments
+A segment has documents, their lengths and their postings, each file in order of terms, and the ids that it takes out of all segments
 before it. Segments never change. Whenever the last but one has at most GROWTH times the documents of the last, both are merged:
 so there are about log(documents) segments, and each document is written about as often. The list of segments, with the
 number and the summed length of all living documents, belongs to the index version that reads them.
@@ -77,7 +77,7 @@ class SegmentedText:
         name = f"s-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
         docs.write.parquet(f"{at}/docs")
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")
+        postings.sortWithinPartitions("term").write.parquet(f"{at}/postings")
         lengths.write.parquet(f"{at}/lengths")
         if gone is not None:
             gone.write.parquet(f"{at}/gone")
@@ -89,7 +89,8 @@ class SegmentedText:
 
     def updated(self, docs: DataFrame) -> SegmentedText:
         """The index of docs (symbol_id, name, kind, file_path, body): one more segment with those that changed, then merges."""
-        new = self.digested(docs).persist()
+        # dealt by id, since a table may come as one row group, whose texts one task would cut into terms
+        new = self.digested(docs).repartition("symbol_id").persist()
         try:
             old = self.living("docs", DOCS).select("symbol_id", F.col("digest").alias("was"))
             diff = new.select("symbol_id", "digest").join(old, "symbol_id", "full").where(~F.col("digest").eqNullSafe(F.col("was"))).persist()
