@@ -8,6 +8,7 @@ number and the summed length of all living documents, belongs to the index versi
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import asdict, dataclass, replace
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from grove.operators.search import TextIndex, build_index
 
 GROWTH = 2
+#: Bytes of text from which a segment's postings get one more file, up to Spark's number of shuffle partitions.
+FILE_BYTES = 4 << 20
 DOCS = "symbol_id string, name string, kind string, file_path string, digest long"
 POSTINGS = "term string, symbol_id string, col int, positions array<int>"
 LENGTHS = "symbol_id string, length long"
@@ -99,6 +102,8 @@ class SegmentedText:
             removed = self.living("lengths", LENGTHS).join(gone, "symbol_id", "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first() if self.segments else {"n": 0, "total": 0}
             if diff.isEmpty():
                 return self
+            size = came.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+            came = came.coalesce(max(math.ceil(size / FILE_BYTES), 1))
             built = build_index(came, self.stemmed, self.stemmed)
             kinds = [f.split()[0] for f in DOCS.split(", ")]
             segment = self._segment(came.select(*kinds), built.postings.select(*(f.split()[0] for f in POSTINGS.split(", "))), built.lengths, gone if self.segments else None)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from grove.operators import search
 from grove.operators.graph import CodeGraph
 from grove.plans import testgraph
+from grove.sources import segments
 from grove.sources.segments import POSTINGS, SegmentedText
 
 SF = "/root/testdata/sf0.001"
@@ -132,13 +133,14 @@ def test_lines_of_a_page_shuffle_few_symbols(spark):
     assert sorted(tuple(r) for r in got) == [("a.py::f7::function::1", "f7", 1, 2), ("nothing", "f", 0, 0)]
 
 
-def test_a_text_segment_shuffles_texts_instead_of_terms(spark, tmp_path):
+def test_a_text_segment_shuffles_texts_instead_of_terms(spark, tmp_path, monkeypatch):
     """Before, postings were shuffled twice, and the task that read a row group cut all its texts into terms."""
     many, words = 300, 200
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda x: F.concat(F.lit("w"), (x * F.col("id")) % 977)), " ")
     docs = spark.range(0, many, 1, 1).select(F.col("id").cast("string").alias("symbol_id"), F.lit("n").alias("name"), F.lit("k").alias("kind"), F.lit("f").alias("file_path"), body.alias("body"))
     kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(segments, "FILE_BYTES", 50_000)
     try:
         made = []
         n = shuffled(spark, lambda: made.append(SegmentedText.of(spark, str(tmp_path / "text"), stemmed=False).updated(docs)))
@@ -151,3 +153,9 @@ def test_a_text_segment_shuffles_texts_instead_of_terms(spark, tmp_path):
     assert len(files) > 1 and all(len({r[1] for r in f}) < many for f in files)  # several tasks cut texts
     assert all([r[0] for r in f] == sorted(r[0] for r in f) for f in files)
     assert len({r for f in files for r in f}) == sum(map(len, files)) == many * (words + 1)
+
+
+def test_few_texts_are_one_file_of_a_segment(spark, tmp_path):
+    docs = spark.range(40).selectExpr("cast(id AS string) AS symbol_id", "'n' AS name", "'k' AS kind", "'f' AS file_path", "concat('word ', id) AS body")
+    (segment,) = SegmentedText.of(spark, str(tmp_path / "text"), stemmed=False).updated(docs).segments
+    assert len(list((tmp_path / "text" / segment.name / "postings").glob("*.parquet"))) == 1
